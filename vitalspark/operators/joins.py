@@ -74,12 +74,15 @@ def sleep_on_activity_days(
         F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / F.lit(chunk)).cast("int"))).alias("_c"),
     ).select("Date", F.least(F.lit(chunk), F.col("_n") - F.col("_c") * F.lit(chunk)).cast("int").alias("_copies"))
     side, _ = checked_broadcast(chunks, max_broadcast_rows)
-    return (
-        sleep.select("Date", "TotalMinutesAsleep")
-        .join(side, "Date", "inner")
-        .select("Date", "TotalMinutesAsleep", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k"))
-        .drop("_k")
-    )
+    # The (sleep row, chunk) pairs are few next to the rows they expand to, and
+    # their input partitioning says nothing about the output volume (a small
+    # sleep table may sit in one partition). Spread them round-robin over the
+    # cluster's cores so each task generates about the same number of rows.
+    parallelism = max(sleep.sparkSession.sparkContext.defaultParallelism, 1)
+    pairs = sleep.select("Date", "TotalMinutesAsleep").join(side, "Date", "inner").repartition(parallelism)
+    return pairs.select(
+        "Date", "TotalMinutesAsleep", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")
+    ).drop("_k")
 
 
 def _segment(df: DataFrame, steps_cut: float, sleep_cut: float) -> DataFrame:

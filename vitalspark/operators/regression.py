@@ -63,10 +63,12 @@ def predict_line(
     runs once and inlines as a value; a grouped model is joined on ``by``.
     """
     if not by:
-        m = model.select(F.struct("Slope", "Intercept").alias("m")).scalar()
-        slope, intercept = m.getField("Slope"), m.getField("Intercept")
+        # One subquery column; the projection below reads its fields (a
+        # subquery is not inlined into several expressions).
+        with_m = df.withColumn("_model", model.select(F.struct("Slope", "Intercept")).scalar())
+        slope, intercept = F.col("_model.Slope"), F.col("_model.Intercept")
         extra = {"Slope": slope, "Intercept": intercept} if keep_model else {}
-        return df.withColumns({**extra, out: F.col(x) * slope + intercept})
+        return with_m.withColumns({**extra, out: F.col(x) * slope + intercept}).drop("_model")
     joined = df.join(model.select(*by, "Slope", "Intercept"), list(by), "left")
     joined = joined.withColumn(out, F.col(x) * F.col("Slope") + F.col("Intercept"))
     return joined if keep_model else joined.drop("Slope", "Intercept")
