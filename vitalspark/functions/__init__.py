@@ -7,6 +7,7 @@ from vitalspark.functions.columns import (
     parse_date,
     parse_timestamp,
     round_doubles,
+    round_half_up,
     split_part,
     sum_columns,
     to_day,
@@ -23,6 +24,7 @@ __all__ = [
     "parse_timestamp",
     "quadrant",
     "round_doubles",
+    "round_half_up",
     "split_part",
     "sum_columns",
     "to_day",

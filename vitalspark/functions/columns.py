@@ -72,12 +72,26 @@ def hour_of_text(c) -> Column:
     return F.substring_index(as_col(c), ":", 1).cast("int")
 
 
+# Decimals kept when a double is snapped before rounding: enough to hold any
+# tie exactly, few enough to absorb the float noise of sums and averages.
+SNAP_DIGITS = 10
+
+
+def round_half_up(c, digits: int = 0, snap_digits: int = SNAP_DIGITS) -> Column:
+    """Round half away from zero as if computed exactly: the double is first
+    snapped to ``snap_digits`` decimals (so 100.49999999999999 counts as the
+    tie 100.5), then rounded as a decimal. Returns a double (NULL for NaN)."""
+    snapped = as_col(c).try_cast(T.DecimalType(38, snap_digits))
+    return F.round(snapped, digits).cast(T.DoubleType())
+
+
 def round_doubles(df: DataFrame, digits: int) -> DataFrame:
-    """Round every floating-point column; used to compare against other engines."""
+    """Round every floating-point column (with :func:`round_half_up`); used to
+    compare results against other engines."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name), digits).alias(f.name))
+            out.append(round_half_up(F.col(f.name), digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

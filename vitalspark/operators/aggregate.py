@@ -18,7 +18,7 @@ from vitalspark.constants import (
     INTENSITY_UNKNOWN,
 )
 from vitalspark.functions.classify import bucketize
-from vitalspark.functions.columns import as_col, hour_of_text
+from vitalspark.functions.columns import as_col, hour_of_text, round_half_up
 
 
 def average_by(df: DataFrame, keys: Sequence, metrics: Mapping[str, "str | Column"]) -> DataFrame:
@@ -31,15 +31,13 @@ def totals_by(df: DataFrame, keys: Sequence, metrics: Mapping[str, "str | Column
     return df.groupBy(*keys).agg(*[F.sum(as_col(c)).alias(out) for out, c in metrics.items()])
 
 
-def rounded_avg(c, tie_digits: int | None = 6) -> Column:
+def rounded_avg(c, snap: bool = True) -> Column:
     """``round(avg(c))`` half-up; ``c`` is a column name (averaged here) or an
-    aggregate expression. With ``tie_digits`` the average is first snapped to
-    that many decimals, so float noise (x.4999999999) cannot decide a .5 tie
-    differently from exact arithmetic."""
+    aggregate expression. With ``snap`` the average is rounded as if computed
+    exactly (:func:`round_half_up`), so float noise (x.4999999999) cannot
+    decide a .5 tie differently from exact arithmetic."""
     avg = F.avg(as_col(c)) if isinstance(c, str) else c
-    if tie_digits is not None:
-        avg = F.round(avg, tie_digits)
-    return F.round(avg)
+    return round_half_up(avg) if snap else F.round(avg)
 
 
 def weekday_average(activity: DataFrame) -> DataFrame:
@@ -76,21 +74,19 @@ def user_totals(activity: DataFrame) -> DataFrame:
     )
 
 
-def daily_trend(
-    activity: DataFrame, distance_scale: float = DISTANCE_SCALE, tie_digits: int | None = 6
-) -> DataFrame:
+def daily_trend(activity: DataFrame, distance_scale: float = DISTANCE_SCALE, snap: bool = True) -> DataFrame:
     """Per day: rounded average steps, distance (scaled) and calories."""
     return activity.groupBy("Date").agg(
-        rounded_avg("TotalSteps", tie_digits).alias("avg_steps"),
-        rounded_avg(F.avg("TotalDistance") * F.lit(distance_scale), tie_digits).alias("avg_distance"),
-        rounded_avg("Calories", tie_digits).alias("avg_calories"),
+        rounded_avg("TotalSteps", snap).alias("avg_steps"),
+        rounded_avg(F.avg("TotalDistance") * F.lit(distance_scale), snap).alias("avg_distance"),
+        rounded_avg("Calories", snap).alias("avg_calories"),
     )
 
 
-def sleep_weekday_average(sleep: DataFrame, tie_digits: int | None = 6) -> DataFrame:
+def sleep_weekday_average(sleep: DataFrame, snap: bool = True) -> DataFrame:
     """Rounded average minutes asleep per weekday."""
     return sleep.groupBy("WeekDayN", "WeekDay").agg(
-        rounded_avg("TotalMinutesAsleep", tie_digits).alias("AvgSleepMinutes")
+        rounded_avg("TotalMinutesAsleep", snap).alias("AvgSleepMinutes")
     )
 
 

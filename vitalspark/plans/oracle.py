@@ -183,8 +183,14 @@ SELECT {label}, {metric}, {metric} / sum({metric}) OVER () AS Share
 FROM (SELECT {label}, sum({metric}) AS {metric} FROM {table} GROUP BY {label})"""
 
 
+def _half_up(expr: str, digits: int) -> str:
+    # Snap to 10 decimals, then round the decimal half away from zero: the
+    # same rule as the Spark side, so exact ties (x.xxxxxx5) agree.
+    return f"CAST(round(TRY_CAST({expr} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+
+
 def _rounded(body: str, cols: list[str], doubles: set[str]) -> str:
-    sel = ", ".join(f"round({c}, {DIGITS}) AS {c}" if c in doubles else c for c in cols)
+    sel = ", ".join(f"{_half_up(c, DIGITS)} AS {c}" if c in doubles else c for c in cols)
     return f"SELECT {sel} FROM ({body}) q"
 
 
@@ -277,9 +283,9 @@ def _queries(p: Params) -> dict[str, tuple[str, list[str], set[str]]]:
             {"avg_steps"},
         ),
         "daily_trend": (
-            f"""SELECT Date, round(round(avg(TotalSteps), {DIGITS})) AS avg_steps,
-                 round(round(avg(TotalDistance) * {DISTANCE_SCALE}, {DIGITS})) AS avg_distance,
-                 round(round(avg(Calories), {DIGITS})) AS avg_calories
+            f"""SELECT Date, {_half_up('avg(TotalSteps)', 0)} AS avg_steps,
+                 {_half_up(f'avg(TotalDistance) * {DISTANCE_SCALE}', 0)} AS avg_distance,
+                 {_half_up('avg(Calories)', 0)} AS avg_calories
                FROM activity_clean GROUP BY Date""",
             ["Date", "avg_steps", "avg_distance", "avg_calories"],
             {"avg_steps", "avg_distance", "avg_calories"},
@@ -301,7 +307,7 @@ def _queries(p: Params) -> dict[str, tuple[str, list[str], set[str]]]:
             fit_doubles,
         ),
         "sleep_weekday_avg": (
-            f"""SELECT WeekDayN, WeekDay, round(round(avg(TotalMinutesAsleep), {DIGITS})) AS AvgSleepMinutes
+            f"""SELECT WeekDayN, WeekDay, {_half_up('avg(TotalMinutesAsleep)', 0)} AS AvgSleepMinutes
                FROM sleep_clean GROUP BY WeekDayN, WeekDay""",
             ["WeekDayN", "WeekDay", "AvgSleepMinutes"],
             {"AvgSleepMinutes"},
