@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalspark.constants import DAY_FORMAT
@@ -57,8 +57,8 @@ def _day(m: EventMapping):
     return F.to_date(F.col(m.ts))
 
 
-def daily_activity(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
-    """Per user-day activity from every event that is not a sleep record."""
+def activity_measures(m: EventMapping = EventMapping()) -> list:
+    """Aggregate expressions of the daily activity table (batch and streaming)."""
     kind, value = F.col(m.kind), F.col(m.value)
 
     def dist(k: str):
@@ -67,53 +67,76 @@ def daily_activity(events: DataFrame, m: EventMapping = EventMapping()) -> DataF
     def minutes(k: str):
         return F.count(F.when(kind == k, F.lit(1))).cast("int")
 
+    return [
+        F.count(F.lit(1)).cast("int").alias("TotalSteps"),
+        F.sum(value).alias("TotalDistance"),
+        dist(m.very_kind).alias("VeryActiveDistance"),
+        dist(m.moderate_kind).alias("ModeratelyActiveDistance"),
+        dist(m.light_kind).alias("LightActiveDistance"),
+        dist(m.sedentary_kind).alias("SedentaryActiveDistance"),
+        minutes(m.very_kind).alias("VeryActiveMinutes"),
+        minutes(m.moderate_kind).alias("FairlyActiveMinutes"),
+        minutes(m.light_kind).alias("LightlyActiveMinutes"),
+        minutes(m.sedentary_kind).alias("SedentaryMinutes"),
+        (F.sum(value) * F.lit(m.calories_per_value)).alias("Calories"),
+    ]
+
+
+def sleep_measures(m: EventMapping = EventMapping()) -> list:
+    value = F.col(m.value)
+    return [
+        F.count(F.lit(1)).cast("int").alias("TotalSleepRecords"),
+        F.sum(value).alias("TotalMinutesAsleep"),
+        (F.sum(value) + F.lit(m.bed_minutes_per_record) * F.count(F.lit(1))).alias("TotalTimeInBed"),
+    ]
+
+
+def heartrate_measures(m: EventMapping = EventMapping()) -> list:
+    return [F.avg(m.value).alias("Mean_Value"), F.count(F.lit(1)).cast("int").alias("Entry_Count")]
+
+
+def activity_events(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
+    return events.where(F.col(m.kind) != m.sleep_kind)
+
+
+def sleep_events(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
+    return events.where(F.col(m.kind) == m.sleep_kind)
+
+
+def heartrate_events(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
+    return events.where(F.col(m.kind) == m.heart_kind)
+
+
+def sleep_day_text(day) -> Column:
+    """``SleepDay`` as the exports write it: ``M/d/yyyy 12:00:00 AM``."""
+    return F.concat(F.date_format(day, DAY_FORMAT), F.lit(" 12:00:00 AM"))
+
+
+def daily_activity(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
+    """Per user-day activity from every event that is not a sleep record."""
     return (
-        events.where(kind != m.sleep_kind)
+        activity_events(events, m)
         .groupBy(F.col(m.user).alias("Id"), _day(m).alias("ActivityDate"))
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("TotalSteps"),
-            F.sum(value).alias("TotalDistance"),
-            dist(m.very_kind).alias("VeryActiveDistance"),
-            dist(m.moderate_kind).alias("ModeratelyActiveDistance"),
-            dist(m.light_kind).alias("LightActiveDistance"),
-            dist(m.sedentary_kind).alias("SedentaryActiveDistance"),
-            minutes(m.very_kind).alias("VeryActiveMinutes"),
-            minutes(m.moderate_kind).alias("FairlyActiveMinutes"),
-            minutes(m.light_kind).alias("LightlyActiveMinutes"),
-            minutes(m.sedentary_kind).alias("SedentaryMinutes"),
-            (F.sum(value) * F.lit(m.calories_per_value)).alias("Calories"),
-        )
+        .agg(*activity_measures(m))
     )
 
 
 def daily_sleep(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
     """Per user-day sleep; ``SleepDay`` is written as the exports write it
     (``M/d/yyyy 12:00:00 AM``) so the cleaning step has real text to parse."""
-    value = F.col(m.value)
-    per_day = events.where(F.col(m.kind) == m.sleep_kind).groupBy(
-        F.col(m.user).alias("Id"), _day(m).alias("_day")
-    )
-    return per_day.agg(
-        F.count(F.lit(1)).cast("int").alias("TotalSleepRecords"),
-        F.sum(value).alias("TotalMinutesAsleep"),
-        (F.sum(value) + F.lit(m.bed_minutes_per_record) * F.count(F.lit(1))).alias("TotalTimeInBed"),
-    ).select(
-        "Id",
-        F.concat(F.date_format("_day", DAY_FORMAT), F.lit(" 12:00:00 AM")).alias("SleepDay"),
-        "TotalSleepRecords",
-        "TotalMinutesAsleep",
-        "TotalTimeInBed",
+    return (
+        sleep_events(events, m)
+        .groupBy(F.col(m.user).alias("Id"), _day(m).alias("_day"))
+        .agg(*sleep_measures(m))
+        .select("Id", sleep_day_text("_day").alias("SleepDay"), "TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed")
     )
 
 
 def daily_heartrate(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
     return (
-        events.where(F.col(m.kind) == m.heart_kind)
+        heartrate_events(events, m)
         .groupBy(F.col(m.user).alias("Id"), _day(m).alias("Day"))
-        .agg(
-            F.avg(m.value).alias("Mean_Value"),
-            F.count(F.lit(1)).cast("int").alias("Entry_Count"),
-        )
+        .agg(*heartrate_measures(m))
     )
 
 
