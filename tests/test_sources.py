@@ -5,7 +5,7 @@ import tempfile
 import pytest
 
 from vitalspark import operators as ops
-from vitalspark.plans.analyses import ANALYSES, Params
+from vitalspark.plans.analyses import ANALYSES, NEEDS_EVENTS, Params, present
 from vitalspark.sources import TrackerTables, load_tracker_tables, read_table
 
 from conftest import SF_SMALL
@@ -97,9 +97,11 @@ def test_read_table_rejects_unknown_and_missing(spark):
 def test_every_analysis_runs_on_csv_exports(spark, csv_tables):
     p = Params()
     for key, fn in ANALYSES.items():
-        if key == "duplicates":  # needs the raw event log
+        if key in NEEDS_EVENTS:
+            with pytest.raises(ValueError):
+                fn(csv_tables, p)
             continue
-        fn(csv_tables, p).collect()
+        present(key, fn(csv_tables, p)).collect()
 
 
 def test_csv_pipeline_values(csv_tables):
@@ -129,3 +131,9 @@ def test_event_log_tables(spark):
     assert t.minute_mets.count() == ev.count()
     assert t.hourly_steps.agg({"StepTotal": "sum"}).collect()[0][0] == ev.count()
     assert t.daily_activity.agg({"TotalSteps": "sum"}).collect()[0][0] == ev.count() - n_view
+
+
+def test_present_applies_the_original_order(csv_tables):
+    out = present("activity_clean", ANALYSES["activity_clean"](csv_tables, Params())).collect()
+    keys = [(r.Date, r.Id) for r in out]
+    assert keys == sorted(keys)

@@ -34,7 +34,7 @@ from vitalspark.operators.joins import (
     user_segments_join,
 )
 from vitalspark.operators.numbering import dense_index
-from vitalspark.operators.quality import duplicates, null_counts
+from vitalspark.operators.quality import duplicate_summary, duplicates, null_counts
 from vitalspark.operators.regression import fit_and_predict, fit_line, predict_line
 from vitalspark.operators.sampling import sample_keys, sample_rows
 from vitalspark.operators.sizing import checked_broadcast, ensure_checkpoint_dir, materialize
@@ -48,6 +48,7 @@ __all__ = [
     "dense_index",
     "distinct_users",
     "drilldown",
+    "duplicate_summary",
     "duplicates",
     "ensure_checkpoint_dir",
     "fit_and_predict",

@@ -28,3 +28,13 @@ def duplicates(df: DataFrame, keys: Sequence[str], count_col: str = "Count") ->
         .agg(F.count(F.lit(1)).alias(count_col))
         .where(F.col(count_col) > 1)
     )
+
+
+def duplicate_summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: how many key groups occur more than once (``duplicate_groups``)
+    and how many rows those groups hold (``duplicate_rows``)."""
+    groups = duplicates(df, keys, "_count")
+    return groups.agg(
+        F.count(F.lit(1)).alias("duplicate_groups"),
+        F.coalesce(F.sum("_count"), F.lit(0)).alias("duplicate_rows"),
+    )

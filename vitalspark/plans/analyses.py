@@ -59,12 +59,29 @@ def duplicate_activity_days(t: TrackerTables, p: Params) -> DataFrame:
     return ops.duplicates(activity_clean(t, p), ["Id", "Date", "TotalSteps"])
 
 
+def _event_keys(t: TrackerTables) -> DataFrame:
+    if t.events is None:
+        raise ValueError("this check needs the raw event log")
+    return t.events.select("user_id", F.to_date("ts").alias("Date"), "event_type")
+
+
+# Analyses that read the raw event log rather than the tracker tables.
+NEEDS_EVENTS = ("duplicates", "duplicate_event_count")
+
+
 def duplicates(t: TrackerTables, p: Params) -> DataFrame:
     """The duplicate-key check on the raw event log, keyed by (user, day, kind)."""
-    if t.events is None:
-        raise ValueError("duplicates needs the raw event log")
-    ev = t.events.select("user_id", F.to_date("ts").alias("Date"), "event_type")
-    return ops.duplicates(ev, ["user_id", "Date", "event_type"])
+    return ops.duplicates(_event_keys(t), ["user_id", "Date", "event_type"])
+
+
+def duplicate_count(t: TrackerTables, p: Params) -> DataFrame:
+    """The printed duplicate check as a one-row frame (activity key groups)."""
+    return ops.duplicate_summary(activity_clean(t, p), ["Id", "Date", "TotalSteps"])
+
+
+def duplicate_event_count(t: TrackerTables, p: Params) -> DataFrame:
+    """The same one-row summary over the raw event log keys."""
+    return ops.duplicate_summary(_event_keys(t), ["user_id", "Date", "event_type"])
 
 
 def mets_clean(t: TrackerTables, p: Params) -> DataFrame:
@@ -209,6 +226,8 @@ ANALYSES: dict[str, Analysis] = {
     "null_count": null_count,
     "duplicates": duplicates,
     "duplicate_activity_days": duplicate_activity_days,
+    "duplicate_count": duplicate_count,
+    "duplicate_event_count": duplicate_event_count,
     "mets_clean": mets_clean,
     "sleep_clean": sleep_clean,
     "hourly_split": hourly_split,
@@ -240,3 +259,30 @@ ANALYSES: dict[str, Analysis] = {
     "sample_user_fits": sample_user_fits,
     "sample_user_drilldown": sample_user_drilldown,
 }
+
+
+# The order in which the original analyses present each result (their final
+# sort); the frames above are unordered and sorting is a presentation step.
+PRESENTATION_ORDER: dict[str, tuple[str, ...]] = {
+    "activity_clean": ("Date", "Id"),
+    "sleep_clean": ("Date", "Id"),
+    "intensities_clean": ("Id", "Date"),
+    "weekday_avg": ("WeekDayN", "WeekDay"),
+    "hour_avg_calories": ("Hour",),
+    "hour_avg_steps": ("Hour",),
+    "daily_trend": ("Date",),
+    "mets_frequency": ("METs",),
+    "sleep_weekday_avg": ("WeekDayN",),
+    "sleep_on_activity_days": ("Date",),
+    "sleep_on_activity_days_join": ("Date",),
+    "consecutive_ids": ("Id_Consecutive",),
+    "sample_users": ("SampleRank",),
+    "sample_user_days": ("SampleRank", "Day"),
+}
+
+
+def present(key: str, df: DataFrame) -> DataFrame:
+    """Apply the analysis' presentation order (a global sort: range-partitioned,
+    so it scales, but it is a full shuffle - use it for display or export)."""
+    order = PRESENTATION_ORDER.get(key)
+    return df.orderBy(*order) if order else df

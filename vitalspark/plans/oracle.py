@@ -232,6 +232,19 @@ def _queries(p: Params) -> dict[str, tuple[str, list[str], set[str]]]:
             ["Id", "Date", "TotalSteps", "Count"],
             set(),
         ),
+        "duplicate_count": (
+            """SELECT CAST(count(*) AS BIGINT) AS duplicate_groups, CAST(coalesce(sum(c), 0) AS BIGINT) AS duplicate_rows
+               FROM (SELECT count(*) AS c FROM activity_clean GROUP BY Id, Date, TotalSteps HAVING count(*) > 1)""",
+            ["duplicate_groups", "duplicate_rows"],
+            set(),
+        ),
+        "duplicate_event_count": (
+            """SELECT CAST(count(*) AS BIGINT) AS duplicate_groups, CAST(coalesce(sum(c), 0) AS BIGINT) AS duplicate_rows
+               FROM (SELECT count(*) AS c FROM events GROUP BY user_id, CAST(ts AS DATE), event_type
+                     HAVING count(*) > 1)""",
+            ["duplicate_groups", "duplicate_rows"],
+            set(),
+        ),
         "mets_clean": ("SELECT * FROM mets_clean", ["Id", "Date", "Time", "METs"], set()),
         "sleep_clean": (
             "SELECT * FROM sleep_clean",

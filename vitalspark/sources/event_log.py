@@ -16,8 +16,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalspark.constants import DAY_FORMAT
+from vitalspark.sources.schemas import EVENTS
 
 
 @dataclass(frozen=True)
@@ -37,20 +39,44 @@ class EventMapping:
     mets_divisor: float = 4.0
 
 
-@dataclass(frozen=True)
-class TrackerTables:
-    """The nine logical inputs of the analyses, as lazy DataFrames."""
+TABLE_NAMES = (
+    "daily_activity",
+    "daily_calories",
+    "daily_heartrate",
+    "daily_intensities",
+    "daily_steps",
+    "daily_sleep",
+    "minute_mets",
+    "hourly_steps",
+    "hourly_calories",
+)
+
 
-    daily_activity: DataFrame
-    daily_calories: DataFrame
-    daily_heartrate: DataFrame
-    daily_intensities: DataFrame
-    daily_steps: DataFrame
-    daily_sleep: DataFrame
-    minute_mets: DataFrame
-    hourly_steps: DataFrame
-    hourly_calories: DataFrame
-    events: DataFrame | None = None  # the raw log, when the tables came from one
+class TrackerTables:
+    """The nine logical inputs of the analyses.
+
+    Each table is given as a DataFrame or as a zero-argument function that
+    builds one; functions run on first access, so a query constructs (and
+    has analysed) only the tables it reads. ``events`` is the raw log, when
+    the tables came from one.
+    """
+
+    def __init__(self, events: DataFrame | None = None, **tables):
+        unknown = set(tables) - set(TABLE_NAMES)
+        missing = set(TABLE_NAMES) - set(tables)
+        if unknown or missing:
+            raise ValueError(f"tables: unknown {sorted(unknown)}, missing {sorted(missing)}")
+        self.events = events
+        self._sources = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        sources = self.__dict__.get("_sources", {})
+        if name not in sources:
+            raise AttributeError(name)
+        value = sources[name]
+        df = value if isinstance(value, DataFrame) else value()
+        self.__dict__[name] = df  # later lookups bypass __getattr__
+        return df
 
 
 def _day(m: EventMapping):
@@ -203,23 +229,34 @@ def daily_steps(activity: DataFrame) -> DataFrame:
 
 
 def tracker_tables(events: DataFrame, m: EventMapping = EventMapping()) -> TrackerTables:
-    activity = daily_activity(events, m)
-    return TrackerTables(
-        daily_activity=activity,
-        daily_calories=daily_calories(activity),
-        daily_heartrate=daily_heartrate(events, m),
-        daily_intensities=daily_intensities(activity),
-        daily_steps=daily_steps(activity),
-        daily_sleep=daily_sleep(events, m),
-        minute_mets=minute_mets(events, m),
-        hourly_steps=hourly_steps(events, m),
-        hourly_calories=hourly_calories(events, m),
+    """Lazily derived tracker tables over one event log."""
+    t: TrackerTables
+
+    def activity() -> DataFrame:
+        return t.daily_activity
+
+    t = TrackerTables(
         events=events,
+        daily_activity=lambda: daily_activity(events, m),
+        daily_calories=lambda: daily_calories(activity()),
+        daily_heartrate=lambda: daily_heartrate(events, m),
+        daily_intensities=lambda: daily_intensities(activity()),
+        daily_steps=lambda: daily_steps(activity()),
+        daily_sleep=lambda: daily_sleep(events, m),
+        minute_mets=lambda: minute_mets(events, m),
+        hourly_steps=lambda: hourly_steps(events, m),
+        hourly_calories=lambda: hourly_calories(events, m),
     )
+    return t
 
 
-def read_events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_events(
+    spark: SparkSession, sf_dir: str, name: str = "events", schema: T.StructType | None = EVENTS
+) -> DataFrame:
+    """The event log at ``<sf_dir>/<name>.parquet``, with its declared schema
+    (no inference pass over file footers); ``schema=None`` infers it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def load_tracker_tables(spark: SparkSession, sf_dir: str, m: EventMapping = EventMapping()) -> TrackerTables:

@@ -69,6 +69,16 @@ HOURLY_STEPS = _st(("Id", L), ("ActivityHour", S), ("StepTotal", I))
 
 HOURLY_CALORIES = _st(("Id", L), ("ActivityHour", S), ("Calories", I))
 
+# The raw event log the tracker tables can be derived from.
+EVENTS = _st(
+    ("event_id", L),
+    ("ts", T.TimestampNTZType()),
+    ("user_id", L),
+    ("event_type", S),
+    ("value", D),
+    ("props", S),
+)
+
 SCHEMAS: dict[str, T.StructType] = {
     "daily_activity": DAILY_ACTIVITY,
     "daily_calories": DAILY_CALORIES,
