@@ -17,52 +17,52 @@ EXPORTS = {
         "ModeratelyActiveDistance,LightActiveDistance,SedentaryActiveDistance,VeryActiveMinutes,FairlyActiveMinutes,"
         "LightlyActiveMinutes,SedentaryMinutes,Calories",
         [
-            "1503960366,4/12/2016,13162,8.5,8.5,0,1.88,0.55,6.06,0,25,13,328,728,1985",
-            "1503960366,4/13/2016,10735,6.97,6.97,0,1.57,0.69,4.71,0,21,19,217,776,1797",
-            "1624580081,4/12/2016,8163,5.31,5.31,0,0,0,5.31,0,0,0,146,1294,1432",
-            "1624580081,4/13/2016,0,0,0,0,0,0,0,0,0,0,0,1440,1200",
-            "2022484408,4/12/2016,11875,8.34,8.34,0,3.31,0.77,4.26,0,42,16,233,1149,2390",
+            "4100000001,4/12/2016,12000,8.0,8.0,0,2.0,0.5,5.5,0,30,10,300,700,2000",
+            "4100000001,4/13/2016,10000,7.0,7.0,0,1.5,0.5,5.0,0,20,20,200,800,1800",
+            "4200000002,4/12/2016,8000,5.25,5.25,0,0,0,5.25,0,0,0,150,1290,1400",
+            "4200000002,4/13/2016,0,0,0,0,0,0,0,0,0,0,0,1440,1200",
+            "4300000003,4/12/2016,11000,8.25,8.25,0,3.25,0.75,4.25,0,40,15,230,1150,2400",
         ],
         "\r\n",
     ),
     "daily_sleep": (
         "Id,SleepDay,TotalSleepRecords,TotalMinutesAsleep,TotalTimeInBed",
         [
-            "1503960366,4/12/2016 12:00:00 AM,1,327,346",
-            "1503960366,4/13/2016 12:00:00 AM,2,384,407",
-            "1503960366,4/13/2016 12:00:00 AM,2,384,407",
-            "1624580081,4/12/2016 12:00:00 AM,1,412,442",
+            "4100000001,4/12/2016 12:00:00 AM,1,330,350",
+            "4100000001,4/13/2016 12:00:00 AM,2,380,400",
+            "4100000001,4/13/2016 12:00:00 AM,2,380,400",
+            "4200000002,4/12/2016 12:00:00 AM,1,410,440",
         ],
         "\r\n",
     ),
     "daily_heartrate": (
         "Id,Day,Mean_Value,Entry_Count",
         [
-            "2022484408,2016-04-12,75.80417700578991,4836",
-            "1503960366,2016-04-12,70.25,1000",
-            "1503960366,2016-04-13,72.5,900",
+            "4300000003,2016-04-12,75.5,4800",
+            "4100000001,2016-04-12,70.25,1000",
+            "4100000001,2016-04-13,72.5,900",
         ],
         "\n",
     ),
-    "minute_mets": ("Id,Activity,Minute,METs", ["1503960366,4/12/2016,00:00,10", "1503960366,4/12/2016,00:01,12"], "\n"),
+    "minute_mets": ("Id,Activity,Minute,METs", ["4100000001,4/12/2016,00:00,10", "4100000001,4/12/2016,00:01,12"], "\n"),
     "hourly_steps": (
         "Id,ActivityHour,StepTotal",
-        ["1503960366,4/12/2016 12:00:00 AM,373", "1503960366,4/12/2016 1:00:00 PM,160"],
+        ["4100000001,4/12/2016 12:00:00 AM,370", "4100000001,4/12/2016 1:00:00 PM,150"],
         "\n",
     ),
     "hourly_calories": (
         "Id,ActivityHour,Calories",
-        ["1503960366,4/12/2016 12:00:00 AM,81", "1503960366,4/12/2016 1:00:00 PM,61"],
+        ["4100000001,4/12/2016 12:00:00 AM,80", "4100000001,4/12/2016 1:00:00 PM,60"],
         "\n",
     ),
     "daily_intensities": (
         "Id,ActivityDay,SedentaryMinutes,LightlyActiveMinutes,FairlyActiveMinutes,VeryActiveMinutes,"
         "SedentaryActiveDistance,LightActiveDistance,ModeratelyActiveDistance,VeryActiveDistance",
-        ["1503960366,4/12/2016,728,328,13,25,0,6.06,0.55,1.88"],
+        ["4100000001,4/12/2016,700,300,10,30,0,5.5,0.5,2.0"],
         "\r\n",
     ),
-    "daily_calories": ("Id,ActivityDay,Calories", ["1503960366,4/12/2016,1985"], "\r\n"),
-    "daily_steps": ("Id,ActivityDay,StepTotal", ["1503960366,4/12/2016,13162"], "\r\n"),
+    "daily_calories": ("Id,ActivityDay,Calories", ["4100000001,4/12/2016,2000"], "\r\n"),
+    "daily_steps": ("Id,ActivityDay,StepTotal", ["4100000001,4/12/2016,12000"], "\r\n"),
 }
 
 
@@ -112,13 +112,13 @@ def test_csv_pipeline_values(csv_tables):
     sleep = ANALYSES["sleep_clean"](csv_tables, p)
     assert sleep.count() == 4  # the exact duplicate is kept
     svc = {r.Id: r for r in ANALYSES["sleep_vs_calories"](csv_tables, p).collect()}
-    assert svc[1503960366].TotalMinutesAsleep == 327 + 384 + 384
-    assert svc[1503960366].Calories == 1985 + 1797 + 1797
+    assert svc[4100000001].TotalMinutesAsleep == 330 + 380 + 380
+    assert svc[4100000001].Calories == 2000 + 1800 + 1800
     hc = ANALYSES["heartrate_calories"](csv_tables, p).collect()
     assert sorted((r.Id, r.Day) for r in hc) == [
-        (1503960366, dt.date(2016, 4, 12)),
-        (1503960366, dt.date(2016, 4, 13)),
-        (2022484408, dt.date(2016, 4, 12)),
+        (4100000001, dt.date(2016, 4, 12)),
+        (4100000001, dt.date(2016, 4, 13)),
+        (4300000003, dt.date(2016, 4, 12)),
     ]
     assert ops.distinct_users(csv_tables.daily_activity).count() == 3
 

@@ -2,7 +2,7 @@
 
 Every function takes :class:`TrackerTables` and :class:`Params` and returns a
 lazy DataFrame (except where an operator measures a small side table before
-broadcasting it). Presentation steps of the original notebook (charts, final
+broadcasting it). Presentation steps of the original analyses (charts, final
 sorts) are left out; the frames behind them are what is built here.
 """
 
