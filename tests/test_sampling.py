@@ -55,3 +55,11 @@ def test_dense_index_matches_sorted_rank(spark):
 def test_dense_index_empty(spark):
     df = spark.createDataFrame([], "Id long, v double")
     assert dense_index(df).count() == 0
+
+
+def test_sample_broadcast_is_proven_by_the_limit(spark):
+    from vitalspark.operators import static_max_rows
+
+    df = spark.createDataFrame([(i,) for i in range(50)], "Id long")
+    assert static_max_rows(sample_keys(df, "Id", 4, 1)) == 4
+    assert static_max_rows(spark.read.parquet("/root/testdata/sf0.001/events.parquet")) is None

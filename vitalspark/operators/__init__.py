@@ -37,12 +37,19 @@ from vitalspark.operators.numbering import dense_index
 from vitalspark.operators.quality import duplicate_summary, duplicates, null_counts
 from vitalspark.operators.regression import fit_and_predict, fit_line, predict_line
 from vitalspark.operators.sampling import sample_keys, sample_rows
-from vitalspark.operators.sizing import checked_broadcast, ensure_checkpoint_dir, materialize
+from vitalspark.operators.sizing import (
+    bounded_broadcast,
+    checked_broadcast,
+    ensure_checkpoint_dir,
+    materialize,
+    static_max_rows,
+)
 
 __all__ = [
     "activity_clean",
     "add_weekday",
     "average_by",
+    "bounded_broadcast",
     "checked_broadcast",
     "daily_trend",
     "dense_index",
@@ -74,6 +81,7 @@ __all__ = [
     "sleep_on_activity_days_join",
     "sleep_vs_calories",
     "sleep_weekday_average",
+    "static_max_rows",
     "totals_by",
     "user_segments",
     "user_segments_join",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.constants import SAMPLE_SEED, SAMPLE_SIZE
+from vitalspark.operators.sizing import bounded_broadcast
 
 
 def key_hash(key: str, seed: int):
@@ -38,7 +39,8 @@ def sample_keys(
 def sample_rows(df: DataFrame, sampled: DataFrame, key: str = "Id") -> DataFrame:
     """Rows of ``df`` whose key was sampled, with the sample's columns added.
 
-    ``sampled`` has at most k rows (a limit bounds it), so it is broadcast and
-    ``df`` is filtered where it lies, without a shuffle.
+    A sample from :func:`sample_keys` has at most k rows, which its plan proves
+    (the limit), so it is broadcast and ``df`` is filtered where it lies,
+    without a shuffle. Any other ``sampled`` frame is measured first.
     """
-    return df.join(F.broadcast(sampled), key, "inner")
+    return df.join(bounded_broadcast(sampled), key, "inner")

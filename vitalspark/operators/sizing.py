@@ -42,6 +42,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def static_max_rows(df: DataFrame) -> int | None:
+    """Upper bound on ``df``'s rows that the optimized plan proves (e.g. from a
+    ``limit``), or None when the plan gives no bound."""
+    try:
+        bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    except AttributeError:  # no JVM plan handle (e.g. Spark Connect): no proof
+        return None
+    return int(bound.get()) if bound.isDefined() else None
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` when its plan proves at most ``max_rows`` rows (no job
+    is run); otherwise measure it first with :func:`checked_broadcast`."""
+    bound = static_max_rows(df)
+    if bound is not None and bound <= max_rows:
+        return F.broadcast(df)
+    return checked_broadcast(df, max_rows)[0]
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Return ``(side, broadcast?)``: ``side`` carries a broadcast hint only
     when its measured row count is at most ``max_rows``."""

@@ -177,17 +177,21 @@ def minute_mets(events: DataFrame, m: EventMapping = EventMapping()) -> DataFram
 
 
 def _hourly(events: DataFrame, m: EventMapping) -> DataFrame:
-    # The hour bucket is formatted straight from the wall-clock timestamp, so
-    # the grouping does not depend on the session time zone.
-    return (
-        events.groupBy(
-            F.col(m.user).alias("Id"),
-            F.date_format(F.col(m.ts), "M/d/yyyy h:00:00 a").alias("ActivityHour"),
-        )
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("StepTotal"),
-            F.sum(m.value).alias("Calories"),
-        )
+    # Grouped on integer (day, hour) of the wall clock; the hour stamp text is
+    # formatted once per group, not once per event, and no step depends on
+    # the session time zone.
+    ts = F.col(m.ts)
+    per_hour = events.groupBy(
+        F.col(m.user).alias("Id"), F.to_date(ts).alias("_d"), F.hour(ts).alias("_h")
+    ).agg(
+        F.count(F.lit(1)).cast("int").alias("StepTotal"),
+        F.sum(m.value).alias("Calories"),
+    )
+    stamp = F.make_timestamp_ntz(
+        F.year("_d"), F.month("_d"), F.dayofmonth("_d"), F.col("_h"), F.lit(0), F.lit(0)
+    )
+    return per_hour.select(
+        "Id", F.date_format(stamp, "M/d/yyyy h:mm:ss a").alias("ActivityHour"), "StepTotal", "Calories"
     )
 
 
