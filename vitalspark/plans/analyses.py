@@ -214,6 +214,13 @@ def sample_user_fits(t: TrackerTables, p: Params) -> DataFrame:
     return ops.fit_line(sample_user_days(t, p), x="AvgHeartrate", y="Calories", by=["Id", "SampleRank"])
 
 
+def sample_user_predictions(t: TrackerTables, p: Params) -> DataFrame:
+    """Each sampled user's own line evaluated at each of their days."""
+    days = sample_user_days(t, p)
+    model = ops.fit_line(days, x="AvgHeartrate", y="Calories", by=["Id"])
+    return ops.predict_line(days, model, x="AvgHeartrate", out="FittedCalories", by=["Id"])
+
+
 def sample_user_drilldown(t: TrackerTables, p: Params) -> DataFrame:
     picked = sample_users(t, p).where(F.col("SampleRank") == p.drilldown_pick)
     days = ops.sample_rows(heartrate_calories(t, p), picked, "Id")
@@ -257,6 +264,7 @@ ANALYSES: dict[str, Analysis] = {
     "sample_users": sample_users,
     "sample_user_days": sample_user_days,
     "sample_user_fits": sample_user_fits,
+    "sample_user_predictions": sample_user_predictions,
     "sample_user_drilldown": sample_user_drilldown,
 }
 

@@ -378,6 +378,16 @@ def _queries(p: Params) -> dict[str, tuple[str, list[str], set[str]]]:
             ["Id", "SampleRank", "Slope", "Intercept", "N"],
             {"Slope", "Intercept"},
         ),
+        "sample_user_predictions": (
+            f"""SELECT d.Id, d.Day, d.Calories, d.AvgHeartrate, d.SampleRank,
+                 d.AvgHeartrate * m.Slope + m.Intercept AS FittedCalories
+               FROM sample_user_days d
+               LEFT JOIN (SELECT Id, {_slope('Calories', 'AvgHeartrate')} AS Slope,
+                            {_intercept('Calories', 'AvgHeartrate')} AS Intercept
+                          FROM sample_user_days GROUP BY Id) m ON d.Id = m.Id""",
+            ["Id", "Day", "Calories", "AvgHeartrate", "SampleRank", "FittedCalories"],
+            {"Calories", "AvgHeartrate", "FittedCalories"},
+        ),
         "sample_user_drilldown": (
             f"""SELECT d.Id, d.Day, a.VeryActiveMinutes, a.FairlyActiveMinutes, a.LightlyActiveMinutes,
                  a.SedentaryMinutes, d.Calories
