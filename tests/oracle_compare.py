@@ -90,12 +90,18 @@ def main(argv):
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
-    spark = (
+    # Session settings can be varied to check that results do not depend on
+    # them: CHECK_TZ (session time zone), CHECK_PARTITIONS, CHECK_ANSI.
+    builder = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("CHECK_PARTITIONS", "8"))
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if os.environ.get("CHECK_TZ"):
+        builder = builder.config("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
+    if os.environ.get("CHECK_ANSI"):
+        builder = builder.config("spark.sql.ansi.enabled", os.environ["CHECK_ANSI"])
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     qs, sqls = entry.queries(), entry.oracle_sql()
     con = duck_connection(sf_dir)
