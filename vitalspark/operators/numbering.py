@@ -1,10 +1,12 @@
 """Consecutive numbering of distinct keys (1..n in key order) without a
 single-partition window.
 
-The distinct keys are range-partitioned and sorted within partitions, then
-checkpointed so the layout is fixed. Each row's position is its partition's
-offset (a running count over the small per-partition table: one row per
-partition) plus its index inside the partition.
+The input is checkpointed once (its upstream work runs once, and retries read
+the checkpoint). Its distinct keys are range-partitioned and sorted within
+partitions; from a fixed input that layout is deterministic, and both uses of
+it below share one exchange. Each key's position is its partition's offset (a
+running count over a table with one row per partition) plus its index inside
+the partition.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ def dense_index(
     ascending; equal keys share a number; NULL keys get NULL)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ranged = materialize(keys.repartitionByRange(n, key).sortWithinPartitions(key))
+    base = materialize(df)
+    keys = base.select(key).where(F.col(key).isNotNull()).distinct()
+    ranged = keys.repartitionByRange(n, key).sortWithinPartitions(key)
     pos = ranged.select(
         key,
         F.spark_partition_id().alias("_p"),
@@ -41,4 +44,4 @@ def dense_index(
     index = pos.join(F.broadcast(offsets), "_p").select(
         key, (F.col("_off") + F.col("_m") - F.col("_m0") + F.lit(1)).alias(out)
     )
-    return df.join(index, key, "left")
+    return base.join(index, key, "left")
