@@ -33,10 +33,12 @@ def test_event_kind_filter_and_pruning_reach_the_scan(plans):
 
 
 def test_date_only_joins_broadcast_the_per_day_side(plans):
-    for key in ("user_segments", "sleep_on_activity_days", "segment_share", "consecutive_ids"):
+    for key in ("user_segments", "sleep_on_activity_days", "segment_share"):
         plan = plans[key]
         assert "BroadcastHashJoin [Date" in plan, key
         assert "SortMergeJoin [Date" not in plan and "hashpartitioning(Date" not in plan, key
+    # numbering reads its checkpointed input, not the event log again
+    assert "FileScan" not in plans["consecutive_ids"] and "Scan ExistingRDD" in plans["consecutive_ids"]
 
 
 def test_fits_use_no_join(plans):

@@ -36,7 +36,7 @@ from vitalspark.operators.joins import (
 from vitalspark.operators.numbering import dense_index
 from vitalspark.operators.quality import duplicate_summary, duplicates, null_counts
 from vitalspark.operators.regression import fit_and_predict, fit_line, predict_line
-from vitalspark.operators.sampling import sample_keys, sample_rows
+from vitalspark.operators.sampling import sample_key_rows, sample_keys, sample_rows
 from vitalspark.operators.sizing import (
     bounded_broadcast,
     checked_broadcast,
@@ -73,6 +73,7 @@ __all__ = [
     "predict_line",
     "rename_columns",
     "rounded_avg",
+    "sample_key_rows",
     "sample_keys",
     "sample_rows",
     "share_of_total",

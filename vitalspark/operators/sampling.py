@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.constants import SAMPLE_SEED, SAMPLE_SIZE
-from vitalspark.operators.sizing import bounded_broadcast
+from vitalspark.operators.sizing import bounded_broadcast, materialize
 
 
 def key_hash(key: str, seed: int):
@@ -44,3 +44,19 @@ def sample_rows(df: DataFrame, sampled: DataFrame, key: str = "Id") -> DataFrame
     without a shuffle. Any other ``sampled`` frame is measured first.
     """
     return df.join(bounded_broadcast(sampled), key, "inner")
+
+
+def sample_key_rows(
+    df: DataFrame,
+    key: str = "Id",
+    k: int = SAMPLE_SIZE,
+    seed: int = SAMPLE_SEED,
+    rank_col: str = "SampleRank",
+) -> DataFrame:
+    """All rows of ``k`` sampled keys, with their draw order.
+
+    The sample and the rows both come from ``df``; ``df`` is checkpointed once
+    so its upstream work (scans, joins) runs once instead of once per use.
+    """
+    base = materialize(df)
+    return sample_rows(base, sample_keys(base, key, k, seed, rank_col), key)

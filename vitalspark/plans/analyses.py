@@ -207,7 +207,7 @@ def sample_users(t: TrackerTables, p: Params) -> DataFrame:
 
 
 def sample_user_days(t: TrackerTables, p: Params) -> DataFrame:
-    return ops.sample_rows(heartrate_calories(t, p), sample_users(t, p), "Id")
+    return ops.sample_key_rows(heartrate_calories(t, p), "Id", p.sample_size, p.sample_seed)
 
 
 def sample_user_fits(t: TrackerTables, p: Params) -> DataFrame:
@@ -222,8 +222,7 @@ def sample_user_predictions(t: TrackerTables, p: Params) -> DataFrame:
 
 
 def sample_user_drilldown(t: TrackerTables, p: Params) -> DataFrame:
-    picked = sample_users(t, p).where(F.col("SampleRank") == p.drilldown_pick)
-    days = ops.sample_rows(heartrate_calories(t, p), picked, "Id")
+    days = sample_user_days(t, p).where(F.col("SampleRank") == p.drilldown_pick)
     return ops.drilldown(days, t.daily_activity)
 
 
