@@ -10,6 +10,7 @@ from vitalspark.streaming import (
     daily_heartrate_stream,
     daily_sleep_stream,
     start_rollup,
+    stream_checkpoint_location,
 )
 
 from conftest import SF_SMALL, rows
@@ -49,3 +50,11 @@ def test_sleep_stream_schema_matches_batch(spark):
     s = daily_sleep_stream(_stream(spark))
     assert s.isStreaming
     assert s.columns == daily_sleep(read_events(spark, SF_SMALL)).columns
+
+
+def test_default_stream_checkpoint_is_stable(spark):
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vitalspark-ck-"))
+        root = spark.conf.get("spark.checkpoint.dir")
+    assert stream_checkpoint_location(spark, "daily") == os.path.join(root, "streams", "daily")

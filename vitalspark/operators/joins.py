@@ -37,7 +37,7 @@ from vitalspark.constants import (
 )
 from vitalspark.functions.classify import quadrant
 from vitalspark.functions.columns import to_day
-from vitalspark.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast
+from vitalspark.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast, default_parallelism
 
 # Largest number of copies one generated array holds; a day with more activity
 # rows is split into several chunk rows, so no single row explodes unboundedly.
@@ -78,8 +78,11 @@ def sleep_on_activity_days(
     # their input partitioning says nothing about the output volume (a small
     # sleep table may sit in one partition). Spread them round-robin over the
     # cluster's cores so each task generates about the same number of rows.
-    parallelism = max(sleep.sparkSession.sparkContext.defaultParallelism, 1)
-    pairs = sleep.select("Date", "TotalMinutesAsleep").join(side, "Date", "inner").repartition(parallelism)
+    pairs = (
+        sleep.select("Date", "TotalMinutesAsleep")
+        .join(side, "Date", "inner")
+        .repartition(default_parallelism(sleep.sparkSession))
+    )
     return pairs.select(
         "Date", "TotalMinutesAsleep", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")
     ).drop("_k")

@@ -18,10 +18,20 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context in this process
+        return None
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Use the cluster's ``spark.checkpoint.dir``; only a local session without
-    one gets a private temporary folder (as in tests)."""
-    sc = spark.sparkContext
+    one gets a private temporary folder (as in tests). Under Spark Connect the
+    server's configuration applies and None is returned."""
+    sc = _context(spark)
+    if sc is None:
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -36,6 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Cores available to a stage: the context's default parallelism, or the
+    shuffle partition count where there is no local context."""
+    sc = _context(spark)
+    if sc is not None:
+        return max(sc.defaultParallelism, 1)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (eager): writes ``df`` to the checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,6 +6,7 @@ from vitalspark.streaming.rollup import (
     daily_sleep_stream,
     event_time_utc,
     start_rollup,
+    stream_checkpoint_location,
 )
 
 __all__ = [
@@ -14,4 +15,5 @@ __all__ = [
     "daily_sleep_stream",
     "event_time_utc",
     "start_rollup",
+    "stream_checkpoint_location",
 ]

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vitalspark.operators.sizing import ensure_checkpoint_dir
 from vitalspark.sources.event_log import (
     EventMapping,
     activity_events,
@@ -82,6 +81,14 @@ def daily_heartrate_stream(events: DataFrame, m: EventMapping = EventMapping(),
     )
 
 
+def stream_checkpoint_location(spark, name: str) -> str:
+    """``<spark.checkpoint.dir>/streams/<name>``: stable across restarts."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        raise ValueError("pass checkpoint_location or set spark.checkpoint.dir")
+    return os.path.join(root, "streams", name)
+
+
 def start_rollup(
     table: DataFrame,
     path: str,
@@ -93,11 +100,12 @@ def start_rollup(
     """Append a streamed daily table to Parquet at ``path``.
 
     The query's checkpoint (offsets and aggregation state) goes to
-    ``checkpoint_location``, by default ``<spark checkpoint dir>/<name>``, a
-    shared folder, so a restarted query resumes exactly where it stopped.
+    ``checkpoint_location``, by default ``<spark.checkpoint.dir>/streams/<name>``:
+    a stable path in the shared folder (not the per-application subfolder that
+    RDD checkpoints use), so a restarted application resumes where it stopped.
     """
     if checkpoint_location is None:
-        checkpoint_location = os.path.join(ensure_checkpoint_dir(table.sparkSession), "streams", name)
+        checkpoint_location = stream_checkpoint_location(table.sparkSession, name)
     writer = (
         table.writeStream.format("parquet")
         .outputMode("append")
