@@ -24,6 +24,14 @@ def test_no_python_udf_and_no_cartesian_product(plans):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
 
 
+def test_hash_aggregation_only(plans):
+    # Every aggregate is a (partial + final) hash aggregate: no sort-based
+    # aggregation and no sort feeding a grouping.
+    for key, plan in plans.items():
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan, key
+    assert "Sort [" not in plans["weekday_avg"]
+
+
 def test_event_kind_filter_and_pruning_reach_the_scan(plans):
     plan = plans["sleep_clean"]
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,view)]" in plan
