@@ -7,8 +7,9 @@
 (``daily_activity.csv``, ``daily_sleep.csv``, ... see ``sources.SCHEMAS``);
 ``--events PATH`` derives the tables from an event log (Parquet). Each analysis
 is written to ``OUT/<name>`` as Parquet, in its presentation order when
-``--ordered`` is given. Use ``spark-submit -m``-style launching on a cluster;
-``spark.checkpoint.dir`` must name a shared folder there.
+``--ordered`` is given. On a cluster, submit this module's file with
+``spark-submit`` (the package shipped with ``--py-files``); the session's
+``spark.checkpoint.dir`` must then name a shared folder.
 """
 
 from __future__ import annotations
