@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from vitalspark.constants import (
     DISTANCE_SCALE,
+    INTENSITY_LABELS,
+    INTENSITY_UNKNOWN,
     SEGMENT_LESS_LESS,
     SEGMENT_LESS_MORE,
     SEGMENT_MORE_LESS,
@@ -28,6 +30,7 @@ DIGITS = 6
 
 def _views(m: EventMapping, p: Params) -> str:
     lo, hi = p.intensity_cuts
+    low, medium, high = INTENSITY_LABELS
     return f"""
 daily_activity AS (
   SELECT user_id AS Id, CAST(ts AS DATE) AS ActivityDate,
@@ -118,10 +121,10 @@ user_totals AS (
 ),
 intensity_level AS (
   SELECT Id, AvgMETs,
-    CASE WHEN AvgMETs <= {lo} THEN 'Low'
-         WHEN AvgMETs > {lo} AND AvgMETs <= {hi} THEN 'Medium'
-         WHEN AvgMETs > {hi} THEN 'High'
-         ELSE 'n/d' END AS IntensityLevel
+    CASE WHEN AvgMETs <= {lo} THEN '{low}'
+         WHEN AvgMETs > {lo} AND AvgMETs <= {hi} THEN '{medium}'
+         WHEN AvgMETs > {hi} THEN '{high}'
+         ELSE '{INTENSITY_UNKNOWN}' END AS IntensityLevel
   FROM (SELECT Id, round(avg(METs)) AS AvgMETs FROM mets_clean GROUP BY Id)
 ),
 mets_frequency AS (
