@@ -68,6 +68,29 @@ def _event_keys(t: TrackerTables) -> DataFrame:
 # Analyses that read the raw event log rather than the tracker tables.
 NEEDS_EVENTS = ("duplicates", "duplicate_event_count")
 
+# Analyses that combine two daily tables (activity with sleep or heart rate).
+# Over an event log their tables are projected from one shared per user-day
+# roll-up, so the log is scanned once (see ``tracker_tables(share_daily=)``).
+SHARED_DAILY = frozenset(
+    {
+        "sleep_on_activity_days",
+        "sleep_on_activity_days_join",
+        "user_segments",
+        "user_segments_join",
+        "consecutive_ids",
+        "segment_share",
+        "sleep_vs_calories",
+        "sleep_calories_fit",
+        "heartrate_calories",
+        "heartrate_fit_by_user",
+        "sample_users",
+        "sample_user_days",
+        "sample_user_fits",
+        "sample_user_predictions",
+        "sample_user_drilldown",
+    }
+)
+
 
 def duplicates(t: TrackerTables, p: Params) -> DataFrame:
     """The duplicate-key check on the raw event log, keyed by (user, day, kind)."""

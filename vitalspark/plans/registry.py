@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitalspark.functions.columns import round_doubles
 from vitalspark.plans import oracle
-from vitalspark.plans.analyses import ANALYSES, Params
+from vitalspark.plans.analyses import ANALYSES, SHARED_DAILY, Params
 from vitalspark.sources.event_log import EventMapping, load_tracker_tables
 
 EVENT_PARAMS = Params(steps_cut=2.15, sleep_cut=59.4)
@@ -25,7 +25,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def run_analysis(spark: SparkSession, sf_dir: str, key: str, params: Params = EVENT_PARAMS) -> DataFrame:
-    tables = load_tracker_tables(spark, sf_dir, EVENT_MAPPING)
+    tables = load_tracker_tables(spark, sf_dir, EVENT_MAPPING, share_daily=key in SHARED_DAILY)
     return ANALYSES[key](tables, params)
 
 

@@ -12,7 +12,7 @@ The mapping of event kinds to tracker measures is a parameter
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,8 +83,14 @@ def _day(m: EventMapping):
     return F.to_date(F.col(m.ts))
 
 
-def activity_measures(m: EventMapping = EventMapping()) -> list:
-    """Aggregate expressions of the daily activity table (batch and streaming)."""
+def _rows(rows: Column | None) -> Column:
+    return F.count(F.lit(1)) if rows is None else rows
+
+
+def activity_measures(m: EventMapping = EventMapping(), rows: Column | None = None) -> list:
+    """Aggregate expressions of the daily activity table (batch, streaming and
+    the shared roll-up). ``rows`` counts the table's events (default: all rows
+    of the group)."""
     kind, value = F.col(m.kind), F.col(m.value)
 
     def dist(k: str):
@@ -94,7 +100,7 @@ def activity_measures(m: EventMapping = EventMapping()) -> list:
         return F.count(F.when(kind == k, F.lit(1))).cast("int")
 
     return [
-        F.count(F.lit(1)).cast("int").alias("TotalSteps"),
+        _rows(rows).cast("int").alias("TotalSteps"),
         F.sum(value).alias("TotalDistance"),
         dist(m.very_kind).alias("VeryActiveDistance"),
         dist(m.moderate_kind).alias("ModeratelyActiveDistance"),
@@ -108,17 +114,17 @@ def activity_measures(m: EventMapping = EventMapping()) -> list:
     ]
 
 
-def sleep_measures(m: EventMapping = EventMapping()) -> list:
+def sleep_measures(m: EventMapping = EventMapping(), rows: Column | None = None) -> list:
     value = F.col(m.value)
     return [
-        F.count(F.lit(1)).cast("int").alias("TotalSleepRecords"),
+        _rows(rows).cast("int").alias("TotalSleepRecords"),
         F.sum(value).alias("TotalMinutesAsleep"),
-        (F.sum(value) + F.lit(m.bed_minutes_per_record) * F.count(F.lit(1))).alias("TotalTimeInBed"),
+        (F.sum(value) + F.lit(m.bed_minutes_per_record) * _rows(rows)).alias("TotalTimeInBed"),
     ]
 
 
-def heartrate_measures(m: EventMapping = EventMapping()) -> list:
-    return [F.avg(m.value).alias("Mean_Value"), F.count(F.lit(1)).cast("int").alias("Entry_Count")]
+def heartrate_measures(m: EventMapping = EventMapping(), rows: Column | None = None) -> list:
+    return [F.avg(m.value).alias("Mean_Value"), _rows(rows).cast("int").alias("Entry_Count")]
 
 
 def activity_events(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
@@ -232,21 +238,90 @@ def daily_steps(activity: DataFrame) -> DataFrame:
     )
 
 
-def tracker_tables(events: DataFrame, m: EventMapping = EventMapping()) -> TrackerTables:
-    """Lazily derived tracker tables over one event log."""
+# --- one scan for several daily tables -------------------------------------------
+
+def daily_rollup(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
+    """Activity, sleep and heart-rate measures of every user-day in a single
+    aggregation, plus how many events of each part the day has. Each part's
+    measures read CASE-filtered copies of ``kind``/``value`` that are NULL
+    outside the part, so the values equal the three separate tables while the
+    log is scanned once instead of once per table."""
+    kind = F.col(m.kind)
+    conds = {
+        "activity": kind != m.sleep_kind,
+        "sleep": kind == m.sleep_kind,
+        "heart": kind == m.heart_kind,
+    }
+    restricted = events.select(
+        F.col(m.user).alias("_user"),
+        _day(m).alias("_day"),
+        *[F.when(c, kind).alias(f"_k_{p}") for p, c in conds.items()],
+        *[F.when(c, F.col(m.value)).alias(f"_v_{p}") for p, c in conds.items()],
+    )
+    aggs = []
+    for part, fn in (("activity", activity_measures), ("sleep", sleep_measures), ("heart", heartrate_measures)):
+        sub = replace(m, user="_user", kind=f"_k_{part}", value=f"_v_{part}")
+        rows = F.count(f"_k_{part}")  # the part's events: its kind copy is non-NULL there
+        aggs.append(rows.alias(f"_n_{part}"))
+        aggs += fn(sub, rows)
+    return restricted.groupBy("_user", "_day").agg(*aggs)
+
+
+def _from_rollup(rollup: DataFrame, part: str, day_name: str, columns: list) -> DataFrame:
+    return rollup.where(F.col(part) > 0).select(
+        F.col("_user").alias("Id"), F.col("_day").alias(day_name), *columns
+    )
+
+
+def tracker_tables(
+    events: DataFrame, m: EventMapping = EventMapping(), share_daily: bool = False
+) -> TrackerTables:
+    """Lazily derived tracker tables over one event log.
+
+    With ``share_daily`` the daily activity, sleep and heart-rate tables are
+    projections of one checkpointed :func:`daily_rollup` (built on first use),
+    so an analysis combining them scans the log once; otherwise each table is
+    its own aggregate, pruned to what the analysis reads.
+    """
     t: TrackerTables
+    shared: dict[str, DataFrame] = {}
+
+    def rollup() -> DataFrame:
+        if "r" not in shared:
+            from vitalspark.operators.sizing import materialize
+
+            shared["r"] = materialize(daily_rollup(events, m))
+        return shared["r"]
 
     def activity() -> DataFrame:
         return t.daily_activity
 
+    if share_daily:
+        act_cols = [
+            "TotalSteps", "TotalDistance", "VeryActiveDistance", "ModeratelyActiveDistance",
+            "LightActiveDistance", "SedentaryActiveDistance", "VeryActiveMinutes", "FairlyActiveMinutes",
+            "LightlyActiveMinutes", "SedentaryMinutes", "Calories",
+        ]
+        make_activity = lambda: _from_rollup(rollup(), "_n_activity", "ActivityDate", act_cols)
+        make_sleep = lambda: _from_rollup(
+            rollup(), "_n_sleep", "_d", ["TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"]
+        ).select(
+            "Id", sleep_day_text("_d").alias("SleepDay"), "TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"
+        )
+        make_heart = lambda: _from_rollup(rollup(), "_n_heart", "Day", ["Mean_Value", "Entry_Count"])
+    else:
+        make_activity = lambda: daily_activity(events, m)
+        make_sleep = lambda: daily_sleep(events, m)
+        make_heart = lambda: daily_heartrate(events, m)
+
     t = TrackerTables(
         events=events,
-        daily_activity=lambda: daily_activity(events, m),
+        daily_activity=make_activity,
         daily_calories=lambda: daily_calories(activity()),
-        daily_heartrate=lambda: daily_heartrate(events, m),
+        daily_heartrate=make_heart,
         daily_intensities=lambda: daily_intensities(activity()),
         daily_steps=lambda: daily_steps(activity()),
-        daily_sleep=lambda: daily_sleep(events, m),
+        daily_sleep=make_sleep,
         minute_mets=lambda: minute_mets(events, m),
         hourly_steps=lambda: hourly_steps(events, m),
         hourly_calories=lambda: hourly_calories(events, m),
@@ -263,5 +338,7 @@ def read_events(
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def load_tracker_tables(spark: SparkSession, sf_dir: str, m: EventMapping = EventMapping()) -> TrackerTables:
-    return tracker_tables(read_events(spark, sf_dir), m)
+def load_tracker_tables(
+    spark: SparkSession, sf_dir: str, m: EventMapping = EventMapping(), share_daily: bool = False
+) -> TrackerTables:
+    return tracker_tables(read_events(spark, sf_dir), m, share_daily)
