@@ -149,3 +149,26 @@ def test_every_analysis_on_an_empty_event_log(spark):
         out = fn(t, p).collect()
         # global aggregates still return their single row; everything else is empty
         assert len(out) <= 1, key
+
+
+def test_shared_rollup_equals_separate_tables(spark):
+    from vitalspark.sources import tracker_tables
+    from vitalspark.sources.event_log import read_events
+
+    from conftest import rows
+
+    events = read_events(spark, SF_SMALL)
+    # add rows with NULL kind / value / user to check the CASE-filtered measures
+    extra = spark.createDataFrame(
+        [(-1, dt.datetime(2024, 1, 3, 10), 3, None, 5.0, None),
+         (-2, dt.datetime(2024, 1, 3, 11), 3, "click", None, None),
+         (-3, dt.datetime(2024, 1, 3, 12), None, "view", 7.5, None)],
+        events.schema,
+    )
+    ev = events.unionByName(extra)
+    separate, shared = tracker_tables(ev), tracker_tables(ev, share_daily=True)
+    for name in ("daily_activity", "daily_sleep", "daily_heartrate", "daily_intensities"):
+        a, b = getattr(separate, name), getattr(shared, name)
+        assert a.columns == b.columns, name
+        assert a.dtypes == b.dtypes, name
+        assert rows(a) == rows(b), name
