@@ -101,3 +101,10 @@ def test_empty_inputs(spark):
     empty_sleep = spark.createDataFrame([], DAILY_SLEEP)
     assert activity_clean(empty_act).count() == 0
     assert sleep_clean(empty_sleep).count() == 0
+
+
+def test_hourly_split_accepts_timestamps(spark):
+    df = spark.createDataFrame(
+        [(1, dt.datetime(2016, 4, 12, 13, 0), 7)], "Id long, ActivityHour timestamp_ntz, StepTotal int"
+    )
+    assert rows(hourly_split(df, "StepTotal", "Steps")) == [(1, "4/12/2016", "13:00", 7)]

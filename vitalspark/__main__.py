@@ -21,7 +21,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from vitalspark.plans.analyses import ANALYSES, NEEDS_EVENTS, Params, present
-from vitalspark.sources import SCHEMAS, TrackerTables, read_table, tracker_tables
+from vitalspark.sources import TrackerTables, read_tables, tracker_tables
 from vitalspark.sources.event_log import read_events
 
 
@@ -29,11 +29,10 @@ def _tables(spark: SparkSession, args) -> TrackerTables:
     if args.events:
         folder, name = os.path.split(args.events.rstrip("/"))
         return tracker_tables(read_events(spark, folder or ".", name.removesuffix(".parquet")))
-    paths = {name: os.path.join(args.tables, f"{name}.{args.format}") for name in SCHEMAS}
-    missing = [p for p in paths.values() if not os.path.exists(p)]
-    if missing:
-        raise SystemExit(f"missing tables: {missing}")
-    return TrackerTables(**{name: read_table(spark, name, path, args.format) for name, path in paths.items()})
+    try:
+        return read_tables(spark, args.tables, args.format)
+    except FileNotFoundError as e:
+        raise SystemExit(str(e)) from None
 
 
 def main(argv: list[str] | None = None) -> int:

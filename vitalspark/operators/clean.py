@@ -138,8 +138,13 @@ def hourly_split(
     strict: bool = True,
 ) -> DataFrame:
     """Hourly table -> ``Id, Day, Hour, <metric>`` where ``Day`` is ``M/d/yyyy``
-    text and ``Hour`` is ``HH:mm`` text of the parsed 12-hour stamp."""
-    ts = parse_timestamp(stamp_col, stamp_format, strict)
+    text and ``Hour`` is ``HH:mm`` text of the parsed 12-hour stamp (a stamp
+    that is already a timestamp is used as it is)."""
+    dtype = _dtype(hourly, stamp_col)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        ts = F.col(stamp_col)
+    else:
+        ts = parse_timestamp(stamp_col, stamp_format, strict)
     return hourly.select(
         "Id",
         F.date_format(ts, DAY_FORMAT).alias("Day"),

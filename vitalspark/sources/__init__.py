@@ -7,7 +7,7 @@ from vitalspark.sources.event_log import (
     read_events,
     tracker_tables,
 )
-from vitalspark.sources.readers import read_table
+from vitalspark.sources.readers import read_table, read_tables
 from vitalspark.sources.schemas import SCHEMAS
 
 __all__ = [
@@ -17,5 +17,6 @@ __all__ = [
     "load_tracker_tables",
     "read_events",
     "read_table",
+    "read_tables",
     "tracker_tables",
 ]

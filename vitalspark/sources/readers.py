@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalspark.sources.schemas import REQUIRED, SCHEMAS
@@ -41,3 +43,17 @@ def read_table(
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
     return df
+
+
+def read_tables(spark: SparkSession, folder: str, fmt: str = "csv", mode: str = "PERMISSIVE"):
+    """All nine tables from ``<folder>/<table>.<fmt>`` as :class:`TrackerTables`."""
+    from vitalspark.sources.event_log import TrackerTables
+
+    paths = {name: f"{folder.rstrip('/')}/{name}.{fmt}" for name in SCHEMAS}
+    # Local folders are checked up front; for remote stores (s3://, hdfs://)
+    # Spark reports a missing path when it lists the files.
+    local = "://" not in folder or folder.startswith("file://")
+    missing = [p for p in paths.values() if local and not os.path.exists(p.removeprefix("file://"))]
+    if missing:
+        raise FileNotFoundError(f"missing tables: {missing}")
+    return TrackerTables(**{name: read_table(spark, name, path, fmt, mode) for name, path in paths.items()})
