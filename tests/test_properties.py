@@ -1,5 +1,6 @@
 """Property tests: the rewritten operators equal their plain definitions on
-random inputs (NULLs, duplicate rows, hot days, tiny chunk sizes)."""
+random inputs (NULLs, duplicate rows, hot days, tiny chunk sizes), and the
+scalar classifications / rounding equal their Python definitions."""
 
 import datetime as dt
 import math
@@ -104,3 +105,58 @@ def test_shares_sum_to_one(spark, rows):
         assert math.isclose(sum(r.Share for r in out), 1.0, rel_tol=1e-9)
     else:
         assert all(r.Share is None or math.isnan(r.Share) for r in out)
+
+
+def _bucket(x, cuts=(10, 16), labels=("Low", "Medium", "High"), null="n/d"):
+    if x is None:
+        return null
+    if math.isnan(x):
+        return labels[-1]  # NaN sorts above every number in Spark
+    if x <= cuts[0]:
+        return labels[0]
+    if x <= cuts[1]:
+        return labels[1]
+    return labels[2]
+
+
+@SETTINGS
+@given(xs=st.lists(st.one_of(st.none(), st.floats(allow_infinity=True), st.sampled_from([10.0, 16.0])), max_size=40))
+def test_bucketize_matches_definition(spark, xs):
+    from vitalspark.functions import bucketize
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double")
+    got = {r.i: r.b for r in df.select("i", bucketize("x", [10, 16], ["Low", "Medium", "High"], "n/d").alias("b")).collect()}
+    assert got == {i: _bucket(x) for i, x in enumerate(xs)}
+
+
+@SETTINGS
+@given(pairs=st.lists(st.tuples(st.one_of(st.none(), st.sampled_from([9999.0, 10000.0, 10001.0])),
+                                st.one_of(st.none(), st.sampled_from([419.0, 420.0, 421.0]))), max_size=30))
+def test_quadrant_matches_definition(spark, pairs):
+    from vitalspark.functions import quadrant
+
+    def want(a, b):
+        if a is None or b is None:
+            return "Other"
+        return ("H" if a >= 10000 else "L") + ("H" if b >= 420 else "L")
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a double, b double")
+    q = quadrant("a", 10000, "b", 420, "HH", "HL", "LH", "LL", "Other")
+    assert {r.i: r.q for r in df.select("i", q.alias("q")).collect()} == {
+        i: want(a, b) for i, (a, b) in enumerate(pairs)
+    }
+
+
+@SETTINGS
+@given(vals=st.lists(st.tuples(st.integers(-10**9, 10**9), st.integers(0, 12)), min_size=1, max_size=40))
+def test_round_half_up_is_exact_decimal_rounding(spark, vals):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from vitalspark.functions import round_half_up
+
+    xs = [k / 2**e / 100 for k, e in vals]  # many exact decimal ties
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double")
+    got = {r.i: r.r for r in df.select("i", round_half_up("x", 6).alias("r")).collect()}
+    for i, x in enumerate(xs):
+        snapped = Decimal(repr(x)).quantize(Decimal("1e-10"), rounding=ROUND_HALF_UP)
+        assert got[i] == float(snapped.quantize(Decimal("1e-6"), rounding=ROUND_HALF_UP)), x
