@@ -59,3 +59,23 @@ def test_default_stream_checkpoint_is_stable(spark):
     if root is None:
         pytest.skip("spark.checkpoint.dir is not configured")
     assert stream_checkpoint_location(spark, "daily") == os.path.join(root, "streams", "daily")
+
+
+def test_streamed_sleep_days_equal_batch(spark):
+    batch_events = read_events(spark, SF_SMALL)
+    last_day = batch_events.agg(F.max(F.to_date("ts"))).first()[0]
+    out = tempfile.mkdtemp(prefix="vitalspark-stream-sleep-")
+    q = start_rollup(
+        daily_sleep_stream(_stream(spark)),
+        os.path.join(out, "sleep"),
+        "rollup_sleep",
+        checkpoint_location=os.path.join(out, "_ck"),
+        available_now=True,
+    )
+    q.awaitTermination()
+    day = F.to_date(F.split("SleepDay", " ")[0], "M/d/yyyy")
+    closed = day < F.lit(last_day - dt.timedelta(days=1))
+    streamed = spark.read.parquet(os.path.join(out, "sleep"))
+    expected = daily_sleep(batch_events).where(closed)
+    assert streamed.count() == expected.count() > 0
+    assert rows(streamed.select(*expected.columns)) == rows(expected)
