@@ -28,7 +28,10 @@ from vitalspark.sources.event_log import read_events
 def _tables(spark: SparkSession, args) -> TrackerTables:
     if args.events:
         folder, name = os.path.split(args.events.rstrip("/"))
-        return tracker_tables(read_events(spark, folder or ".", name.removesuffix(".parquet")))
+        events = read_events(spark, folder or ".", name.removesuffix(".parquet"))
+        # One checkpointed per user-day roll-up serves every daily analysis of
+        # the run: the log is scanned once for all of them.
+        return tracker_tables(events, share_daily=True)
     try:
         return read_tables(spark, args.tables, args.format)
     except FileNotFoundError as e:
