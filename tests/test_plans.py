@@ -49,9 +49,12 @@ def test_date_only_joins_broadcast_the_per_day_side(plans):
     assert "FileScan" not in plans["consecutive_ids"] and "Scan ExistingRDD" in plans["consecutive_ids"]
 
 
-def test_fits_use_no_join(plans):
-    for key in ("user_totals_fit", "mets_frequency_fit", "sleep_calories_fit"):
-        assert "Join" not in plans[key].split("Subquery")[0], key
+def test_fits_add_no_join(plans):
+    # The fitted line reads the model through a scalar subquery, never a join.
+    for key in ("user_totals_fit", "mets_frequency_fit"):
+        assert "Join" not in plans[key], key
+    join_lines = [line for line in plans["sleep_calories_fit"].splitlines() if "Join" in line]
+    assert join_lines and all("[Id" in line for line in join_lines)
 
 
 def test_sampled_ids_are_broadcast(plans):
