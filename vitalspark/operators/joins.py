@@ -213,9 +213,14 @@ def drilldown(
     daily_activity: DataFrame,
     date_format: str = DAY_FORMAT,
     strict: bool = True,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Join selected (Id, Day) rows back to raw daily activity and show the
-    minutes spent at each intensity next to the calories of the day."""
+    minutes spent at each intensity next to the calories of the day.
+
+    The selected days (one or a few users) are measured and broadcast, so
+    the activity table is filtered where it lies instead of being shuffled
+    to meet them; above the bound it is a shuffle join."""
     a = daily_activity.select(
         "Id",
         _activity_day(daily_activity, date_format, strict).alias("Day"),
@@ -224,7 +229,8 @@ def drilldown(
         "LightlyActiveMinutes",
         "SedentaryMinutes",
     )
-    return days.select("Id", "Day", "Calories").join(a, ["Id", "Day"], "inner").select(
+    picked, _ = checked_broadcast(days.select("Id", "Day", "Calories"), max_broadcast_rows)
+    return a.join(picked, ["Id", "Day"], "inner").select(
         "Id",
         "Day",
         "VeryActiveMinutes",
