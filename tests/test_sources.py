@@ -172,3 +172,27 @@ def test_shared_rollup_equals_separate_tables(spark):
         assert a.columns == b.columns, name
         assert a.dtypes == b.dtypes, name
         assert rows(a) == rows(b), name
+
+
+def test_bucketed_rollup_joins_without_shuffle(spark):
+    from vitalspark import operators as ops
+    from vitalspark.sources import tracker_tables
+    from vitalspark.sources.event_log import read_events
+
+    from conftest import rows
+
+    ev = read_events(spark, SF_SMALL)
+    bucketed = tracker_tables(ev, rollup_table="vitalspark_test_rollup")
+    shared = tracker_tables(ev, share_daily=True)
+    hc = ops.heartrate_calories(bucketed.daily_activity, bucketed.daily_heartrate)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    saved = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:  # as for tables too large to broadcast
+            spark.conf.set(k, "-1")
+        plan = hc._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "hashpartitioning" not in plan
+    assert rows(hc) == rows(ops.heartrate_calories(shared.daily_activity, shared.daily_heartrate))

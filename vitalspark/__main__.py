@@ -31,7 +31,7 @@ def _tables(spark: SparkSession, args) -> TrackerTables:
         events = read_events(spark, folder or ".", name.removesuffix(".parquet"))
         # One checkpointed per user-day roll-up serves every daily analysis of
         # the run: the log is scanned once for all of them.
-        return tracker_tables(events, share_daily=True)
+        return tracker_tables(events, share_daily=True, rollup_table=args.rollup_table)
     try:
         return read_tables(spark, args.tables, args.format)
     except FileNotFoundError as e:
@@ -47,6 +47,10 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out", required=True, help="output folder (one Parquet dataset per analysis)")
     ap.add_argument("--only", default="", help="comma-separated analyses (default: all)")
     ap.add_argument("--ordered", action="store_true", help="sort each result as originally presented")
+    ap.add_argument(
+        "--rollup-table",
+        help="with --events: write the daily roll-up as this bucketed catalog table (shuffle-free (Id, day) joins)",
+    )
     ap.add_argument("--steps-cut", type=float, default=Params().steps_cut)
     ap.add_argument("--sleep-cut", type=float, default=Params().sleep_cut)
     args = ap.parse_args(argv)

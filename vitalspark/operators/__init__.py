@@ -43,6 +43,7 @@ from vitalspark.operators.sizing import (
     ensure_checkpoint_dir,
     materialize,
     static_max_rows,
+    write_bucketed,
 )
 
 __all__ = [
@@ -88,4 +89,5 @@ __all__ = [
     "user_segments_join",
     "user_totals",
     "weekday_average",
+    "write_bucketed",
 ]

@@ -61,6 +61,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a table bucketed and sorted by ``keys`` into
+    ``<checkpoint dir>/tables/<table>`` and return it read back.
+
+    Joins and aggregations on ``keys`` over the returned frame need no shuffle
+    (each bucket is one partition). Bucketing requires a catalog table, so the
+    caller names it; an existing table of that name is replaced.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to write bucketed tables")
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.write.mode("overwrite")
+        .bucketBy(n, *keys)
+        .sortBy(*keys)
+        .option("path", f"{root.rstrip('/')}/tables/{table}")
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
 def static_max_rows(df: DataFrame) -> int | None:
     """Upper bound on ``df``'s rows that the optimized plan proves (e.g. from a
     ``limit``), or None when the plan gives no bound."""

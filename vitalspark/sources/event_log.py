@@ -274,23 +274,31 @@ def _from_rollup(rollup: DataFrame, part: str, day_name: str, columns: list) ->
 
 
 def tracker_tables(
-    events: DataFrame, m: EventMapping = EventMapping(), share_daily: bool = False
+    events: DataFrame,
+    m: EventMapping = EventMapping(),
+    share_daily: bool = False,
+    rollup_table: str | None = None,
 ) -> TrackerTables:
     """Lazily derived tracker tables over one event log.
 
     With ``share_daily`` the daily activity, sleep and heart-rate tables are
     projections of one checkpointed :func:`daily_rollup` (built on first use),
     so an analysis combining them scans the log once; otherwise each table is
-    its own aggregate, pruned to what the analysis reads.
+    its own aggregate, pruned to what the analysis reads. With
+    ``rollup_table`` (implies ``share_daily``) the roll-up is instead written
+    as a catalog table of that name, bucketed by (user, day), so the joins on
+    (Id, day) between the daily tables run without any shuffle.
     """
     t: TrackerTables
     shared: dict[str, DataFrame] = {}
+    share_daily = share_daily or rollup_table is not None
 
     def rollup() -> DataFrame:
         if "r" not in shared:
-            from vitalspark.operators.sizing import materialize
+            from vitalspark.operators.sizing import materialize, write_bucketed
 
-            shared["r"] = materialize(daily_rollup(events, m))
+            r = daily_rollup(events, m)
+            shared["r"] = write_bucketed(r, rollup_table, ["_user", "_day"]) if rollup_table else materialize(r)
         return shared["r"]
 
     def activity() -> DataFrame:
