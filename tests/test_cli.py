@@ -27,3 +27,13 @@ def test_cli_over_csv_tables(spark):
     written = set(os.listdir(out))
     assert "sleep_vs_calories" in written and "duplicates" not in written  # needs an event log
     assert spark.read.parquet(os.path.join(out, "sleep_clean")).count() == 4
+
+
+def test_cli_with_a_bucketed_rollup(spark):
+    out = tempfile.mkdtemp(prefix="vitalspark-cli-bucket-")
+    keys = "heartrate_calories,sleep_vs_calories,user_segments"
+    args = ["--events", f"{SF_SMALL}/events.parquet", "--out", out, "--only", keys, "--rollup-table", "cli_test_rollup"]
+    assert main(args) == 0
+    for key in keys.split(","):
+        assert spark.read.parquet(os.path.join(out, key)).count() > 0
+    assert spark.catalog.tableExists("cli_test_rollup")
