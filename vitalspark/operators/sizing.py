@@ -1,10 +1,14 @@
-"""Size-checked broadcast of small side tables.
-
-A side table is broadcast only after its row count has been measured; above
-the bound it is returned as is, for a shuffle join (where AQE's skew handling
-splits hot keys). The table is checkpointed first, so measuring it does not
-recompute the (possibly large) scan it was aggregated from, and the lineage is
-cut: a lost executor re-reads the checkpoint instead of re-running the scan.
+"""Materialisation and size checks.
+
+* ``materialize``: reliable checkpoint into ``spark.checkpoint.dir`` (lineage
+  cut: a lost executor re-reads the checkpoint instead of re-running scans).
+* ``checked_broadcast``: a side table is broadcast only after its row count
+  has been measured; above the bound it is returned as is, for a shuffle join
+  (where AQE's skew handling splits hot keys). It is checkpointed first, so
+  measuring it does not recompute the (possibly large) scan behind it.
+* ``bounded_broadcast``: no measuring job when the plan itself proves the
+  bound (a ``limit``).
+* ``write_bucketed``: a table bucketed on join keys, for shuffle-free joins.
 """
 
 from __future__ import annotations
