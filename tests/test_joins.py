@@ -106,3 +106,19 @@ def test_heartrate_calories_and_drilldown(spark):
     assert rows(hc) == [(1, D[0], 2000, 70.5), (2, D[0], 0, 80.0)]
     dd = drilldown(hc.where("Id = 1"), act)
     assert rows(dd) == [(1, D[0], 1, 2, 3, 4, 2000)]
+
+
+def test_session_broadcast_bound(spark, frames):
+    from vitalspark.operators.sizing import MAX_BROADCAST_ROWS_CONF
+
+    a, s = frames
+    default = user_segments(a, s, 10000, 420)
+    assert "strategy=broadcast" in default._jdf.queryExecution().optimizedPlan().toString()
+    expected = _approx(rows(default))
+    spark.conf.set(MAX_BROADCAST_ROWS_CONF, "0")
+    try:
+        fallback = user_segments(a, s, 10000, 420)
+        assert "strategy=broadcast" not in fallback._jdf.queryExecution().optimizedPlan().toString()
+        assert _approx(rows(fallback)) == expected
+    finally:
+        spark.conf.unset(MAX_BROADCAST_ROWS_CONF)

@@ -37,7 +37,7 @@ from vitalspark.constants import (
 )
 from vitalspark.functions.classify import quadrant
 from vitalspark.functions.columns import to_day
-from vitalspark.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast, default_parallelism
+from vitalspark.operators.sizing import checked_broadcast, default_parallelism
 
 # Largest number of copies one generated array holds; a day with more activity
 # rows is split into several chunk rows, so no single row explodes unboundedly.
@@ -57,7 +57,7 @@ def sleep_on_activity_days(
     activity: DataFrame,
     sleep: DataFrame,
     chunk: int = REPLICATION_CHUNK,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Same multiset of rows as :func:`sleep_on_activity_days_join`.
 
@@ -133,7 +133,7 @@ def user_segments(
     steps_cut: float = SEGMENT_STEPS_CUT,
     sleep_cut: float = SEGMENT_SLEEP_CUT,
     on: Sequence[str] = ("Date",),
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Per user ``AvgSteps``, ``AvgMinutesAsleep`` and a 2 x 2 segment, with
     the same values as :func:`user_segments_join`.
@@ -213,7 +213,7 @@ def drilldown(
     daily_activity: DataFrame,
     date_format: str = DAY_FORMAT,
     strict: bool = True,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Join selected (Id, Day) rows back to raw daily activity and show the
     minutes spent at each intensity next to the calories of the day.

@@ -19,7 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows, not bytes: the side tables here are narrow (a key and a few numbers).
+# A session can set its own bound with spark.vitalspark.maxBroadcastRows.
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS_CONF = "spark.vitalspark.maxBroadcastRows"
+
+
+def broadcast_row_bound(spark: SparkSession, max_rows: int | None = None) -> int:
+    """The broadcast bound: the explicit argument, else the session setting,
+    else the default."""
+    if max_rows is not None:
+        return max_rows
+    configured = spark.conf.get(MAX_BROADCAST_ROWS_CONF, None)
+    return int(configured) if configured else DEFAULT_MAX_BROADCAST_ROWS
 
 
 def _context(spark: SparkSession):
@@ -98,18 +109,21 @@ def static_max_rows(df: DataFrame) -> int | None:
     return int(bound.get()) if bound.isDefined() else None
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` when its plan proves at most ``max_rows`` rows (no job
     is run); otherwise measure it first with :func:`checked_broadcast`."""
+    max_rows = broadcast_row_bound(df.sparkSession, max_rows)
     bound = static_max_rows(df)
     if bound is not None and bound <= max_rows:
         return F.broadcast(df)
     return checked_broadcast(df, max_rows)[0]
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Return ``(side, broadcast?)``: ``side`` carries a broadcast hint only
-    when its measured row count is at most ``max_rows``."""
+    when its measured row count is at most ``max_rows`` (see
+    :func:`broadcast_row_bound`)."""
+    max_rows = broadcast_row_bound(df.sparkSession, max_rows)
     side = materialize(df)
     if side.count() <= max_rows:
         return F.broadcast(side), True
