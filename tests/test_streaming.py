@@ -79,3 +79,32 @@ def test_streamed_sleep_days_equal_batch(spark):
     expected = daily_sleep(batch_events).where(closed)
     assert streamed.count() == expected.count() > 0
     assert rows(streamed.select(*expected.columns)) == rows(expected)
+
+
+def test_one_streamed_rollup_feeds_all_daily_tables(spark):
+    from vitalspark.sources.event_log import activity_from_rollup, heartrate_from_rollup, sleep_from_rollup
+    from vitalspark.streaming import daily_rollup_stream
+
+    batch_events = read_events(spark, SF_SMALL)
+    last_day = batch_events.agg(F.max(F.to_date("ts"))).first()[0]
+    cutoff = F.lit(last_day - dt.timedelta(days=1))
+    out = tempfile.mkdtemp(prefix="vitalspark-stream-rollup-")
+    q = start_rollup(
+        daily_rollup_stream(_stream(spark)),
+        os.path.join(out, "rollup"),
+        "rollup_all",
+        checkpoint_location=os.path.join(out, "_ck"),
+        available_now=True,
+    )
+    q.awaitTermination()
+    rolled = spark.read.parquet(os.path.join(out, "rollup"))
+    cases = [
+        (activity_from_rollup, daily_activity, F.col("ActivityDate")),
+        (heartrate_from_rollup, daily_heartrate, F.col("Day")),
+        (sleep_from_rollup, daily_sleep, F.to_date(F.split("SleepDay", " ")[0], "M/d/yyyy")),
+    ]
+    for from_rollup, batch_fn, day in cases:
+        got = from_rollup(rolled)
+        want = batch_fn(batch_events).where(day < cutoff)
+        assert got.count() == want.count() > 0
+        assert rows(got.select(*want.columns)) == rows(want)

@@ -240,7 +240,9 @@ def daily_steps(activity: DataFrame) -> DataFrame:
 
 # --- one scan for several daily tables -------------------------------------------
 
-def daily_rollup(events: DataFrame, m: EventMapping = EventMapping()) -> DataFrame:
+def daily_rollup(
+    events: DataFrame, m: EventMapping = EventMapping(), extra_keys: tuple = (), carry: tuple = ()
+) -> DataFrame:
     """Activity, sleep and heart-rate measures of every user-day in a single
     aggregation, plus how many events of each part the day has. Each part's
     measures read CASE-filtered copies of ``kind``/``value`` that are NULL
@@ -257,6 +259,7 @@ def daily_rollup(events: DataFrame, m: EventMapping = EventMapping()) -> DataFra
         _day(m).alias("_day"),
         *[F.when(c, kind).alias(f"_k_{p}") for p, c in conds.items()],
         *[F.when(c, F.col(m.value)).alias(f"_v_{p}") for p, c in conds.items()],
+        *carry,  # e.g. the event-time column a streaming window needs
     )
     aggs = []
     for part, fn in (("activity", activity_measures), ("sleep", sleep_measures), ("heart", heartrate_measures)):
@@ -264,7 +267,28 @@ def daily_rollup(events: DataFrame, m: EventMapping = EventMapping()) -> DataFra
         rows = F.count(f"_k_{part}")  # the part's events: its kind copy is non-NULL there
         aggs.append(rows.alias(f"_n_{part}"))
         aggs += fn(sub, rows)
-    return restricted.groupBy("_user", "_day").agg(*aggs)
+    return restricted.groupBy("_user", "_day", *extra_keys).agg(*aggs)
+
+
+ACTIVITY_COLUMNS = [
+    "TotalSteps", "TotalDistance", "VeryActiveDistance", "ModeratelyActiveDistance",
+    "LightActiveDistance", "SedentaryActiveDistance", "VeryActiveMinutes", "FairlyActiveMinutes",
+    "LightlyActiveMinutes", "SedentaryMinutes", "Calories",
+]
+
+
+def activity_from_rollup(rollup: DataFrame) -> DataFrame:
+    return _from_rollup(rollup, "_n_activity", "ActivityDate", ACTIVITY_COLUMNS)
+
+
+def sleep_from_rollup(rollup: DataFrame) -> DataFrame:
+    return _from_rollup(rollup, "_n_sleep", "_d", ["TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"]).select(
+        "Id", sleep_day_text("_d").alias("SleepDay"), "TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"
+    )
+
+
+def heartrate_from_rollup(rollup: DataFrame) -> DataFrame:
+    return _from_rollup(rollup, "_n_heart", "Day", ["Mean_Value", "Entry_Count"])
 
 
 def _from_rollup(rollup: DataFrame, part: str, day_name: str, columns: list) -> DataFrame:
@@ -305,18 +329,9 @@ def tracker_tables(
         return t.daily_activity
 
     if share_daily:
-        act_cols = [
-            "TotalSteps", "TotalDistance", "VeryActiveDistance", "ModeratelyActiveDistance",
-            "LightActiveDistance", "SedentaryActiveDistance", "VeryActiveMinutes", "FairlyActiveMinutes",
-            "LightlyActiveMinutes", "SedentaryMinutes", "Calories",
-        ]
-        make_activity = lambda: _from_rollup(rollup(), "_n_activity", "ActivityDate", act_cols)
-        make_sleep = lambda: _from_rollup(
-            rollup(), "_n_sleep", "_d", ["TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"]
-        ).select(
-            "Id", sleep_day_text("_d").alias("SleepDay"), "TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"
-        )
-        make_heart = lambda: _from_rollup(rollup(), "_n_heart", "Day", ["Mean_Value", "Entry_Count"])
+        make_activity = lambda: activity_from_rollup(rollup())
+        make_sleep = lambda: sleep_from_rollup(rollup())
+        make_heart = lambda: heartrate_from_rollup(rollup())
     else:
         make_activity = lambda: daily_activity(events, m)
         make_sleep = lambda: daily_sleep(events, m)

@@ -3,6 +3,7 @@
 from vitalspark.streaming.rollup import (
     daily_activity_stream,
     daily_heartrate_stream,
+    daily_rollup_stream,
     daily_sleep_stream,
     event_time_utc,
     start_rollup,
@@ -12,6 +13,7 @@ from vitalspark.streaming.rollup import (
 __all__ = [
     "daily_activity_stream",
     "daily_heartrate_stream",
+    "daily_rollup_stream",
     "daily_sleep_stream",
     "event_time_utc",
     "start_rollup",

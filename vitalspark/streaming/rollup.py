@@ -20,6 +20,7 @@ from vitalspark.sources.event_log import (
     EventMapping,
     activity_events,
     activity_measures,
+    daily_rollup,
     heartrate_events,
     heartrate_measures,
     sleep_day_text,
@@ -55,6 +56,19 @@ def _by_user_day(events: DataFrame, m: EventMapping, lateness: str, day_name: st
     )
 
 
+def daily_rollup_stream(events: DataFrame, m: EventMapping = EventMapping(), lateness: str = "1 day") -> DataFrame:
+    """All three daily tables in ONE streaming aggregation (one source read,
+    one state store): the shared roll-up of
+    :func:`vitalspark.sources.event_log.daily_rollup` per one-day event-time
+    window. Write it once; ``activity_from_rollup`` / ``sleep_from_rollup`` /
+    ``heartrate_from_rollup`` read the three tables from the written output."""
+    ts_type = events.schema[m.ts].dataType.typeName()
+    evt = F.col(m.ts) if ts_type == "timestamp" else event_time_utc(m.ts)
+    watermarked = events.withColumn(EVENT_TIME, evt).withWatermark(EVENT_TIME, lateness)
+    window = F.window(EVENT_TIME, "1 day").alias("_window")
+    return daily_rollup(watermarked, m, extra_keys=(window,), carry=(F.col(EVENT_TIME),)).drop("_window")
+
+
 def daily_activity_stream(events: DataFrame, m: EventMapping = EventMapping(), lateness: str = "1 day") -> DataFrame:
     """Streaming form of ``daily_activity``: one row per user-day, emitted once
     the watermark (max event time - ``lateness``) passes the day's end."""
