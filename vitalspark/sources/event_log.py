@@ -6,6 +6,11 @@ declared with the DataFrame API so Catalyst prunes the log to the columns a
 query needs, pushes the ``kind`` filter into the Parquet scan and aggregates
 map-side before the shuffle on (user, day).
 
+When an analysis combines several daily tables, :func:`daily_rollup` computes
+all of them in one aggregation over one scan (``tracker_tables(share_daily=
+True)`` checkpoints it, or writes it bucketed with ``rollup_table=``), and the
+tables are projections of it.
+
 The mapping of event kinds to tracker measures is a parameter
 (:class:`EventMapping`); its defaults describe the driver's ``events`` table.
 """
