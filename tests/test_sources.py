@@ -196,3 +196,27 @@ def test_bucketed_rollup_joins_without_shuffle(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "SortMergeJoin" in plan and "hashpartitioning" not in plan
     assert rows(hc) == rows(ops.heartrate_calories(shared.daily_activity, shared.daily_heartrate))
+
+
+def test_lenient_analyses_on_dirty_exports(spark):
+    from pyspark.errors import PySparkException
+
+    folder = tempfile.mkdtemp(prefix="vitalspark-dirty-")
+    dirty = dict(EXPORTS)
+    header, lines, eol = EXPORTS["daily_sleep"]
+    dirty["daily_sleep"] = (header, [*lines, "4100000001,not a date,1,300,320"], eol)
+    header, lines, eol = EXPORTS["hourly_steps"]
+    dirty["hourly_steps"] = (header, [*lines, "4100000001,13/45/2016 99:00:00 XM,5"], eol)
+    for name, (h, ls, e) in dirty.items():
+        with open(os.path.join(folder, f"{name}.csv"), "w", newline="") as fh:
+            fh.write(e.join([h, *ls]) + e)
+    from vitalspark.sources import read_tables
+
+    t = read_tables(spark, folder)
+    with pytest.raises(PySparkException):
+        ANALYSES["sleep_clean"](t, Params()).collect()
+    lenient = Params(strict=False)
+    sleep = ANALYSES["sleep_clean"](t, lenient).collect()
+    assert len(sleep) == 5 and sum(r.Date is None for r in sleep) == 1
+    hours = ANALYSES["hourly_split"](t, lenient).collect()
+    assert len(hours) == 3 and sum(r.Hour is None for r in hours) == 1

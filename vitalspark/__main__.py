@@ -51,6 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         "--rollup-table",
         help="with --events: write the daily roll-up as this bucketed catalog table (shuffle-free (Id, day) joins)",
     )
+    ap.add_argument("--lenient", action="store_true", help="unparsable dates/stamps become NULL instead of failing")
     ap.add_argument("--steps-cut", type=float, default=Params().steps_cut)
     ap.add_argument("--sleep-cut", type=float, default=Params().sleep_cut)
     args = ap.parse_args(argv)
@@ -62,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("vitalspark").getOrCreate()
     tables = _tables(spark, args)
-    params = Params(steps_cut=args.steps_cut, sleep_cut=args.sleep_cut)
+    params = Params(steps_cut=args.steps_cut, sleep_cut=args.sleep_cut, strict=not args.lenient)
     for key in keys:
         if key in NEEDS_EVENTS and tables.events is None:
             print(f"skip {key}: needs --events", file=sys.stderr)

@@ -35,6 +35,7 @@ class Params:
     sample_size: int = SAMPLE_SIZE
     sample_seed: int = SAMPLE_SEED
     drilldown_pick: int = DRILLDOWN_PICK
+    strict: bool = True  # False: unparsable dates / stamps become NULL instead of failing
 
 
 Analysis = Callable[[TrackerTables, Params], DataFrame]
@@ -48,7 +49,7 @@ def users(t: TrackerTables, p: Params) -> DataFrame:
 
 
 def activity_clean(t: TrackerTables, p: Params) -> DataFrame:
-    return ops.activity_clean(t.daily_activity)
+    return ops.activity_clean(t.daily_activity, strict=p.strict)
 
 
 def null_count(t: TrackerTables, p: Params) -> DataFrame:
@@ -112,15 +113,15 @@ def mets_clean(t: TrackerTables, p: Params) -> DataFrame:
 
 
 def sleep_clean(t: TrackerTables, p: Params) -> DataFrame:
-    return ops.sleep_clean(t.daily_sleep)
+    return ops.sleep_clean(t.daily_sleep, strict=p.strict)
 
 
 def hourly_split(t: TrackerTables, p: Params) -> DataFrame:
-    return ops.hourly_split(t.hourly_steps, "StepTotal", "Steps")
+    return ops.hourly_split(t.hourly_steps, "StepTotal", "Steps", strict=p.strict)
 
 
 def hourly_calories_split(t: TrackerTables, p: Params) -> DataFrame:
-    return ops.hourly_split(t.hourly_calories, "Calories")
+    return ops.hourly_split(t.hourly_calories, "Calories", strict=p.strict)
 
 
 def intensities_clean(t: TrackerTables, p: Params) -> DataFrame:
@@ -218,7 +219,7 @@ def sleep_calories_fit(t: TrackerTables, p: Params) -> DataFrame:
 
 
 def heartrate_calories(t: TrackerTables, p: Params) -> DataFrame:
-    return ops.heartrate_calories(t.daily_activity, t.daily_heartrate)
+    return ops.heartrate_calories(t.daily_activity, t.daily_heartrate, strict=p.strict)
 
 
 def heartrate_fit_by_user(t: TrackerTables, p: Params) -> DataFrame:
@@ -246,7 +247,7 @@ def sample_user_predictions(t: TrackerTables, p: Params) -> DataFrame:
 
 def sample_user_drilldown(t: TrackerTables, p: Params) -> DataFrame:
     days = sample_user_days(t, p).where(F.col("SampleRank") == p.drilldown_pick)
-    return ops.drilldown(days, t.daily_activity)
+    return ops.drilldown(days, t.daily_activity, strict=p.strict)
 
 
 ANALYSES: dict[str, Analysis] = {
