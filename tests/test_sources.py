@@ -220,3 +220,16 @@ def test_lenient_analyses_on_dirty_exports(spark):
     assert len(sleep) == 5 and sum(r.Date is None for r in sleep) == 1
     hours = ANALYSES["hourly_split"](t, lenient).collect()
     assert len(hours) == 3 and sum(r.Hour is None for r in hours) == 1
+
+
+def test_read_table_failfast_mode(spark):
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    folder = tempfile.mkdtemp(prefix="vitalspark-failfast-")
+    path = os.path.join(folder, "daily_sleep.csv")
+    with open(path, "w") as fh:
+        fh.write("Id,SleepDay,TotalSleepRecords,TotalMinutesAsleep,TotalTimeInBed\n1,4/12/2016 12:00:00 AM,x,3,4\n")
+    assert read_table(spark, "daily_sleep", path).collect()[0]["TotalSleepRecords"] is None  # PERMISSIVE
+    with pytest.raises((PySparkException, Py4JJavaError)):  # a task failure may arrive unconverted
+        read_table(spark, "daily_sleep", path, mode="FAILFAST").collect()

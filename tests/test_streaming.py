@@ -108,3 +108,27 @@ def test_one_streamed_rollup_feeds_all_daily_tables(spark):
         want = batch_fn(batch_events).where(day < cutoff)
         assert got.count() == want.count() > 0
         assert rows(got.select(*want.columns)) == rows(want)
+
+
+def test_stream_with_instant_timestamps(spark):
+    # A source whose event time is already a TIMESTAMP (instant) is watermarked
+    # directly; in a UTC session its days equal the wall-clock days.
+    schema = read_events(spark, SF_SMALL).schema
+    stream = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL)
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    )
+    out = tempfile.mkdtemp(prefix="vitalspark-stream-ltz-")
+    q = start_rollup(
+        daily_heartrate_stream(stream),
+        os.path.join(out, "hr"),
+        "rollup_hr_ltz",
+        checkpoint_location=os.path.join(out, "_ck"),
+        available_now=True,
+    )
+    q.awaitTermination()
+    batch_events = read_events(spark, SF_SMALL)
+    last_day = batch_events.agg(F.max(F.to_date("ts"))).first()[0]
+    expected = daily_heartrate(batch_events).where(F.col("Day") < F.lit(last_day - dt.timedelta(days=1)))
+    streamed = spark.read.parquet(os.path.join(out, "hr"))
+    assert rows(streamed.select(*expected.columns)) == rows(expected)
