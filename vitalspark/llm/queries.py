@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspark.llm import byte_bpe, mixing, quality, sql, token_files
+from vitalspark.llm import byte_bpe, mixing, ngram_join, quality, secrets, sql, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.digest_query,
     "op2_token_files": token_files.files_query,
+    "op4_secrets": secrets.secrets_query,
     "op5_quality_rules": quality.quality_query,
     "op9_mixing": mixing.mixing_query,
+    "op10_ngram_join": ngram_join.join_query,
 }
 
 
