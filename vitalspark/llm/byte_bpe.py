@@ -221,3 +221,12 @@ def digest_query(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(documents, path, public_tokenizers.PATTERN).drop("text")
+
+
+def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its number of tokens and the digests of its ids and
+    of the bytes they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return round_trip(docs, path, public_tokenizers.PATTERN)
