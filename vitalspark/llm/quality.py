@@ -66,9 +66,11 @@ def repeated_words(w: Column) -> Column:
         once = F.size(F.array_distinct(hashes)) == F.size(hashes)
         return F.when(once, F.lit(0)).otherwise(let(F.sort_array(pairs), among))
 
-    starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(hashes, windows)).cast("long")
+    def of(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v) - (WINDOW - 1))
+        return let(F.transform(starts, lambda i: F.xxhash64(F.slice(v, i, WINDOW))), windows)
+
+    return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(w, of)).cast("long")
 
 
 def line_fails(line: Column) -> Column:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspark.llm import byte_bpe, fingerprint, mixing, ngram_join, quality, secrets, sql, token_files
+from vitalspark.llm import byte_bpe, fingerprint, lm, mixing, ngram_join, quality, secrets, sql, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.digest_query,
     "op2_token_files": token_files.files_query,
+    "op3_lm_scoring": lm.lm_query,
     "op4_secrets": secrets.secrets_query,
     "op5_quality_rules": quality.quality_query,
     "op8_fingerprints": fingerprint.fingerprint_query,
