@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspark.llm import byte_bpe, fingerprint, lm, mixing, ngram_join, quality, secrets, sql, token_files
+from vitalspark.llm import byte_bpe, fingerprint, html_text, lm, mixing, ngram_join, quality, secrets, sql, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.digest_query,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": lm.lm_query,
     "op4_secrets": secrets.secrets_query,
     "op5_quality_rules": quality.quality_query,
+    "op6_toxicity": toxicity.toxicity_query,
+    "op7_html_text": html_text.pages_query,
     "op8_fingerprints": fingerprint.fingerprint_query,
     "op9_mixing": mixing.mixing_query,
     "op10_ngram_join": ngram_join.join_query,
