@@ -78,6 +78,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("n") - F.col("x"))).select("a", "b")
 
 
+def linked_groups(links: DataFrame) -> DataFrame:
+    """(rid, root): a document's group is that of its smallest partner, two steps
+    far. All of a group are in one component; a component may have several."""
+    step = links.groupBy(F.col("b").alias("rid")).agg(F.min("a").alias("root"))
+    far = step.select(F.col("rid").alias("root"), F.col("root").alias("far"))
+    return step.join(far, "root", "left").select("rid", F.coalesce("far", "root").alias("root"))
+
+
 def link_classes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """``texts`` (rid, text), one of each distinct set -> (rid, root) of all in
     a link and not their own root. Sets are computed where they are needed, as
@@ -125,7 +133,7 @@ def link_classes(texts: DataFrame, n: int, percent: int) -> DataFrame:
         pairs = pairs.select(F.least("rid", "prid").alias("a"), F.greatest("rid", "prid").alias("b")).distinct()
         found = stored(verified(pairs, sets, percent), "found")
         links = found if links is None else links.unionByName(found)
-        groups = stored(components(links).select(F.col("node").alias("rid"), "root"), "groups")
+        groups = stored(linked_groups(links), "groups")
 
     # 2. matrix of tokens and groups
     at = probes.join(groups, "rid", "left").withColumn("g", F.coalesce("root", "rid")).select("rid", "n", "t", "g")
