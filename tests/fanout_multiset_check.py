@@ -11,7 +11,7 @@ HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, os.path.dirname(HERE))
 sys.path.insert(0, HERE)
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "16").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "16").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 spark.sparkContext.setLogLevel("ERROR")
 import __spark_entry__ as e
 from oracle_compare import duck_connection

@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession
 ev = tempfile.mkdtemp(prefix="audit-ev-")
 spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-         .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", ev)
+         .config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", ev)
          .config("spark.eventLog.compress", "false").getOrCreate())
 spark.sparkContext.setLogLevel("ERROR")
 from vitalspark.plans.registry import run_analysis

@@ -3,6 +3,7 @@ import math
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from vitalspark.functions import (
     bucketize,
@@ -95,3 +96,18 @@ def test_split_part_lenient_missing_part(spark):
 def test_hour_of_text(spark):
     df = spark.createDataFrame([("00:00",), ("08:00",), ("23:00",), (None,)], "h string")
     assert [r.h for r in df.select(hour_of_text("h").alias("h")).collect()] == [0, 8, 23, None]
+
+
+@pytest.mark.parametrize("x", [1e29, -1e30, float("inf"), float("-inf")])
+def test_round_half_up_keeps_large_values(spark, x):
+    from vitalspark.functions.columns import round_half_up
+
+    df = spark.createDataFrame([(x,)], "x double")
+    assert df.select(round_half_up(F.col("x"), 2)).head()[0] == x
+
+
+def test_round_half_up_keeps_nan(spark):
+    from vitalspark.functions.columns import round_half_up
+
+    got = spark.createDataFrame([(float("nan"),)], "x double").select(round_half_up(F.col("x"), 2)).head()[0]
+    assert got != got

@@ -80,9 +80,12 @@ SNAP_DIGITS = 10
 def round_half_up(c, digits: int = 0, snap_digits: int = SNAP_DIGITS) -> Column:
     """Round half away from zero as if computed exactly: the double is first
     snapped to ``snap_digits`` decimals (so 100.49999999999999 counts as the
-    tie 100.5), then rounded as a decimal. Returns a double (NULL for NaN)."""
-    snapped = as_col(c).try_cast(T.DecimalType(38, snap_digits))
-    return F.round(snapped, digits).cast(T.DoubleType())
+    tie 100.5), then rounded as a decimal. Returns a double; values beyond the
+    decimal's range (1e28 and more), NaN and infinities are returned as they are,
+    as a double of that size has no decimals."""
+    value = as_col(c)
+    snapped = value.try_cast(T.DecimalType(38, snap_digits))
+    return F.coalesce(F.round(snapped, digits).cast(T.DoubleType()), value.cast(T.DoubleType()))
 
 
 def round_doubles(df: DataFrame, digits: int) -> DataFrame:

@@ -3,8 +3,8 @@ single-partition window.
 
 The input is checkpointed once (its upstream work runs once, and retries read
 the checkpoint). Its distinct keys are range-partitioned and sorted within
-partitions; from a fixed input that layout is deterministic, and both uses of
-it below share one exchange. Each key's position is its partition's offset (a
+partitions, and that layout is stored: offsets and positions are both read from
+the stored rows, whatever the optimizer does with exchanges. Each key's position is its partition's offset (a
 running count over a table with one row per partition) plus its index inside
 the partition.
 """
@@ -30,10 +30,13 @@ def dense_index(
     base = materialize(df)
     keys = base.select(key).where(F.col(key).isNotNull()).distinct()
     ranged = keys.repartitionByRange(n, key).sortWithinPartitions(key)
-    pos = ranged.select(
-        key,
-        F.spark_partition_id().alias("_p"),
-        F.monotonically_increasing_id().alias("_m"),
+    # Stored once: range bounds are sampled, so two runs of the exchange may differ.
+    pos = materialize(
+        ranged.select(
+            key,
+            F.spark_partition_id().alias("_p"),
+            F.monotonically_increasing_id().alias("_m"),
+        )
     )
     # One row per partition: this table's size is bounded by the partition count.
     per_part = pos.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_m0"))

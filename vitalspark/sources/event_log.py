@@ -360,10 +360,16 @@ def tracker_tables(
 def read_events(
     spark: SparkSession, sf_dir: str, name: str = "events", schema: T.StructType | None = EVENTS
 ) -> DataFrame:
-    """The event log at ``<sf_dir>/<name>.parquet``, with its declared schema
-    (no inference pass over file footers); ``schema=None`` infers it."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The event log at ``<sf_dir>/<name>.parquet``, with its declared schema;
+    columns missing from the files are an error. ``schema=None`` infers it."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if schema is None:
+        return spark.read.parquet(path)
+    found = {c.lower() for c in spark.read.parquet(path).columns}  # a footer, no rows
+    missing = [f.name for f in schema.fields if f.name.lower() not in found]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    return spark.read.schema(schema).parquet(path)
 
 
 def load_tracker_tables(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from vitalspark.sources.schemas import REQUIRED, SCHEMAS
 
@@ -18,8 +19,8 @@ def read_table(
 ) -> DataFrame:
     """Read one of the nine tables.
 
-    ``fmt="csv"`` applies the declared schema (header row, comma separator, no
-    inference pass); ``mode`` is Spark's CSV parse mode (``PERMISSIVE`` turns
+    ``fmt="csv"`` binds the declared types to the header's columns by name (comma
+    separator, no inference pass; columns not declared are text); ``mode`` is Spark's CSV parse mode (``PERMISSIVE`` turns
     malformed fields into NULL, ``FAILFAST`` raises). Parquet/ORC carry their
     own schema; the required columns are checked either way so a missing
     column fails at plan time rather than as a silent no-op later.
@@ -27,10 +28,15 @@ def read_table(
     if name not in SCHEMAS:
         raise KeyError(f"unknown table {name!r}; known: {sorted(SCHEMAS)}")
     if fmt == "csv":
+        reader = spark.read.option("header", True).option("sep", ",")
+        declared = {f.name.lower(): f for f in SCHEMAS[name].fields}
+        header = reader.csv(path).columns  # the header row only
+        schema = T.StructType(
+            [T.StructField(c, declared[c.lower()].dataType if c.lower() in declared else T.StringType()) for c in header]
+        )
         df = (
-            spark.read.schema(SCHEMAS[name])
-            .option("header", True)
-            .option("sep", ",")
+            reader.schema(schema)
+            .option("enforceSchema", False)  # every file's header must agree
             .option("mode", mode)
             .option("dateFormat", "yyyy-MM-dd")
             .csv(path)
