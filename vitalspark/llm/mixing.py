@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vitalspark.llm.common import table
 
-SLOTS, BLOCK_DOCS, BUCKET_ROWS, MAX_SOURCES = 1_000, 100, 5_000, 100_000
+SLOTS, BLOCK_DOCS, BUCKET_ROWS, MAX_SOURCES = 1_000, 100, 500, 100_000
 
 
 def shares(weights: dict, slots: int) -> dict:
@@ -113,6 +113,6 @@ def mixing_query(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in mixed order. The order is found on ids and sources
-    alone; the texts move once, in the sort."""
+    """The documents in mixed order. The texts move twice: to be numbered within
+    their bucket and in the sort."""
     return mix(docs).orderBy("slot", "place").select(docs.columns)
