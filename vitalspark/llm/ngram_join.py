@@ -4,7 +4,7 @@ A document is the set of its distinct word n-grams, as 64-bit hashes. Equal sets
 are one class, and only class representatives go on. Two sets with Jaccard
 similarity s or more share one of the first n - ceil(s n) + 1 tokens of each
 under any one order of all tokens (the probe), so no link is lost by looking
-at probes only. The order puts tokens found in many probes last, so passages
+at probes only, and linked sets share a number of probe tokens (``needed``). The order puts tokens found in many probes last, so passages
 that many documents share are rarely probed.
 
 1. Stars: in each probed token and size band, documents are compared with one
@@ -86,50 +86,59 @@ def linked_groups(links: DataFrame) -> DataFrame:
     return step.join(far, "root", "left").select("rid", F.coalesce("far", "root").alias("root"))
 
 
-def link_classes(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """``texts`` (rid, text), one of each distinct set -> (rid, root) of all in
-    a link and not their own root. Sets are computed where they are needed, as
-    they take more room than the texts."""
+def needed(n: Column, m: Column, percent: int) -> Column:
+    """Probe tokens that linked sets of ``n`` and ``m`` tokens share at least.
+    Beyond the probes at most ceil(percent * max(n, m) / 100) - 1 tokens are
+    shared, and a link shares percent / (100 + percent) of n + m."""
+    whole = F.ceil((n + m) * percent / (100 + percent)).cast("int")
+    return F.greatest(whole - least_overlap(F.greatest(n, m), percent) + 1, F.lit(1))
 
-    def sets_of(rows: DataFrame) -> DataFrame:
-        return rows.select("rid", shingles(F.col("text"), n).alias("toks")).withColumn("n", F.size("toks"))
 
+def needed_in(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """The least that is needed with a partner of ``low`` to ``high`` tokens: it
+    rises up to n and falls after it, so one of the ends has it."""
+    low = F.least(F.greatest(low, least_overlap(n, percent)), n)
+    high = F.greatest(F.least(high, F.floor(n * 100 / percent).cast("int")), n)
+    return F.least(needed(n, low, percent), needed(n, high, percent)) - 1  # one for rounding
+
+
+def link_classes(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` (rid, toks, n), stored, one of each distinct set -> (rid, root)
+    of all in a link and not their own root."""
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")
-    sized = sets_of(texts)
     length = F.col("n") - least_overlap(F.col("n"), percent) + 1
-    first = sized.select("rid", "n", F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
-    first = stored(first, "probes")
-    counts = first.groupBy("t").count()
-    common = stored(counts.where(F.col("count") > COMMON).select("t"), "common")
-    # documents whose probe has a common token get a probe under the full order
-    touched = stored(first.join(common, "t", "left_semi").select("rid").distinct(), "touched")
-    mended = (
-        sets_of(texts.join(touched, "rid", "left_semi"))
-        .select("rid", "n", F.explode("toks").alias("t"))
-        .join(common.withColumn("late", F.lit(1)), "t", "left")
-        .groupBy("rid", "n")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "t"))).alias("o"))
-        .select("rid", "n", F.explode(F.slice("o", F.lit(1), length)).alias("o"))
-        .select("rid", "n", F.col("o.t").alias("t"))
+    first = sets.select(F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
+    common = stored(first.groupBy("t").count().where(F.col("count") > COMMON).select("t"), "common")
+    # a document's common tokens go to the end of its order; at most its own size
+    late = (
+        sets.select("rid", F.explode("toks").alias("t"))
+        .join(common, "t", "left_semi")
+        .groupBy("rid")
+        .agg(F.sort_array(F.collect_set("t")).alias("late"))
+    )
+    ordered = F.when(F.col("late").isNull(), F.col("toks")).otherwise(
+        F.concat(F.array_except("toks", "late"), F.array_intersect("late", "toks"))
     )
-    probes = first.join(touched, "rid", "left_anti").unionByName(mended)
+    probes = sets.join(late, "rid", "left").select("rid", "n", F.explode(F.slice(ordered, F.lit(1), length)).alias("t"))
+    probes = stored(probes.withColumn("band", band), "probes")
     # only tokens that two documents probe
     paired = probes.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    probes = stored(probes.join(paired, "t", "left_semi").withColumn("band", band), "probes")
-    sets = stored(sets_of(texts.join(probes.select("rid").distinct(), "rid", "left_semi")), "sets")
+    probes = stored(probes.join(paired, "t", "left_semi"), "paired")
 
-    # 1. stars: a document meets the pivot of its own band and of the next
+    # 1. stars: a document meets the pivot of its own band and of the next. Pairs
+    # that share too few of the pivot's tokens are left to the matrix.
     groups, links = None, None
     for k in range(STAR_ROUNDS):
         at = probes if groups is None else probes.join(groups, "rid", "left")
         group = F.col("rid") if groups is None else F.coalesce("root", "rid")
         at = at.select("rid", "n", "t", "band", group.alias("g"))
         order = F.xxhash64("rid", F.lit(k))
-        pivot = at.groupBy("t", "band").agg(
-            F.min(F.struct(order, "rid", "n", "g")).alias("p"), F.min(F.struct(order, "rid")).alias("_")
-        ).select("t", F.col("band").alias("pband"), F.col("p.rid").alias("prid"), F.col("p.n").alias("pn"), F.col("p.g").alias("pg"))
+        pivot = at.groupBy("t", "band").agg(F.min(F.struct(order, "rid", "n", "g")).alias("p")).select(
+            "t", F.col("band").alias("pband"), F.col("p.rid").alias("prid"), F.col("p.n").alias("pn"), F.col("p.g").alias("pg")
+        )
         meets = at.withColumn("pband", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(pivot, ["t", "pband"])
-        pairs = meets.where((F.col("g") != F.col("pg")) & fits(F.col("n"), F.col("pn"), percent))
+        meets = meets.where((F.col("g") != F.col("pg")) & fits(F.col("n"), F.col("pn"), percent))
+        pairs = meets.groupBy("rid", "n", "prid", "pn").count().where(F.col("count") >= needed(F.col("n"), F.col("pn"), percent))
         pairs = pairs.select(F.least("rid", "prid").alias("a"), F.greatest("rid", "prid").alias("b")).distinct()
         found = stored(verified(pairs, sets, percent), "found")
         links = found if links is None else links.unionByName(found)
@@ -144,6 +153,9 @@ def link_classes(texts: DataFrame, n: int, percent: int) -> DataFrame:
     asks = (
         at.join(matrix, "t")
         .where((F.col("g") < F.col("og")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
+        .groupBy("rid", "n", "og")
+        .agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .where(F.col("c") >= needed_in(F.col("n"), F.col("low"), F.col("high"), percent))
         .select("rid", "og")
         .distinct()
     )
@@ -162,7 +174,10 @@ def link_classes(texts: DataFrame, n: int, percent: int) -> DataFrame:
         at.join(opened, "rid")
         .join(inside, ["t", "og"])
         .where(fits(F.col("n"), F.col("m"), percent))
-        .select(F.col("rid").alias("a"), F.col("other").alias("b"))
+        .groupBy(F.col("rid").alias("a"), "n", F.col("other").alias("b"), "m")
+        .count()
+        .where(F.col("count") >= needed(F.col("n"), F.col("m"), percent) - 1)
+        .select("a", "b")
         .distinct()
     )
     last = verified(pairs, sets, percent)
@@ -170,20 +185,25 @@ def link_classes(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component): the smallest id reachable by links."""
-    rows = docs.select(F.col(f"`{key}`").alias("id"), whole_text(text).alias("text"))
-    signed = rows.select("id", shingles(F.col("text"), n).alias("toks")).select(
-        "id", F.size("toks").cast("long").alias("n"), F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2")
+    """(key, n_shingles, component): the smallest id reachable by links. The
+    sets are computed once and stored."""
+    rows = docs.select(F.col(f"`{key}`").alias("id"), shingles(whole_text(text), n).alias("toks"))
+    signed = stored(
+        rows.select("id", F.size("toks").alias("n"), F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2"), "toks"),
+        "signed",
     )
-    signed = stored(signed, "signed")
     named = signed.where("n > 0 and id is not null")
-    classes = named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rid"))
-    reps = rows.join(classes.select(F.col("rid").alias("id")).distinct(), "id", "left_semi")
-    reps = stored(reps.select(F.col("id").alias("rid"), "text"), "reps")
-    roots = link_classes(reps, n, percent)
+    classes = stored(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rid")), "classes")
+    one = classes.withColumnRenamed("rid", "id")
+    reps = named.join(one, ["id", "n", "s1", "s2"], "left_semi").select(F.col("id").alias("rid"), "toks", "n")
+    roots = link_classes(stored(reps, "reps"), percent)
     classes = classes.join(roots, "rid", "left").select("n", "s1", "s2", F.coalesce("root", "rid").alias("c"))
-    out = signed.join(classes, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id"))
+    out = signed.drop("toks").join(classes, ["n", "s1", "s2"], "left")
+    return out.select(
+        F.col("id").alias(key),
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("id")).alias("component_id"),
+    )
 
 
 def join_query(spark, sf_dir: str) -> DataFrame:
