@@ -78,12 +78,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("n") - F.col("x"))).select("a", "b")
 
 
-def linked_groups(links: DataFrame) -> DataFrame:
-    """(rid, root): a document's group is that of its smallest partner, two steps
-    far. All of a group are in one component; a component may have several."""
-    step = links.groupBy(F.col("b").alias("rid")).agg(F.min("a").alias("root"))
-    far = step.select(F.col("rid").alias("root"), F.col("root").alias("far"))
-    return step.join(far, "root", "left").select("rid", F.coalesce("far", "root").alias("root"))
+def linked_groups(links: DataFrame, hops: int = 3) -> DataFrame:
+    """(rid, root): the smallest document within ``hops`` links, so a whole star
+    gets one root wherever its pivot's id lies. All of a group are in one
+    component; a component may have several."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    label = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
+    for _ in range(hops - 1):
+        label = both.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+    return label.select(F.col("a").alias("rid"), F.col("m").alias("root"))
 
 
 def needed(n: Column, m: Column, percent: int) -> Column:
