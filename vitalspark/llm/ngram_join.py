@@ -188,20 +188,21 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component): the smallest id reachable by links. The
-    sets are computed once and stored."""
+    """(key, n_shingles, component): the smallest id reachable by links. Only
+    signatures are kept of all documents, and the sets of one of each class."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), shingles(whole_text(text), n).alias("toks"))
     signed = stored(
-        rows.select("id", F.size("toks").alias("n"), F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2"), "toks"),
+        rows.select("id", F.size("toks").alias("n"), F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2")),
         "signed",
     )
     named = signed.where("n > 0 and id is not null")
     classes = stored(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rid")), "classes")
-    one = classes.withColumnRenamed("rid", "id")
-    reps = named.join(one, ["id", "n", "s1", "s2"], "left_semi").select(F.col("id").alias("rid"), "toks", "n")
+    ones = docs.select(F.col(f"`{key}`").alias("rid"), whole_text(text).alias("text"))
+    ones = ones.join(classes.select("rid").distinct(), "rid", "left_semi")
+    reps = ones.select("rid", shingles(F.col("text"), n).alias("toks")).withColumn("n", F.size("toks")).where("n > 0")
     roots = link_classes(stored(reps, "reps"), percent)
     classes = classes.join(roots, "rid", "left").select("n", "s1", "s2", F.coalesce("root", "rid").alias("c"))
-    out = signed.drop("toks").join(classes, ["n", "s1", "s2"], "left")
+    out = signed.join(classes, ["n", "s1", "s2"], "left")
     return out.select(
         F.col("id").alias(key),
         F.col("n").cast("long").alias("n_shingles"),
