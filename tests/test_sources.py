@@ -10,59 +10,62 @@ from vitalspark.sources import TrackerTables, load_tracker_tables, read_table
 
 from conftest import SF_SMALL
 
-# Small exports in the trackers' CSV layout (header, comma, CRLF in some files).
+# Hand-made rows in the trackers' CSV layout, one case a row: a NULL distance, an
+# all-zero day, days with activity or sleep only, two users asleep on one date, an
+# exact duplicate, a heart rate without activity, noon and past-noon hours.
 EXPORTS = {
     "daily_activity": (
-        "Id,ActivityDate,TotalSteps,TotalDistance,TrackerDistance,LoggedActivitiesDistance,VeryActiveDistance,"
-        "ModeratelyActiveDistance,LightActiveDistance,SedentaryActiveDistance,VeryActiveMinutes,FairlyActiveMinutes,"
-        "LightlyActiveMinutes,SedentaryMinutes,Calories",
+        "Id,ActivityDate,TotalSteps,TotalDistance,VeryActiveDistance,ModeratelyActiveDistance,LightActiveDistance,"
+        "SedentaryActiveDistance,VeryActiveMinutes,FairlyActiveMinutes,LightlyActiveMinutes,SedentaryMinutes,Calories",
         [
-            "4100000001,4/12/2016,12000,8.0,8.0,0,2.0,0.5,5.5,0,30,10,300,700,2000",
-            "4100000001,4/13/2016,10000,7.0,7.0,0,1.5,0.5,5.0,0,20,20,200,800,1800",
-            "4200000002,4/12/2016,8000,5.25,5.25,0,0,0,5.25,0,0,0,150,1290,1400",
-            "4200000002,4/13/2016,0,0,0,0,0,0,0,0,0,0,0,1440,1200",
-            "4300000003,4/12/2016,11000,8.25,8.25,0,3.25,0.75,4.25,0,40,15,230,1150,2400",
+            "11,2/28/2021,600,1.5,0.25,0.5,0.75,0,5,5,20,900,1500",
+            "11,3/1/2021,900,2.0,,0.5,1.5,0,5,5,30,900,1600",
+            "12,2/28/2021,0,0,0,0,0,0,0,0,0,1440,1100",
+            "12,3/1/2021,300,0.5,0,0,0.5,0,0,0,15,1000,1150",
+            "13,2/27/2021,750,1.0,0,1.0,0,0,0,12,0,1000,1300",
+            "14,3/1/2021,420,0.75,0.75,0,0,0,9,0,0,1000,1250",
         ],
         "\r\n",
     ),
     "daily_sleep": (
         "Id,SleepDay,TotalSleepRecords,TotalMinutesAsleep,TotalTimeInBed",
         [
-            "4100000001,4/12/2016 12:00:00 AM,1,330,350",
-            "4100000001,4/13/2016 12:00:00 AM,2,380,400",
-            "4100000001,4/13/2016 12:00:00 AM,2,380,400",
-            "4200000002,4/12/2016 12:00:00 AM,1,410,440",
+            "11,2/28/2021 12:00:00 AM,1,100,120",
+            "11,2/28/2021 12:00:00 AM,1,100,120",
+            "12,2/28/2021 12:00:00 AM,1,200,230",
+            "12,3/1/2021 12:00:00 AM,3,90,95",
+            "15,3/2/2021 12:00:00 AM,1,50,60",
         ],
         "\r\n",
     ),
     "daily_heartrate": (
         "Id,Day,Mean_Value,Entry_Count",
-        [
-            "4300000003,2016-04-12,75.5,4800",
-            "4100000001,2016-04-12,70.25,1000",
-            "4100000001,2016-04-13,72.5,900",
-        ],
+        ["11,2021-02-28,61.5,10", "12,2021-03-01,70.0,20", "14,2021-03-01,88.25,5", "16,2021-03-01,90.0,7"],
+        "\n",
+    ),
+    "minute_mets": (
+        "Id,Activity,Minute,METs",
+        ["11,2/28/2021,23:58,10", "11,2/28/2021,23:59,16", "12,3/1/2021,00:00,17"],
         "\n",
     ),
-    "minute_mets": ("Id,Activity,Minute,METs", ["4100000001,4/12/2016,00:00,10", "4100000001,4/12/2016,00:01,12"], "\n"),
     "hourly_steps": (
         "Id,ActivityHour,StepTotal",
-        ["4100000001,4/12/2016 12:00:00 AM,370", "4100000001,4/12/2016 1:00:00 PM,150"],
+        ["11,2/28/2021 12:00:00 AM,3", "11,2/28/2021 12:00:00 PM,40", "12,3/1/2021 1:05:00 PM,25"],
         "\n",
     ),
     "hourly_calories": (
         "Id,ActivityHour,Calories",
-        ["4100000001,4/12/2016 12:00:00 AM,80", "4100000001,4/12/2016 1:00:00 PM,60"],
+        ["11,2/28/2021 12:00:00 AM,50", "12,3/1/2021 1:05:00 PM,65"],
         "\n",
     ),
     "daily_intensities": (
         "Id,ActivityDay,SedentaryMinutes,LightlyActiveMinutes,FairlyActiveMinutes,VeryActiveMinutes,"
         "SedentaryActiveDistance,LightActiveDistance,ModeratelyActiveDistance,VeryActiveDistance",
-        ["4100000001,4/12/2016,700,300,10,30,0,5.5,0.5,2.0"],
+        ["13,2/27/2021,1000,0,12,0,0,0,1.0,0"],
         "\r\n",
     ),
-    "daily_calories": ("Id,ActivityDay,Calories", ["4100000001,4/12/2016,2000"], "\r\n"),
-    "daily_steps": ("Id,ActivityDay,StepTotal", ["4100000001,4/12/2016,12000"], "\r\n"),
+    "daily_calories": ("Id,ActivityDay,Calories", ["13,2/27/2021,1300"], "\r\n"),
+    "daily_steps": ("Id,ActivityDay,StepTotal", ["13,2/27/2021,750"], "\r\n"),
 }
 
 
@@ -81,7 +84,7 @@ def csv_tables(spark):
 def test_csv_read_with_declared_schema(csv_tables):
     a = csv_tables.daily_activity
     assert dict(a.dtypes)["Id"] == "bigint" and dict(a.dtypes)["ActivityDate"] == "string"
-    assert a.count() == 5
+    assert a.count() == 6
     assert dict(csv_tables.daily_heartrate.dtypes)["Day"] == "date"
 
 
@@ -107,20 +110,20 @@ def test_every_analysis_runs_on_csv_exports(spark, csv_tables):
 def test_csv_pipeline_values(csv_tables):
     p = Params()
     act = ANALYSES["activity_clean"](csv_tables, p)
-    # the all-zero-distance day is dropped
+    # the all-zero day and the day with a NULL distance are dropped
     assert act.count() == 4
     sleep = ANALYSES["sleep_clean"](csv_tables, p)
-    assert sleep.count() == 4  # the exact duplicate is kept
+    assert sleep.count() == 5  # the exact duplicate is kept
     svc = {r.Id: r for r in ANALYSES["sleep_vs_calories"](csv_tables, p).collect()}
-    assert svc[4100000001].TotalMinutesAsleep == 330 + 380 + 380
-    assert svc[4100000001].Calories == 2000 + 1800 + 1800
+    assert svc[11].TotalMinutesAsleep == 100 + 100
+    assert svc[11].Calories == 1500 + 1500
     hc = ANALYSES["heartrate_calories"](csv_tables, p).collect()
     assert sorted((r.Id, r.Day) for r in hc) == [
-        (4100000001, dt.date(2016, 4, 12)),
-        (4100000001, dt.date(2016, 4, 13)),
-        (4300000003, dt.date(2016, 4, 12)),
+        (11, dt.date(2021, 2, 28)),
+        (12, dt.date(2021, 3, 1)),
+        (14, dt.date(2021, 3, 1)),
     ]
-    assert ops.distinct_users(csv_tables.daily_activity).count() == 3
+    assert ops.distinct_users(csv_tables.daily_activity).count() == 4
 
 
 def test_event_log_tables(spark):
@@ -204,9 +207,9 @@ def test_lenient_analyses_on_dirty_exports(spark):
     folder = tempfile.mkdtemp(prefix="vitalspark-dirty-")
     dirty = dict(EXPORTS)
     header, lines, eol = EXPORTS["daily_sleep"]
-    dirty["daily_sleep"] = (header, [*lines, "4100000001,not a date,1,300,320"], eol)
+    dirty["daily_sleep"] = (header, [*lines, "13,not a date,1,30,40"], eol)
     header, lines, eol = EXPORTS["hourly_steps"]
-    dirty["hourly_steps"] = (header, [*lines, "4100000001,13/45/2016 99:00:00 XM,5"], eol)
+    dirty["hourly_steps"] = (header, [*lines, "13,13/45/2021 99:00:00 XM,5"], eol)
     for name, (h, ls, e) in dirty.items():
         with open(os.path.join(folder, f"{name}.csv"), "w", newline="") as fh:
             fh.write(e.join([h, *ls]) + e)
@@ -217,9 +220,9 @@ def test_lenient_analyses_on_dirty_exports(spark):
         ANALYSES["sleep_clean"](t, Params()).collect()
     lenient = Params(strict=False)
     sleep = ANALYSES["sleep_clean"](t, lenient).collect()
-    assert len(sleep) == 5 and sum(r.Date is None for r in sleep) == 1
+    assert len(sleep) == 6 and sum(r.Date is None for r in sleep) == 1
     hours = ANALYSES["hourly_split"](t, lenient).collect()
-    assert len(hours) == 3 and sum(r.Hour is None for r in hours) == 1
+    assert len(hours) == 4 and sum(r.Hour is None for r in hours) == 1
 
 
 def test_read_table_failfast_mode(spark):
@@ -229,7 +232,7 @@ def test_read_table_failfast_mode(spark):
     folder = tempfile.mkdtemp(prefix="vitalspark-failfast-")
     path = os.path.join(folder, "daily_sleep.csv")
     with open(path, "w") as fh:
-        fh.write("Id,SleepDay,TotalSleepRecords,TotalMinutesAsleep,TotalTimeInBed\n1,4/12/2016 12:00:00 AM,x,3,4\n")
+        fh.write("Id,SleepDay,TotalSleepRecords,TotalMinutesAsleep,TotalTimeInBed\n1,2/28/2021 12:00:00 AM,x,3,4\n")
     assert read_table(spark, "daily_sleep", path).collect()[0]["TotalSleepRecords"] is None  # PERMISSIVE
     with pytest.raises((PySparkException, Py4JJavaError)):  # a task failure may arrive unconverted
         read_table(spark, "daily_sleep", path, mode="FAILFAST").collect()
