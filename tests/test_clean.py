@@ -54,16 +54,16 @@ def test_activity_clean_lenient_bad_dates_become_null(spark):
 
 def test_sleep_clean_keeps_duplicates_unless_asked(spark):
     data = [
-        (1, "4/12/2016 12:00:00 AM", 1, 327, 346),
-        (1, "4/12/2016 12:00:00 AM", 1, 327, 346),
-        (2, "4/13/2016 12:00:00 AM", 2, 400, 410),
+        (1, "2/28/2021 12:00:00 AM", 1, 100, 120),
+        (1, "2/28/2021 12:00:00 AM", 1, 100, 120),
+        (2, "3/1/2021 12:00:00 AM", 2, 90, 95),
     ]
     df = spark.createDataFrame(data, DAILY_SLEEP)
     out = sleep_clean(df)
     assert out.columns == ["Id", "Date", "TotalMinutesAsleep", "TotalTimeInBed", "WeekDayN", "WeekDay"]
     assert out.count() == 3
     assert sleep_clean(df, dedupe=True).count() == 2
-    assert rows(out, "Id", "Date", "WeekDay")[-1] == (2, dt.date(2016, 4, 13), "Wed")
+    assert rows(out, "Id", "Date", "WeekDay")[-1] == (2, dt.date(2021, 3, 1), "Mon")
 
 
 def test_rename_columns_strict_and_lenient(spark):
