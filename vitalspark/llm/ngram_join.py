@@ -199,7 +199,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id",
     classes = stored(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rid")), "classes")
     ones = docs.select(F.col(f"`{key}`").alias("rid"), whole_text(text).alias("text"))
     ones = ones.join(classes.select("rid").distinct(), "rid", "left_semi")
-    reps = ones.select("rid", shingles(F.col("text"), n).alias("toks")).withColumn("n", F.size("toks")).where("n > 0")
+    reps = ones.select("rid", shingles(F.col("text"), n).alias("toks")).withColumn("n", F.size("toks"))
     roots = link_classes(stored(reps, "reps"), percent)
     classes = classes.join(roots, "rid", "left").select("n", "s1", "s2", F.coalesce("root", "rid").alias("c"))
     out = signed.join(classes, ["n", "s1", "s2"], "left")
