@@ -153,6 +153,26 @@ def test_fingerprints(docs, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_estimate_the_weighted_jaccard(spark):
+    import random
+
+    rng, texts = random.Random(7), []
+    for k in range(30):
+        common = [f"c{k}_{j}" for j in range(rng.randint(1, 20))] + ["the"] * rng.randint(0, 60)
+        for side in "ab":
+            texts.append(" ".join(common + [f"{side}{k}_{j}" for j in range(rng.randint(1, 15))]))
+    texts += ["x " * 1000 + "y", "x " * 1000 + "z"]
+    texts += [" ".join(["the"] * 100 + [f"{side}{j}" for j in range(10)]) for side in "pq"]
+    made = spark.createDataFrame([(-i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(fingerprint.fingerprints(made))
+    off = []
+    for i in range(0, len(texts), 2):
+        a, b = Counter(texts[i].split()), Counter(texts[i + 1].split())
+        off.append(got[-i]["near_next"] - sum((a & b).values()) / sum((a | b).values()))
+    assert max(map(abs, off)) < 0.2 and abs(sum(off) / len(off)) < 0.03
+    assert abs(off[-2]) < 0.05 and abs(off[-1]) < 0.15
+
+
 def test_mixing_stays_within_a_block():
     counts = mixing.shares({"a": 5.0, "b": 3.0, None: 1.5, "d": 0.1}, 50)
     plan = mixing.schedule(counts)

@@ -1,13 +1,12 @@
 """Document fingerprints by consistent weighted sampling, native.
 
-A document is its words, weighted by how often each occurs. Every word falls by
-its hash into one of ``BINS`` bins, and in each bin one word is drawn by
-consistent weighted sampling: with r and c from gamma(2, 1) and b uniform, all
-functions of the word's hash alone, t = floor(ln(weight) / r + b) and the word
-with the least a = c * exp(-r * (t - b) - r) is the sample (word, t). Two
-documents draw the same sample in a bin with a probability equal to the
-generalised Jaccard similarity of their weights there, so the share of equal
-bins among those that either fills estimates the similarity of the documents.
+A document is its words, weighted by how often each occurs. It has ``SAMPLES``
+samples, each drawn over all of its words: with r and c from gamma(2, 1) and b
+uniform, all functions of the word's hash and the sample's index, t =
+floor(ln(weight) / r + b) and the word with the least a = c * exp(-r * (t - b) -
+r) is the sample (word, t). Two documents draw the same sample at an index with a
+probability equal to the generalised Jaccard similarity of their weights, so the
+share of equal positions estimates the similarity of the documents.
 
 The next document (in descending id order, the first after the last) comes from
 a window over id ranges; only one row a range crosses to its neighbour.
@@ -27,64 +26,66 @@ from pyspark.sql import functions as F
 from vitalspark.llm.common import table, whole_text, words
 from vitalspark.llm.quality import let
 
-BINS = 64
+SAMPLES = 64
 RANGE_ROWS, MOST_RANGES = 500, 20_000
 
 
-def uniform(h: Column, salt: int) -> Column:
-    """In (0, 1), from a word's hash."""
-    return (F.pmod(F.xxhash64(h, F.lit(salt)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+def uniform(h: Column, k: Column, salt: int) -> Column:
+    """In (0, 1), from a word's hash and the sample's index."""
+    bits = F.shiftrightunsigned(F.xxhash64(h, k, F.lit(salt)), 24)
+    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-40)
 
 
-def fingerprint(text: Column, bins: int = BINS) -> Column:
-    """Sorted array of the samples, ``bin:hash`` in hexadecimal."""
+def fingerprint(text: Column, samples: int = SAMPLES) -> Column:
+    """Array of the samples by their index, the hash of (word, t) in hexadecimal."""
 
-    def sample(h: Column, weight: Column) -> Column:
-        r = -F.log(uniform(h, 1) * uniform(h, 2))
-        c = -F.log(uniform(h, 3) * uniform(h, 4))
-        b = uniform(h, 5)
-        t = let(F.struct(r.alias("r"), c.alias("c"), b.alias("b")), lambda g: F.struct(
-            g["r"].alias("r"), g["c"].alias("c"), g["b"].alias("b"), F.floor(F.log(weight) / g["r"] + g["b"]).alias("t")
-        ))
-        return let(t, lambda g: F.struct(
-            F.pmod(h, F.lit(bins)).alias("bin"),
-            (F.log(g["c"]) - g["r"] * (g["t"] - g["b"]) - g["r"]).alias("a"),
-            F.xxhash64(h, g["t"]).alias("code"),
+    def sample(x: Column, k: Column) -> Column:
+        h = x["h"]
+        minus_r = F.log(uniform(h, k, 1) * uniform(h, k, 2))
+        log_c = F.log(-F.log(uniform(h, k, 3) * uniform(h, k, 4)))
+        b = uniform(h, k, 5)
+        zero = F.lit(0).cast("long")
+        # a weight of 1 has t = 0 whatever r and b
+        once = F.struct((log_c + minus_r * (F.lit(1.0) - b)).alias("a"), h.alias("h"), zero.alias("t"))
+        often = let(F.struct(minus_r.alias("r"), b.alias("b")), lambda g: let(
+            F.floor(g["b"] - x["lw"] / g["r"]),
+            lambda t: F.struct((log_c + g["r"] * (t - g["b"] + F.lit(1.0))).alias("a"), h.alias("h"), t.alias("t")),
         ))
+        return F.when(x["lw"] == 0, once).otherwise(often)
 
-    def drawn(ordered: Column) -> Column:
+    def weighted(ordered: Column) -> Column:
         n = F.size(ordered)
         at = F.filter(
             F.sequence(F.lit(0), n - 1),
             lambda i: F.coalesce(F.get(ordered, i) != F.get(ordered, i - 1), F.lit(True)),
         )
-        return let(at, lambda s: F.transform(
-            s, lambda i, k: sample(F.get(ordered, i), (F.coalesce(F.get(s, k + 1), n) - i).cast("double"))
-        ))
+        return let(at, lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(ordered, i).alias("h"), F.log((F.coalesce(F.get(s, k + 1), n) - i).cast("double")).alias("lw")
+        )))
 
-    def least(found: Column) -> Column:
-        first = F.filter(found, lambda x, i: F.coalesce(F.get(found, i - 1)["bin"] != x["bin"], F.lit(True)))
-        return F.transform(first, lambda x: F.concat_ws(
-            ":", F.lpad(F.hex(x["bin"]), 2, "0"), F.substring(F.lpad(F.lower(F.hex(x["code"])), 16, "0"), 9, 8)
-        ))
+    def least(terms: Column) -> Column:
+        drawn = lambda k: F.array_min(F.transform(terms, lambda x: sample(x, k)))
+        code = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x["h"], x["t"]))), 16, "0")
+        indices = F.array(*[F.lit(k) for k in range(samples)])
+        return F.transform(F.transform(indices, drawn), lambda x: F.substring(code(x), 9, 8))
 
     hashes = F.transform(words(text), lambda w: F.xxhash64(w))
     of = lambda ordered: F.when(F.size(ordered) == 0, F.array().cast("array<string>")).otherwise(
-        let(F.sort_array(drawn(ordered)), least)
+        let(weighted(ordered), least)
     )
     return let(F.sort_array(hashes), of)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal bins among those that either fingerprint fills."""
-    bin_of = lambda x: F.substring(x, 1, 2)
-    filled = F.size(F.array_union(F.transform(a, bin_of), F.transform(b, bin_of)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    """Share of the positions with equal samples."""
+    equal = F.size(F.filter(a, lambda x, i: x == F.get(b, i)))
+    n = F.greatest(F.size(a), F.size(b))
+    return F.when(n == 0, F.lit(1.0)).otherwise(equal / n)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, text, fp) with ``next``, the struct (text, fp) of the next
-    document in descending id order."""
+def with_next(docs: DataFrame, samples: int) -> DataFrame:
+    """``docs`` (id, text) with ``fp`` and ``next``, the struct (text, fp) of the
+    next document in descending id order."""
     n = docs.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
     steps = [i / ranges for i in range(1, ranges)]
@@ -95,16 +96,17 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.size(F.filter(points, lambda e: e <= F.col("id"))) if edges else F.lit(0)
     )
     placed = docs.withColumn("part", part)
+    fp = fingerprint(F.col("text"), samples)
     order = [F.col("id").desc_nulls_last(), F.col("text").desc()]
     window = Window.partitionBy("part").orderBy(*order)
     here = F.struct("text", "fp")
-    followed = placed.withColumn("next", F.lead(here).over(window))
+    followed = placed.withColumn("fp", fp).withColumn("next", F.lead(here).over(window))
     # one row a range: its first document, given to the range before it
     first = placed.groupBy("part").agg(
-        F.max(F.struct("id", "text", "fp")).alias("top")
+        F.max(F.struct("id", "text")).alias("top")
     )
     over = Window.orderBy(F.col("part").desc())
-    heads = first.select("part", F.struct("top.text", "top.fp").alias("head"))
+    heads = first.select("part", F.col("top.text").alias("text")).withColumn("fp", fp).select("part", here.alias("head"))
     # at most MOST_RANGES + 1 rows
     tops = first.select(
         "part", F.coalesce(F.lead("part").over(over), F.first("part").over(over)).alias("after")
@@ -120,10 +122,10 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), n - half), F.substr(following, F.lit(1), half))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", bins: int = BINS) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     df = docs.select(F.col(f"`{key}`").alias("id"), whole_text(text).alias("text"))
-    df = with_next(df.withColumn("fp", fingerprint(F.col("text"), bins)))
-    df = df.withColumn("edited", edited(F.col("text"), F.col("next.text"))).withColumn("ef", fingerprint(F.col("edited"), bins))
+    df = with_next(df, samples)
+    df = df.withColumn("edited", edited(F.col("text"), F.col("next.text"))).withColumn("ef", fingerprint(F.col("edited"), samples))
     return df.select(
         F.col("id").alias(key),
         F.length("text").cast("long").alias("n_chars"),
