@@ -218,3 +218,17 @@ def test_ngram_join_is_brute_force(spark, n, percent):
                 root[y] = x
     got = by_id(ngram_join.similar(docs, n, percent))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_pipeline_keeps_the_mixed_order(spark, tmp_path):
+    sizes = {"src0": 700, "src1": 300, "odd": 300, None: 300}
+    made = [(f"{s} text {k}", s) for s, n in sizes.items() for k in range(n)]
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(made)], "doc_id long, text string, source string")
+    path = str(tmp_path / "mixed")
+    mixing.mixing_stage(spark, docs, "").repartition(7).write.parquet(path)  # read in any order
+    out = byte_bpe.encode_stage(spark, spark.read.parquet(path), "").orderBy("slot", "place").collect()
+    assert [r["doc_id"] for r in out] == [r["doc_id"] for r in mixing.targeted(docs).orderBy("slot", "place").collect()]
+    assert sorted(r["doc_id"] for r in out) == list(range(len(made)))
+    assert len({(r["slot"], r["place"]) for r in out}) == len(made)
+    # equal targets whatever the sizes: blocks of 100 by turns while all last
+    assert Counter(r["source"] for r in out[:1200]) == {s: 300 for s in sizes}

@@ -224,9 +224,12 @@ def digest_query(spark, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its number of tokens and the digests of its ids and
-    of the bytes they decode to."""
+    """Every document with its number of tokens, the digests of its ids and of
+    the bytes they decode to, and its ``block``, ``slot`` and ``place`` in the
+    mix: files are not read in the order in which they were written."""
     import public_tokenizers
 
+    from vitalspark.llm.mixing import targeted
+
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return round_trip(docs, path, public_tokenizers.PATTERN)
+    return round_trip(targeted(docs), path, public_tokenizers.PATTERN)

@@ -13,9 +13,13 @@ dropped or repeated.
 Documents of a source are numbered in an order by hash, inside small buckets
 whose counts are summed first, so a source of any size is spread over tasks.
 
+The pipeline mixes to ``TARGETS``. A table written in the mixed order loses it
+when it is read in several tasks, so the pipeline's last stage finds (slot,
+place) again, by the same arithmetic, and adds them as columns.
+
 Defined cases: a null source is a source of its own; weights of absent sources
-are ignored and sources without a weight get that of their size's square root
-(all of them when none are given); equal ids are told apart by row hash; extra
+are ignored and sources without a weight get ``other``, or that of their size's
+square root if it is not given (all of them when no weights are); equal ids are told apart by row hash; extra
 columns are kept; an empty table gives an empty result.
 """
 
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 
 from vitalspark.llm.common import table
 
+#: The pipeline's target weights: equal shares of the twenty sources, and OTHER
+#: for any source beside them, one without a name included.
+TARGETS, OTHER = {f"src{i}": 1.0 for i in range(20)}, 1.0
 SLOTS, BLOCK_DOCS, BUCKET_ROWS, MAX_SOURCES = 1_000, 100, 500, 100_000
 
 
@@ -65,7 +72,7 @@ def schedule(counts: dict) -> list[tuple]:
 
 
 def mix(docs: DataFrame, weights: dict | None = None, key: str = "doc_id", source: str = "source",
-        block_docs: int = BLOCK_DOCS, slots: int = SLOTS) -> DataFrame:
+        block_docs: int = BLOCK_DOCS, slots: int = SLOTS, other: float | None = None) -> DataFrame:
     """Add ``block`` (of its source), ``slot`` and ``place`` (in its block);
     (slot, place) is the mixed order."""
     spark = docs.sparkSession
@@ -79,7 +86,8 @@ def mix(docs: DataFrame, weights: dict | None = None, key: str = "doc_id", sourc
     sizes = df.groupBy("src").count().limit(MAX_SOURCES + 1).collect()
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = {r["src"]: float((weights or {}).get(r["src"], math.sqrt(r["count"]))) for r in sizes}
+    rest = lambda n: math.sqrt(n) if other is None else other
+    wanted = {r["src"]: float((weights or {}).get(r["src"], rest(r["count"]))) for r in sizes}
     counts = shares(wanted, slots) if wanted else {}
     kind = docs.schema[source].dataType.simpleString()
     per = spark.createDataFrame([(s, n) for s, n in counts.items()], f"s {kind}, n int")
@@ -112,7 +120,12 @@ def mixing_query(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def targeted(docs: DataFrame) -> DataFrame:
+    """``docs`` with block, slot and place under the pipeline's targets."""
+    return mix(docs, TARGETS, other=OTHER)
+
+
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in mixed order. The texts move twice: to be numbered within
     their bucket and in the sort."""
-    return mix(docs).orderBy("slot", "place").select(docs.columns)
+    return targeted(docs).orderBy("slot", "place").select(docs.columns)
