@@ -232,3 +232,14 @@ def test_pipeline_keeps_the_mixed_order(spark, tmp_path):
     assert len({(r["slot"], r["place"]) for r in out}) == len(made)
     # equal targets whatever the sizes: blocks of 100 by turns while all last
     assert Counter(r["source"] for r in out[:1200]) == {s: 300 for s in sizes}
+
+
+def test_near_stage_drops_linked_rows_only(spark):
+    words = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    texts = [(None, words("p")), (None, words("q")), (1, words("r")), (1, words("s")), (2, words("s") + " end"), (None, words("r")),
+             (3, words("t")), (3, words("t")), (None, words("u") + " x"), (None, words("u")), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, f"s{k}") for k, (i, t) in enumerate(texts)], "doc_id long, text string, source string")
+    out = ngram_join.near_stage(spark, docs.repartition(5), "").collect()
+    got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out)
+    assert got == {(None, "p"): 1, (None, "q"): 1, (1, "r"): 1, (1, "s"): 1, (3, "t"): 1, (None, "u"): 1, (None, ""): 2}
+    assert [r["source"] for r in out if r["doc_id"] == 3] == ["s6"]

@@ -215,8 +215,27 @@ def join_query(spark, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the smallest id:
-    five words, similarity 0.8 or more."""
-    found = similar(docs.select("doc_id", "text"), n=5, percent=80)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near-duplicates stays: five words,
+    similarity 0.8 or more. The groups are of texts, so rows without an id or
+    with another's are no duplicates by that. The smallest id stays, null ids
+    last, then the smallest hash of the text; among rows of one id and text the
+    smallest other columns. Texts without words have no links and all stay."""
+    n, percent = 5, 80
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), whole_text().alias("t"))
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    signs = [F.size("toks").alias("n"), F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2")]
+    signed = rows.select(key.alias("key"), shingles(F.col("t"), n).alias("toks")).select("key", *signs).where("n > 0")
+    classes = signed.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))
+    # the stored numbers only tell classes apart
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rid"), "key"), "classes")
+    first = classes.select("rid", F.col("key.id").alias("kid"), F.col("key.h").alias("kh"))
+    of_key = F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh"))
+    reps = rows.select("id", "h", "t").join(first, of_key).select("rid", "t").dropDuplicates(["rid"])
+    reps = stored(reps.select("rid", shingles(F.col("t"), n).alias("toks")).withColumn("n", F.size("toks")), "reps")
+    roots = link_classes(reps, percent)
+    stay = classes.join(roots, "rid", "left").groupBy(F.coalesce("root", "rid").alias("c")).agg(F.min("key").alias("key"))
+    stay = stay.select(F.col("key.id").alias("kid"), F.col("key.h").alias("kh"))
+    worded = F.size(words(F.col("t"))) > 0
+    kept = rows.where(worded).join(stay, of_key, "left_semi").groupBy("id", "h").agg(F.min("doc").alias("doc"))
+    return kept.select("doc.*").unionByName(rows.where(~worded).select("doc.*"))
