@@ -118,6 +118,20 @@ def test_quality_counts(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_phrases_are_whole_and_cover_the_line(spark):
+    prose = " ".join(f"word{i} stands here," for i in range(200))
+    texts = [
+        f"{prose} and you may sign in to read more of it.",
+        "They design in the open, write a blog in English and keep a catalog in print, with a dialog in it.",
+        f"{prose}\nSign in to subscribe to our news, please.\nAll rights reserved.\nThe design in use.",
+        "Read more about it here.\nClick here, sign in or log in; see our privacy policy.\nAll rights reserved by us.\nTerms of use apply.",
+    ]
+    got = by_id(quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["kept"] for i in range(4)] == [True, True, True, False]
+    assert got[0]["clean_text"] == texts[0] and got[1]["clean_text"] == texts[1]
+    assert got[2]["clean_text"] == f"{prose}\nThe design in use." and got[3]["clean_text"] == ""
+
+
 def test_toxic_words_are_restored():
     plain = [("you idiot go away", 1)] * 30 + [("you good friend stay here", 0)] * 60
     model = toxicity.learn(plain)

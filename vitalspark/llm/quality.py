@@ -2,8 +2,9 @@
 
 Every line with a word is judged by itself: *punctuation* (no letter or digit,
 or too many symbols for its length, or short and without closing punctuation),
-*navigation* (several menu separators) and *boilerplate* (a stock phrase; a
-line equal to an earlier one of the text). Failing lines are removed, and a document that lost
+*navigation* (several menu separators) and *boilerplate* (stock phrases, whole
+words, that cover ``PHRASE_PERCENT`` of the line's words or more; a line equal
+to an earlier one of the text). Failing lines are removed, and a document that lost
 more than ``max_loss`` of its word characters is rejected. Two document rules
 come first (``base_failed``): fewer than ten words, or more than a fifth of the
 words inside five-word windows that occur again in the text.
@@ -31,6 +32,10 @@ PHRASES = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service",
     "sign in", "log in", "subscribe to", "click here", "read more", "enable javascript", "licensed under",
 )
+#: A line is boilerplate when the words of stock phrases are so many of its words.
+PHRASE_PERCENT = 20
+# no letter, digit, hyphen or apostrophe on either side
+PHRASE = r"(?<![\p{L}\p{N}_'’-])(?:" + "|".join(PHRASES) + r")(?![\p{L}\p{N}_'’-])"
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
 
 
@@ -75,10 +80,10 @@ def repeated_words(w: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     chars = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
-    low = F.lower(line)
-    phrase = F.lit(False)
-    for p in PHRASES:
-        phrase = phrase | low.contains(p)
+    found = F.regexp_extract_all(F.lower(line), F.lit(PHRASE), F.lit(0))
+    # phrases have single spaces
+    covered = F.size(F.split(F.array_join(found, " "), " "))
+    phrase = (F.size(found) > 0) & (100 * covered >= PHRASE_PERCENT * F.size(words(line)))
     punctuation = (
         ~line.rlike(r"[\p{L}\p{N}]")
         | (matches(line, SYMBOLS) > chars * MAX_SYMBOL_SHARE)
