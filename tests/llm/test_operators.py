@@ -143,6 +143,21 @@ def test_toxic_words_are_restored():
     assert toxicity.learn([])["weights"] == {}
 
 
+def test_toxic_words_beside_others_are_restored():
+    plain = [("you idiot go away a moron is such i classic", 1)] * 30 + [("you good friend a classic i stay here is such go away", 0)] * 60
+    model = toxicity.learn(plain)
+    reader = toxicity.Reader(toxicity.CharacterModel(model["pairs"]), model["known"])
+    cases = {
+        "such a m o r o n": "moron", "y o u i d i o t": "idiot", "you-idiot": "idiot", "y o u 1 d 1 0 t": "idiot", "go/you.idi-ot!": "idiot",
+        "idi" + "o" * 90 + "t": "idiot", "friend-" * 20 + "idiot": "idiot", "a m o o o o r o n": "moron",
+    }
+    for text, word in cases.items():
+        assert word in reader.words(text), text
+        assert toxicity.score_of(reader.words(text), model["weights"]) >= 0.5
+    for text in ("a g o o d friend", "good-friend", "c l a s s i c", "a" * 50_000 + "1"):
+        assert toxicity.score_of(reader.words(text), model["weights"]) < 0.5
+
+
 def test_html_article(spark):
     page = (
         "<html><head><title>x</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy now.</div>"
