@@ -170,6 +170,26 @@ def test_html_article(spark):
     assert got[99] == ""
 
 
+def test_html_without_containers_or_end_tags(spark):
+    prose = "<h1>Title {0}</h1><p>First words stand here, in a row.</p><p>More <a href='/'>of</a> them follow, again.</p>"
+    text = "Title {0} First words stand here, in a row. More of them follow, again."
+    around = ["<html><head><title>x</title><meta charset=a><body>{0}", "<html><head><title>x</title></head><body><form action=a>{0}</form>",
+              "<html><body><form>{0}", "<html><body><button>{0}", "<title>x</title><body><div class=body>{0}</div>"]
+    menu = "<div class='menu'><ul><li><a href='/'>Home</a></li></ul></div>"
+    made = [(i, "u", around[i % 5].format(menu + prose.format(i))) for i in range(40)]
+    plain = spark.createDataFrame(made, "page_id long, url string, html string")
+    trees = html_text.train(plain)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(plain, trees).collect()}
+    assert trees == [] and got == {i: text.format(i) for i in range(40)}
+    article = "<html><head></head><body><nav><a href='/'>Home</a></nav><article>{0}</article><footer>site</footer></body></html>"
+    marked = [(100 + i, "u", article.format(prose.format(i))) for i in range(40)]
+    both = spark.createDataFrame(marked, plain.schema)
+    assert html_text.train(both.union(plain)) != []
+    assert set(html_text.labels(html_text.parse(made[0][2]))) == {-1}
+    short = html_text.parse("<body><form><input><button>Go</button> now</form><select><option>a</select><p>b")
+    assert "".join(t for _, t in short.pieces) == "b"
+
+
 def test_fingerprints(docs, empty):
     got = by_id(fingerprint.fingerprints(docs))
     ordered = [(i, t or "") for i, t, _ in reversed(TEXTS)]

@@ -7,12 +7,16 @@ of its ancestors. Gradient-boosted trees give each element a probability of
 being part of the article. Decoding goes over the tree: a dropped element takes
 its whole subtree with it, so the best set of kept elements (by log-likelihood,
 text weighing more) never holds a kept element in a dropped one. Scripts,
-styles, forms and other elements that cannot hold article text are not read.
+styles and other elements that cannot hold article text are not read, if their
+own end tag ends them; the head ends where HTML ends it, and a form is read when
+it holds headings, paragraphs or an article.
 
 The trees are trained in one task on at most ``SAMPLE_PAGES`` pages (by hash of
 the id), with labels from the semantic containers that those pages use; the same
 pages with these containers renamed to plain ones with usual class names teach
-layouts without them. All pages are extracted whole.
+layouts without them. Pages without such containers teach nothing. Without any
+that do, elements are kept unless their tag or names mark them as furniture or
+most of their text is in links (``prior``). All pages are extracted whole.
 
 Defined cases: null and empty pages, and pages without markup that is an
 article, give the text of what is kept, or the empty text; broken markup is
@@ -41,6 +45,9 @@ SAMPLE_PAGES, TREES, DEPTH, RATE, BINS, TOKENS = 300, 30, 3, 0.3, 16, 64
 UNREAD = {"script", "style", "head", "title", "noscript", "template", "form", "button", "select", "option", "textarea",
           "iframe", "svg", "canvas", "object", "input", "dialog"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed", "track", "param"}
+#: What a head may hold; anything else ends it. Raw text has no elements in it.
+IN_HEAD = {"title", "script", "style", "meta", "link", "base", "noscript", "template"}
+RAW = {"head", "title", "script", "style", "textarea", "iframe"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s",
           "samp", "small", "span", "strong", "sub", "sup", "u", "var", "tt", "big", "time", "data", "label"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -65,9 +72,13 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.depth, self.tokens = ["#root"], [-1], [0], [()]
-        self.stack, self.pieces, self.unread = [0], [], 0
+        self.stack, self.pieces, self.ended = [0], [], set()
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._leave_head()
+        if tag in ("option", "button", "select"):
+            self._repeated(tag)
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.pieces.append((self.stack[-1], " "))
@@ -80,7 +91,19 @@ class Tree(HTMLParser):
         self.depth.append(self.depth[self.stack[-1]] + 1)
         self.tokens.append(tuple(t for t in SPLIT.split(values) if t))
         self.stack.append(len(self.tag) - 1)
-        self.unread += tag in UNREAD
+
+    def _leave_head(self):
+        """Only a head's own elements and blanks are in it."""
+        top = self.tag[self.stack[-1]]
+        if top == "head":
+            self._close(len(self.stack) - 1)
+
+    def _repeated(self, tag):
+        """One button, option or select ends an open one."""
+        for at in range(len(self.stack) - 1, 0, -1):
+            if self.tag[self.stack[at]] == tag:
+                self._close(at)
+                return
 
     def _imply(self, tag):
         """A block closes an open paragraph, an item its sibling."""
@@ -93,25 +116,39 @@ class Tree(HTMLParser):
                 return
 
     def _close(self, at):
-        for node in self.stack[at:]:
-            self.unread -= self.tag[node] in UNREAD
         del self.stack[at:]
 
     def handle_endtag(self, tag):
         for at in range(len(self.stack) - 1, 0, -1):
             if self.tag[self.stack[at]] == tag:
+                self.ended.add(self.stack[at])
                 self._close(at)
                 return
 
     def handle_data(self, data):
-        if not self.unread:
-            self.pieces.append((self.stack[-1], data))
+        if data.strip():
+            self._leave_head()
+        self.pieces.append((self.stack[-1], data))
+
+    def read(self):
+        """Leave out the text of unread elements."""
+        n = len(self.tag)
+        article, cut = [False] * n, [False] * n
+        for i in range(n - 1, 0, -1):
+            own = self.tag[i] in ("p", "article", "main") or self.tag[i] in HEADING
+            article[self.parent[i]] |= article[i] or own
+        for i in range(1, n):
+            tag = self.tag[i]
+            own = tag in UNREAD and (tag in RAW or (i in self.ended and not (tag == "form" and article[i])))
+            cut[i] = cut[self.parent[i]] or own
+        self.pieces = [(node, text) for node, text in self.pieces if not cut[node]]
 
 
 def parse(html: str) -> Tree:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    tree.read()
     return tree
 
 
@@ -168,8 +205,11 @@ def features(tree: Tree) -> np.ndarray:
 
 def labels(tree: Tree) -> list[int]:
     """1 in the article, 0 in what the page itself marks as furniture or leaves
-    outside the article; -1 for the containers around it."""
+    outside the article; -1 for the containers around it, and everywhere in a
+    page that marks no article."""
     n = len(tree.tag)
+    if not {"article", "main"} & set(tree.tag):
+        return [-1] * n
     out, holds = [0] * n, [False] * n
     for i in range(n - 1, 0, -1):
         holds[tree.parent[i]] |= holds[i] or tree.tag[i] in ("article", "main")
@@ -234,11 +274,27 @@ def boost(x: np.ndarray, y: np.ndarray) -> list:
     return trees
 
 
+def prior(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """Margins without trees: against furniture and elements of links."""
+    out = np.where(x[:, 3] > 0.5, -2.0, 1.0)
+    for i, tag in enumerate(tree.tag):
+        if tag in FURNITURE or NOT_ARTICLE & set(tree.tokens[i]):
+            out[i] = -6.0
+        elif tag in ("#root", "html", "body"):
+            out[i] = 1.0
+        elif tag in INLINE:
+            out[i] = 0.0
+    for i in range(1, len(out)):  # all below furniture is furniture
+        if out[tree.parent[i]] == -6.0:
+            out[i] = -6.0
+    return out
+
+
 def extract(html: str, trees: list) -> str:
     """Kept elements by the best consistent decoding, then their text."""
     tree = parse(html)
     x = features(tree)
-    margin = np.clip(sum((apply_tree(t, x) for t in trees), np.zeros(len(x))), -6, 6)
+    margin = np.clip(sum((apply_tree(t, x) for t in trees), np.zeros(len(x))), -6, 6) if trees else prior(tree, x)
     n = len(tree.tag)
     gain = np.zeros(n)  # log-odds of keeping rather than dropping, by own text
     for node, text in tree.pieces:
