@@ -102,6 +102,17 @@ def test_secrets_spans(docs, empty):
     assert secrets.scan(empty, secrets.model(empty)).count() == 0
 
 
+def test_secrets_beside_base_spans_and_of_letters(spark):
+    prose = "The quick brown fox jumps over the lazy dog near the old river bank today. A well-known-and-ordinary-word stays."
+    key, letters = "Xq7Zt2LmVw9Kp" + "0123456789abcdef" * 2 + "QzR4TyU8BnH6sJk", "qXzVkTjWpRbNfGhYcLdMsQ"
+    texts = [(k, prose) for k in range(50)] + [(98, f"use {key} here"), (99, f"use {letters} here")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    ordinary = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = by_id(secrets.redact(secrets.scan(docs, secrets.model(ordinary))))
+    assert got[98]["text"] == got[99]["text"] == "use [SECRET] here"
+    assert (got[98]["n_hex"], got[98]["n_markov"]) == (1, 1) and got[0]["text"] == prose
+
+
 def test_quality_counts(docs, empty):
     got = by_id(quality.judge(docs.selectExpr("*", "1 as kept", "2 as _words")))
     for i, text, _ in TEXTS:

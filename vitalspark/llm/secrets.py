@@ -4,8 +4,10 @@ Three base rules find assignments, access keys and long hexadecimal runs. The
 method adds runs of key characters that look random: two first-order Markov
 models over characters, one of random strings and one of ordinary identifiers,
 are counted in Spark from labelled samples, and a run is a secret when the
-log-likelihood ratio per transition is above ``threshold`` and letters and
-digits are mixed in it.
+log-likelihood ratio per transition is above ``threshold``, whatever kinds of
+characters it has. Runs are of 20 characters or more; shorter ones are not
+scored. A run that lies in a base span adds nothing; one that reaches out of it
+is a span of its own, and redaction joins the two.
 
 Labelled samples, both bounded by parameters: ``random_sample`` strings of
 hashed numbers in base 64 and hexadecimal, and the words of at most
@@ -133,9 +135,9 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: fl
             )
 
         ratio = F.transform(F.array(F.struct(codes.alias("c"))), total)[0]
-        return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (ratio > threshold * n)
+        return ratio > threshold * n
 
-    free = lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    free = lambda x: ~F.exists(F.col(base), lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
     df = df.withColumn(extra, F.filter(spans_of(F.col(body), RUN, 3), lambda x: free(x) & random_looking(x)))
     as_text = lambda spans: F.array_join(
         F.transform(
