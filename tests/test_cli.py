@@ -26,7 +26,7 @@ def test_cli_over_csv_tables(spark):
     assert main(["--tables", folder, "--out", out]) == 0
     written = set(os.listdir(out))
     assert "sleep_vs_calories" in written and "duplicates" not in written  # needs an event log
-    assert spark.read.parquet(os.path.join(out, "sleep_clean")).count() == 4
+    assert spark.read.parquet(os.path.join(out, "sleep_clean")).count() == 5
 
 
 def test_cli_with_a_bucketed_rollup(spark):
