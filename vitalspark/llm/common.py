@@ -26,6 +26,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that :func:`shared_path` named, once their readers are done."""
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null read as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalspark.llm import byte_bpe, fingerprint, html_text, lm, mixing, ngram_join, quality, secrets, sql, token_files, toxicity
+from vitalspark.llm import (
+    byte_bpe,
+    centroids,
+    fingerprint,
+    html_text,
+    lexical,
+    line_dedup,
+    lm,
+    mixing,
+    ngram_join,
+    quality,
+    secrets,
+    sql,
+    token_files,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.digest_query,
@@ -19,6 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": fingerprint.fingerprint_query,
     "op9_mixing": mixing.mixing_query,
     "op10_ngram_join": ngram_join.join_query,
+    "op11_centroids": centroids.cluster_query,
+    "op12_lexical_search": lexical.search_query,
+    "op13_line_dedup": line_dedup.dedup_query,
 }
 
 
