@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm.common import chunks, shared_path, table, whole_text
+from vitalspark.llm.components import stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BITS_PER_LINE, MAX_BITS = 16, 1 << 31
@@ -212,7 +213,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     suspected.select("id", row, F.explode("suspects").alias("h")).write.parquet(path)
     pairs = spark.read.parquet(path)
     counts = pairs.select("h", "id").distinct().groupBy("h").agg(F.count("*").alias("c"), F.max("id").alias("top"))
-    repeated = counts.where(F.col("c") >= min_docs).select("h", "top")
+    # stored, so that the join below has shuffles on both sides and a line of very
+    # many documents is split over tasks there
+    repeated = stored(counts.where(F.col("c") >= min_docs).select("h", "top"), "repeated")
     lost = (
         pairs.join(repeated, "h").where(~F.col("id").eqNullSafe(F.col("top")))
         .groupBy(F.col("id").alias("of"), F.col("row").alias("of_row")).agg(F.collect_set("h").alias("lost"))
