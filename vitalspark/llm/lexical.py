@@ -39,8 +39,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.llm.common import chunks, remove, shared_path, table, whole_text
+from vitalspark.llm.components import stored
 
 TOP, ITEM_BLOCK, TASK_TOKENS = 20, 2_000, 1_500_000
+#: Rows of the table of strata (three numbers each) that may be broadcast.
+MAX_STRATA = 500_000
 #: ASCII letters in lower case, digits as they are, other ASCII as blanks.
 TERM_BYTES = bytes(
     ord(chr(b).lower()) if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(128)
@@ -62,7 +65,9 @@ def weight(n_docs: int, df: int) -> int:
 
 
 def count_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, terms, tfs) of the documents that have a term."""
+    """(id, n, terms, tfs) of the documents that have a term: its distinct terms
+    joined by blanks, and their counts as 32-bit integers (arrays of short terms
+    would take three times the space)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,13 +75,14 @@ def count_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
             counts = [Counter(terms(t)) for t in pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist()]
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([c.total() for c in counts], pa.int64()),
-                 pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+                 pa.array([b" ".join(c).decode() for c in counts], pa.string()),
+                 pa.array([np.fromiter(c.values(), "<i4", len(c)).tobytes() for c in counts], pa.binary())],
                 names=["id", "n", "terms", "tfs"],
             )
             yield out.filter(pc.greater(out.column(1), 0))
 
     rows = docs.select(F.col(f"`{key}`").alias("id"), whole_text(f"`{text}`").alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, n long, terms array<binary>, tfs array<int>")
+    return rows.mapInArrow(run, f"id {kind}, n long, terms string, tfs binary")
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -87,10 +93,10 @@ def blocks_of(rows: DataFrame) -> DataFrame:
 
     def block(m: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        ids, lists, tfs = (t.column(c).combine_chunks() for c in ("id", "terms", "tfs"))
-        code = pc.dictionary_encode(lists.flatten())
-        code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-        tf = tfs.flatten().to_numpy()
+        ids, joined, tfs = (t.column(c).combine_chunks() for c in ("id", "terms", "tfs"))
+        lists = pc.split_pattern(joined, " ")
+        code = pc.dictionary_encode(lists.flatten().cast(pa.binary()))
+        tf = np.frombuffer(b"".join(tfs.to_pylist()), "<i4")
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(lists).to_numpy())
         term = code.indices.to_numpy()
         order = np.lexsort((doc, tf, term))
@@ -140,6 +146,9 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", task_tokens:
     strata = strata.select(
         F.col("m").alias("of"), F.floor((upto - F.col("tokens")) / task_tokens).alias("low"), F.floor((upto - 1) / task_tokens).alias("high")
     )
+    strata = stored(strata, "strata")
+    if strata.count() <= MAX_STRATA:  # else by a shuffle
+        strata = F.broadcast(strata)
     tasks = (length - 1) // task_tokens + 1
     wide = rows.withColumn("m", m).join(strata, F.col("m") == F.col("of"))
     task = F.col("low") + F.pmod(F.xxhash64("id", "terms"), F.col("high") - F.col("low") + 1)
