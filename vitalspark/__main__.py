@@ -3,8 +3,12 @@
     python -m vitalspark --tables DIR [--format csv|parquet] --out OUT [--only a,b]
     python -m vitalspark --events PATH --out OUT [--steps-cut X --sleep-cut Y]
 
-``--tables DIR`` expects one file or folder per table named ``<table>.<format>``
-(``daily_activity.csv``, ``daily_sleep.csv``, ... see ``sources.SCHEMAS``);
+``--tables DIR`` holds one file or folder per table named ``<table>.<format>``
+(``daily_activity.csv``, ``daily_sleep.csv``, ... see ``sources.SCHEMAS``); any of
+the nine may be absent, and the analyses that need it are then skipped. Malformed
+CSV records are counted on standard error and written to ``OUT/rejects``;
+``--on-bad`` says whether their bad fields become NULL (default), the records are
+left out or the run fails.
 ``--events PATH`` derives the tables from an event log (Parquet). Each analysis
 is written to ``OUT/<name>`` as Parquet, in its presentation order when
 ``--ordered`` is given. On a cluster, submit this module's file with
@@ -21,10 +25,13 @@ import sys
 from pyspark.sql import SparkSession
 
 from vitalspark.plans.analyses import ANALYSES, NEEDS_EVENTS, Params, present
-from vitalspark.sources import TrackerTables, read_tables, tracker_tables
+from vitalspark.sources import MissingTable, TrackerTables, read_tables, reject_counts, tracker_tables
 from vitalspark.sources.event_log import read_events
 
 
+ON_BAD = {"null": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}
+
+
 def _tables(spark: SparkSession, args) -> TrackerTables:
     if args.events:
         folder, name = os.path.split(args.events.rstrip("/"))
@@ -33,7 +40,7 @@ def _tables(spark: SparkSession, args) -> TrackerTables:
         # the run: the log is scanned once for all of them.
         return tracker_tables(events, share_daily=True, rollup_table=args.rollup_table)
     try:
-        return read_tables(spark, args.tables, args.format)
+        return read_tables(spark, args.tables, args.format, ON_BAD[args.on_bad])
     except FileNotFoundError as e:
         raise SystemExit(str(e)) from None
 
@@ -44,6 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--tables", help="folder with one <table>.<format> per tracker table")
     src.add_argument("--events", help="event log (Parquet) to derive the tables from")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet", "orc", "json"])
+    ap.add_argument("--on-bad", default="null", choices=sorted(ON_BAD), help="malformed CSV fields: NULL, record dropped, or failure")
     ap.add_argument("--out", required=True, help="output folder (one Parquet dataset per analysis)")
     ap.add_argument("--only", default="", help="comma-separated analyses (default: all)")
     ap.add_argument("--ordered", action="store_true", help="sort each result as originally presented")
@@ -68,11 +76,20 @@ def main(argv: list[str] | None = None) -> int:
         if key in NEEDS_EVENTS and tables.events is None:
             print(f"skip {key}: needs --events", file=sys.stderr)
             continue
-        df = ANALYSES[key](tables, params)
+        try:
+            df = ANALYSES[key](tables, params)
+        except MissingTable as e:
+            print(f"skip {key}: {e}", file=sys.stderr)
+            continue
         if args.ordered:
             df = present(key, df)
         df.write.mode("overwrite").parquet(os.path.join(args.out, key))
         print(f"wrote {key}", file=sys.stderr)
+    if args.format == "csv" and tables.rejects is not None and args.on_bad != "fail":
+        where = os.path.join(args.out, "rejects")
+        tables.rejects.write.mode("overwrite").parquet(where)
+        for r in reject_counts(spark.read.parquet(where)).orderBy("table", "file", "kind").toLocalIterator():
+            print(f"rejected {r['records']} records of {r['table']} ({r['file']}): {r['kind']}", file=sys.stderr)
     return 0
 
 

@@ -3,6 +3,7 @@ so it stays inside whole-stage codegen; nothing calls back into Python."""
 
 from vitalspark.functions.columns import (
     as_col,
+    day_of_text,
     hour_of_text,
     parse_date,
     parse_timestamp,
@@ -19,6 +20,7 @@ from vitalspark.functions.classify import bucketize, quadrant
 __all__ = [
     "as_col",
     "bucketize",
+    "day_of_text",
     "hour_of_text",
     "parse_date",
     "parse_timestamp",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalspark.constants import WEEKDAY_NAME_FORMAT
+from vitalspark.constants import DAY_FORMAT, WEEKDAY_NAME_FORMAT
 
 
 def as_col(c) -> Column:
@@ -56,14 +56,36 @@ def split_part(c, sep: str, index: int, strict: bool = True) -> Column:
     return parts[index] if strict else F.get(parts, index)
 
 
-def to_day(c, fmt: str, strict: bool = True, dtype: T.DataType | None = None) -> Column:
-    """Date column from a date, timestamp or text column."""
+# A day as text: M/d/yyyy or ISO, alone or before a time of day.
+DAY_TEXT = (
+    r"^\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})"
+    r"(?:[ T]+[0-9:.]+(?: ?[AaPp][Mm])?(?:Z|[+-][0-9:]+)?)?\s*$"
+)
+
+
+def day_of_text(c, strict: bool = True) -> Column:
+    """Day of a text in any of the forms that exports use: ``M/d/yyyy`` or ISO
+    ``yyyy-MM-dd``, each alone or followed by a time of day. The form is told by
+    the text itself, so a column may mix them and each row is parsed once. Text
+    of no such form, or no real day, fails (``strict``) or is NULL."""
+    text = as_col(c)
+    day = F.regexp_extract(text, DAY_TEXT, 1)
+    parsed = F.when(F.contains(day, F.lit("/")), F.try_to_date(day, DAY_FORMAT)).otherwise(F.try_to_date(day, "yyyy-M-d"))
+    if not strict:
+        return parsed
+    bad = text.isNotNull() & parsed.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit("not a day: "), text)).cast("date")).otherwise(parsed)
+
+
+def to_day(c, fmt: str | None = None, strict: bool = True, dtype: T.DataType | None = None) -> Column:
+    """Date column from a date, timestamp or text column. Text is read by
+    :func:`day_of_text`, or in the one form ``fmt`` where it is given."""
     c = as_col(c)
     if isinstance(dtype, T.DateType):
         return c
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(c)
-    return parse_date(c, fmt, strict)
+    return day_of_text(c, strict) if fmt is None else parse_date(c, fmt, strict)
 
 
 def hour_of_text(c) -> Column:

@@ -69,12 +69,13 @@ def add_weekday(df: DataFrame, day_col: str = "Date") -> DataFrame:
 
 def activity_clean(
     daily_activity: DataFrame,
-    date_format: str = DAY_FORMAT,
+    date_format: str | None = None,
     strict: bool = True,
     min_distance: float = 0.0,
 ) -> DataFrame:
     """Daily activity, cleaned: ``ActivityDate`` -> ``Date`` (parsed when it is
-    text), ``TotalSteps`` as int, weekday columns, ``SumOfDistances`` = the four
+    text, in any form of :func:`day_of_text` or in the one of ``date_format``),
+    ``TotalSteps`` as int, weekday columns, ``SumOfDistances`` = the four
     intensity distances, and only rows with ``SumOfDistances > min_distance``
     (a NULL sum is dropped too)."""
     day = to_day("ActivityDate", date_format, strict, _dtype(daily_activity, "ActivityDate"))
@@ -103,7 +104,7 @@ def activity_clean(
 
 def sleep_clean(
     daily_sleep: DataFrame,
-    date_format: str = DAY_FORMAT,
+    date_format: str | None = None,
     strict: bool = True,
     dedupe: bool = False,
 ) -> DataFrame:
@@ -111,7 +112,7 @@ def sleep_clean(
     columns, ``TotalSleepRecords`` dropped. Exact duplicate rows are kept (they
     count twice downstream) unless ``dedupe=True``."""
     dtype = _dtype(daily_sleep, "SleepDay")
-    if isinstance(dtype, T.StringType):
+    if isinstance(dtype, T.StringType) and date_format is not None:
         day = to_day(split_part("SleepDay", " ", 0, strict), date_format, strict)
     else:
         day = to_day("SleepDay", date_format, strict, dtype)

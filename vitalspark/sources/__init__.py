@@ -2,21 +2,26 @@
 
 from vitalspark.sources.event_log import (
     EventMapping,
+    MissingTable,
     TrackerTables,
     load_tracker_tables,
     read_events,
     tracker_tables,
 )
-from vitalspark.sources.readers import read_table, read_tables
+from vitalspark.sources.readers import TableRead, load_table, read_table, read_tables, reject_counts
 from vitalspark.sources.schemas import SCHEMAS
 
 __all__ = [
     "EventMapping",
+    "MissingTable",
     "SCHEMAS",
+    "TableRead",
     "TrackerTables",
+    "load_table",
     "load_tracker_tables",
     "read_events",
     "read_table",
     "read_tables",
+    "reject_counts",
     "tracker_tables",
 ]

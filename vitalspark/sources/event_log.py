@@ -17,6 +17,7 @@ The mapping of event kinds to tracker measures is a parameter
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,25 +58,48 @@ TABLE_NAMES = (
 )
 
 
+class MissingTable(LookupError):
+    """An analysis asked for a table that was not given."""
+
+
 class TrackerTables:
-    """The nine logical inputs of the analyses.
+    """The nine logical inputs of the analyses, or those of them that there are.
 
     Each table is given as a DataFrame or as a zero-argument function that
     builds one; functions run on first access, so a query constructs (and
-    has analysed) only the tables it reads. ``events`` is the raw log, when
-    the tables came from one.
+    has analysed) only the tables it reads. A table that was not given raises
+    :class:`MissingTable` when it is asked for, so a folder with one export
+    serves the analyses of that export. ``events`` is the raw log, when
+    the tables came from one. ``days`` builds one frame of several daily tables'
+    measures, per user-day found in all of them, where the source can do that
+    without a join (see :func:`user_days`). ``rejects`` are the malformed records
+    of text sources.
     """
 
-    def __init__(self, events: DataFrame | None = None, **tables):
+    def __init__(
+        self,
+        events: DataFrame | None = None,
+        days: Callable[[Mapping[str, Sequence[str]]], DataFrame] | None = None,
+        rejects: DataFrame | None = None,
+        **tables,
+    ):
         unknown = set(tables) - set(TABLE_NAMES)
-        missing = set(TABLE_NAMES) - set(tables)
-        if unknown or missing:
-            raise ValueError(f"tables: unknown {sorted(unknown)}, missing {sorted(missing)}")
+        if unknown:
+            raise ValueError(f"unknown tables {sorted(unknown)}")
         self.events = events
+        self.days = days
+        self.rejects = rejects
         self._sources = tables
 
+    @property
+    def names(self) -> tuple[str, ...]:
+        """The tables that there are."""
+        return tuple(n for n in TABLE_NAMES if n in self._sources)
+
     def __getattr__(self, name: str) -> DataFrame:
         sources = self.__dict__.get("_sources", {})
+        if name in TABLE_NAMES and name not in sources:
+            raise MissingTable(f"needs the table {name}; given: {list(sources)}")
         if name not in sources:
             raise AttributeError(name)
         value = sources[name]
