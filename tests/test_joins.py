@@ -6,6 +6,7 @@ import pytest
 from vitalspark.operators import (
     drilldown,
     heartrate_calories,
+    salted_join,
     sleep_on_activity_days,
     sleep_on_activity_days_join,
     sleep_vs_calories,
@@ -43,9 +44,10 @@ def test_fanout_equals_plain_join(frames):
     a, s = frames
     expected = rows(sleep_on_activity_days_join(a, s))
     assert rows(sleep_on_activity_days(a, s)) == expected
-    # several chunks per day, and the shuffle-join fallback above the broadcast bound
+    # several chunks per day, many tasks, few salts
     assert rows(sleep_on_activity_days(a, s, chunk=3)) == expected
-    assert rows(sleep_on_activity_days(a, s, chunk=2, max_broadcast_rows=0)) == expected
+    assert rows(sleep_on_activity_days(a, s, chunk=2, task_rows=7, salts=1)) == expected
+    assert rows(sleep_on_activity_days(a.where("false"), s)) == rows(sleep_on_activity_days(a, s.where("false"))) == []
 
 
 def _approx(rs, digits=9):
@@ -56,7 +58,8 @@ def test_user_segments_preaggregated_equals_plain_join(frames):
     a, s = frames
     plain = _approx(rows(user_segments_join(a, s, 10000, 420)))
     assert _approx(rows(user_segments(a, s, 10000, 420))) == plain
-    assert _approx(rows(user_segments(a, s, 10000, 420, max_broadcast_rows=0))) == plain
+    assert _approx(rows(user_segments(a, s, 10000, 420, salts=1))) == plain
+    assert _approx(rows(user_segments(a, s, 10000, 420, salts=50))) == plain
     assert {r[3] for r in plain} <= {
         "More Active, More Sleep",
         "More Active, Less Sleep",
@@ -108,17 +111,62 @@ def test_heartrate_calories_and_drilldown(spark):
     assert rows(dd) == [(1, D[0], 1, 2, 3, 4, 2000)]
 
 
-def test_session_broadcast_bound(spark, frames):
-    from vitalspark.operators.sizing import MAX_BROADCAST_ROWS_CONF
-
-    a, s = frames
-    default = user_segments(a, s, 10000, 420)
-    assert "strategy=broadcast" in default._jdf.queryExecution().optimizedPlan().toString()
-    expected = _approx(rows(default))
-    spark.conf.set(MAX_BROADCAST_ROWS_CONF, "0")
-    try:
-        fallback = user_segments(a, s, 10000, 420)
-        assert "strategy=broadcast" not in fallback._jdf.queryExecution().optimizedPlan().toString()
-        assert _approx(rows(fallback)) == expected
-    finally:
-        spark.conf.unset(MAX_BROADCAST_ROWS_CONF)
+@pytest.fixture
+def nothing_broadcast(spark):
+    """As for tables too large to broadcast, with as many tasks as partitions."""
+    off = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    saved = {k: spark.conf.get(k, None) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in saved.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _rows_per_task(df):
+    from pyspark.sql import functions as F
+
+    return sorted(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+def _hot_activity(spark, n=60_000):
+    """One day has a third of all rows, 29 others the rest."""
+    from pyspark.sql import functions as F
+
+    day = F.expr("date_add(date'2021-03-01', cast(if(id % 3 = 0, 0, 1 + id % 29) as int))")
+    return spark.range(n).select(F.col("id").alias("Id"), day.alias("Date"), (F.col("id") % 1000).cast("int").alias("TotalSteps"))
+
+
+def test_a_hot_day_is_spread_without_broadcast(spark, nothing_broadcast):
+    activity = _hot_activity(spark)
+    per_day = activity.select("Date").distinct().selectExpr("Date", "1L as n")
+    met = salted_join(activity, per_day, ["Date"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin [Date" in plan
+    sizes = _rows_per_task(met)
+    assert sum(sizes) == 60_000 and len(sizes) == 16
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    sleep = spark.createDataFrame([(i, D[0], 60.0 * i) for i in range(4)], "Id long, Date date, TotalMinutesAsleep double")
+    segments = user_segments(activity, sleep)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in segments
+
+
+def test_fanout_tasks_follow_the_output(spark, nothing_broadcast):
+    from pyspark.sql import functions as F
+
+    activity = _hot_activity(spark, 6_000).select("Id", "Date")
+    sleep = _hot_activity(spark, 900).select("Id", "Date", (F.col("Id") * 1.5).alias("TotalMinutesAsleep"))
+    expected = activity.groupBy("Date").count().join(sleep.groupBy("Date").count().withColumnRenamed("count", "k"), "Date")
+    total = expected.selectExpr("sum(count * k)").head()[0]
+    for task_rows in (50_000, 200_000):
+        out = sleep_on_activity_days(activity, sleep, chunk=500, task_rows=task_rows)
+        sizes = _rows_per_task(out)
+        assert sum(sizes) == total
+        assert out.rdd.getNumPartitions() == -(-total // task_rows)
+        assert sizes[-1] <= 1.5 * task_rows  # the hot day takes many tasks
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]

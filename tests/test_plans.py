@@ -40,11 +40,23 @@ def test_event_kind_filter_and_pruning_reach_the_scan(plans):
     assert "ReadSchema: struct<user_id:bigint,value:double>" in plans["intensity_level"]
 
 
-def test_date_only_joins_broadcast_the_per_day_side(plans):
-    for key in ("user_segments", "sleep_on_activity_days", "segment_share"):
-        plan = plans[key]
-        assert "BroadcastHashJoin [Date" in plan, key
-        assert "SortMergeJoin [Date" not in plan and "hashpartitioning(Date" not in plan, key
+def test_date_only_joins_are_salted(spark):
+    off = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    saved = {k: spark.conf.get(k, None) for k in off}
+    for k in off:
+        spark.conf.set(k, "-1")
+    try:
+        plans = {k: _physical(run_analysis(spark, SF_SMALL, k)) for k in ("user_segments", "sleep_on_activity_days", "segment_share")}
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for key, plan in plans.items():
+        joins = [line for line in plan.splitlines() if "Join [" in line]
+        assert joins and all("SortMergeJoin [Date" in j and "_salt" in j for j in joins), (key, joins)
+        assert "Broadcast" not in plan, key
+
+
+def test_numbering_reads_its_stored_input(plans):
     # numbering reads its checkpointed input, not the event log again
     assert "FileScan" not in plans["consecutive_ids"] and "Scan ExistingRDD" in plans["consecutive_ids"]
 
@@ -53,10 +65,23 @@ def test_fits_add_no_join(plans):
     # The fitted line reads the model through a scalar subquery, never a join.
     for key in ("user_totals_fit", "mets_frequency_fit"):
         assert "Join" not in plans[key], key
-    join_lines = [line for line in plans["sleep_calories_fit"].splitlines() if "Join" in line]
-    assert join_lines and all("[Id" in line for line in join_lines)
+    assert "Join" not in plans["sleep_calories_fit"]  # both tables come from one aggregation
+
+
+def test_two_tables_in_one_aggregation(spark, plans):
+    # one scan, one exchange, no join, nothing stored
+    for key in ("heartrate_calories", "sample_user_days", "sample_user_drilldown"):
+        plan = plans[key]
+        assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1, key
+        assert "Join" not in plan and "ExistingRDD" not in plan, key
+    # one more exchange by user
+    assert plans["sleep_vs_calories"].count("FileScan") == 1 and "Join" not in plans["sleep_vs_calories"]
 
 
-def test_sampled_ids_are_broadcast(plans):
-    assert "BroadcastHashJoin [Id" in plans["sample_user_days"]
+def test_sampled_ids_filter_the_scan(plans):
     assert "TakeOrderedAndProject" in plans["sample_users"]
+    # keys are drawn without the measures
+    assert "value" not in plans["sample_users"].split("ReadSchema")[1]
+    for key in ("sample_user_days", "sample_user_fits", "sample_user_drilldown"):
+        pushed = plans[key].split("PushedFilters")[1].split("ReadSchema")[0]
+        assert "user_id" in pushed and ("In(user_id" in pushed or "EqualTo(user_id" in pushed), (key, pushed)

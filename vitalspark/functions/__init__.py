@@ -4,6 +4,9 @@ so it stays inside whole-stage codegen; nothing calls back into Python."""
 from vitalspark.functions.columns import (
     as_col,
     day_of_text,
+    exact_avg,
+    exact_rounded_avg,
+    exact_sum,
     hour_of_text,
     parse_date,
     parse_timestamp,
@@ -21,6 +24,9 @@ __all__ = [
     "as_col",
     "bucketize",
     "day_of_text",
+    "exact_avg",
+    "exact_rounded_avg",
+    "exact_sum",
     "hour_of_text",
     "parse_date",
     "parse_timestamp",

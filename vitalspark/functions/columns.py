@@ -110,6 +110,44 @@ def round_half_up(c, digits: int = 0, snap_digits: int = SNAP_DIGITS) -> Column:
     return F.coalesce(F.round(snapped, digits).cast(T.DoubleType()), value.cast(T.DoubleType()))
 
 
+# Decimals that an exact sum keeps of each value, and its digits before them.
+EXACT_DIGITS, EXACT_WHOLE = 10, 12
+
+
+def exact_sum(c, digits: int = EXACT_DIGITS) -> Column:
+    """Sum (aggregate) of a numeric column as a decimal: each value counts as its
+    shortest decimal text, kept to ``digits`` decimals, so the sum is exact and
+    does not depend on the order of the rows. NULL if a value or the sum is beyond
+    the decimal (1e12 for a value, 1e22 for the sum), NaN or infinite."""
+    value = as_col(c).try_cast(T.DecimalType(EXACT_WHOLE + digits, digits))
+    lost = F.count_if(as_col(c).isNotNull() & value.isNull())
+    return F.when(lost == 0, F.try_sum(value))
+
+
+def exact_avg(c, digits: int = EXACT_DIGITS) -> Column:
+    """Average (aggregate) from the exact sum: the nearest double of it over the
+    count. Where there is no exact sum it is the plain average."""
+    c = as_col(c)
+    exact = F.try_divide(exact_sum(c, digits).cast(T.DoubleType()), F.count(c).cast(T.DoubleType()))
+    return F.coalesce(exact, F.avg(c))
+
+
+def exact_rounded_avg(c, factor: int = 1, digits: int = EXACT_DIGITS) -> Column:
+    """``factor`` times the average (aggregate), rounded half away from zero on
+    the exact ratio ``factor * sum / n``: floor((2 factor |sum| + n) / 2 n) in
+    decimals, so neither the sum nor the division can move a tie. Falls back to
+    the rounded plain average where there is no exact sum."""
+    c = as_col(c)
+    total = exact_sum(c, digits).try_cast(T.DecimalType(18 + digits, digits))
+    n = F.count(c).cast(T.DecimalType(18, 0))
+    # decimal(18 + digits) times decimal(k, 0), doubled, plus n: within 38 digits
+    scaled = F.abs(total) * F.lit(factor).cast(T.DecimalType(6, 0))
+    fits = F.abs(F.avg(c)) * F.lit(float(factor)) < F.lit(9e18)  # a long holds it
+    whole = F.when(fits, F.call_function("div", scaled + scaled + n, n + n))
+    signed = F.when(total < 0, -whole).otherwise(whole).cast(T.DoubleType())
+    return F.when(F.count(c) > 0, F.coalesce(signed, round_half_up(F.avg(c) * F.lit(factor))))
+
+
 def round_doubles(df: DataFrame, digits: int) -> DataFrame:
     """Round every floating-point column (with :func:`round_half_up`); used to
     compare results against other engines."""

@@ -18,12 +18,13 @@ from vitalspark.constants import (
     INTENSITY_UNKNOWN,
 )
 from vitalspark.functions.classify import bucketize
-from vitalspark.functions.columns import as_col, hour_of_text, round_half_up
+from vitalspark.functions.columns import as_col, exact_avg, exact_rounded_avg, hour_of_text, round_half_up
 
 
 def average_by(df: DataFrame, keys: Sequence, metrics: Mapping[str, "str | Column"]) -> DataFrame:
-    """``avg`` of each metric (output name -> input column) per key."""
-    return df.groupBy(*keys).agg(*[F.avg(as_col(c)).alias(out) for out, c in metrics.items()])
+    """Average of each metric (output name -> input column) per key, from exact
+    sums, so it does not depend on the order in which rows arrive."""
+    return df.groupBy(*keys).agg(*[exact_avg(c).alias(out) for out, c in metrics.items()])
 
 
 def totals_by(df: DataFrame, keys: Sequence, metrics: Mapping[str, "str | Column"]) -> DataFrame:
@@ -32,12 +33,14 @@ def totals_by(df: DataFrame, keys: Sequence, metrics: Mapping[str, "str | Column
 
 
 def rounded_avg(c, snap: bool = True) -> Column:
-    """``round(avg(c))`` half-up; ``c`` is a column name (averaged here) or an
-    aggregate expression. With ``snap`` the average is rounded as if computed
-    exactly (:func:`round_half_up`), so float noise (x.4999999999) cannot
-    decide a .5 tie differently from exact arithmetic."""
-    avg = F.avg(as_col(c)) if isinstance(c, str) else c
-    return round_half_up(avg) if snap else F.round(avg)
+    """Average rounded half away from zero; ``c`` is a column name (averaged here)
+    or an aggregate expression. With ``snap`` a column's average is rounded on the
+    exact ratio of its exact sum and count (:func:`exact_rounded_avg`), and an
+    expression by :func:`round_half_up`; without it, float noise (x.4999999999)
+    may decide a .5 tie."""
+    if isinstance(c, str):
+        return exact_rounded_avg(c) if snap else F.round(F.avg(c))
+    return round_half_up(c) if snap else F.round(c)
 
 
 def weekday_average(activity: DataFrame) -> DataFrame:
@@ -51,12 +54,12 @@ def weekday_average(activity: DataFrame) -> DataFrame:
 
 def hour_of_day_average(hourly: DataFrame, metric: str = "Calories", out: str = "AvgCalories") -> DataFrame:
     """Average of ``metric`` per integer hour of day (0-23) of ``HH:mm`` text."""
-    return hourly.groupBy(hour_of_text("Hour").alias("Hour")).agg(F.avg(metric).alias(out))
+    return hourly.groupBy(hour_of_text("Hour").alias("Hour")).agg(exact_avg(metric).alias(out))
 
 
 def hour_text_average(hourly: DataFrame, metric: str = "Steps", out: str = "avg_steps") -> DataFrame:
     """Average of ``metric`` per ``HH:mm`` hour text."""
-    return hourly.groupBy("Hour").agg(F.avg(metric).alias(out))
+    return hourly.groupBy("Hour").agg(exact_avg(metric).alias(out))
 
 
 def user_totals(activity: DataFrame) -> DataFrame:
@@ -75,10 +78,15 @@ def user_totals(activity: DataFrame) -> DataFrame:
 
 
 def daily_trend(activity: DataFrame, distance_scale: float = DISTANCE_SCALE, snap: bool = True) -> DataFrame:
-    """Per day: rounded average steps, distance (scaled) and calories."""
+    """Per day: rounded average steps, distance (scaled) and calories; the scale
+    is a whole number where the rounding is to be exact."""
+    if snap and float(distance_scale).is_integer() and abs(distance_scale) < 10**6:
+        distance = exact_rounded_avg("TotalDistance", int(distance_scale))
+    else:
+        distance = rounded_avg(F.avg("TotalDistance") * F.lit(distance_scale), snap)
     return activity.groupBy("Date").agg(
         rounded_avg("TotalSteps", snap).alias("avg_steps"),
-        rounded_avg(F.avg("TotalDistance") * F.lit(distance_scale), snap).alias("avg_distance"),
+        distance.alias("avg_distance"),
         rounded_avg("Calories", snap).alias("avg_calories"),
     )
 
@@ -123,6 +131,6 @@ def intensity_level(
     value (``<= 10`` Low, ``(10, 16]`` Medium, ``> 16`` High, NULL ``n/d``)."""
     return (
         mets.groupBy("Id")
-        .agg(F.round(F.avg("METs")).alias("AvgMETs"))
+        .agg(exact_rounded_avg("METs").alias("AvgMETs"))
         .withColumn("IntensityLevel", bucketize("AvgMETs", cuts, labels, unknown))
     )

@@ -1,32 +1,28 @@
 """Activity x sleep x heart-rate joins.
 
-Two of the analyses join activity and sleep on the calendar day alone, so
-every activity row of a day meets every sleep row of that day: the joined
-size is sum_d n_act(d) * n_sleep(d), quadratic in the data, and the join key
-has only as many values as there are days (one hot day can hold a third of the
-rows). Neither is run as that plain join here:
-
-* ``user_segments`` aggregates sleep per day first (one row per day), so the
-  join is linear in activity and the per-day table is tiny.
-* ``sleep_on_activity_days`` must return the fan-out rows themselves; it joins
-  each sleep row to its day's activity *count* and replicates it with a
-  generator, so the work is spread over the sleep partitions instead of being
-  shuffled into one task per day.
-
-The per-day side tables are broadcast only after their size is measured
-(:func:`checked_broadcast`); beyond the bound the join stays a shuffle join.
-The plain joins are kept (``*_join``) as the reference form and for tests.
+Two of the analyses join activity and sleep on the calendar day alone: every
+activity row of a day meets every sleep row of that day. The key has as many
+values as there are days, and one day can hold a third of the rows.
+
+* ``salted_join`` is the join for such keys: the rows of the large side get one
+  of several salts, the small side is repeated once a salt, and a key is spread
+  over that many tasks. It needs no broadcast and no measuring of sizes.
+* ``user_segments`` aggregates sleep per day first (one row a day), so its join
+  is linear in activity.
+* ``sleep_on_activity_days`` must return the fan-out rows themselves. Equal
+  sleep rows become one row with a number of copies; running sums of the
+  output give each day its place in the whole output, which is cut into tasks of
+  equal output volume; the copies are made there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.constants import (
-    DAY_FORMAT,
     SEGMENT_LESS_LESS,
     SEGMENT_LESS_MORE,
     SEGMENT_MORE_LESS,
@@ -37,19 +33,39 @@ from vitalspark.constants import (
 )
 from vitalspark.functions.classify import quadrant
 from vitalspark.functions.columns import to_day
-from vitalspark.operators.sizing import checked_broadcast, default_parallelism
+from vitalspark.operators.clean import DISTANCE_PARTS
+from vitalspark.functions.columns import sum_columns
+from vitalspark.operators.sizing import materialize
+
+MINUTE_COLUMNS = ("VeryActiveMinutes", "FairlyActiveMinutes", "LightlyActiveMinutes", "SedentaryMinutes")
 
-# Largest number of copies one generated array holds; a day with more activity
-# rows is split into several chunk rows, so no single row explodes unboundedly.
+#: Rows of output a task of the fan-out makes.
+TASK_ROWS = 4_000_000
+#: Largest number of copies that one generated array holds.
 REPLICATION_CHUNK = 100_000
+#: Salts for each shuffle partition: enough keys a partition that they even out.
+SALTS_PER_PARTITION = 8
+
+
+def default_salts(spark) -> int:
+    return SALTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salted_join(large: DataFrame, small: DataFrame, on: Sequence[str], salts: int | None = None) -> DataFrame:
+    """Inner join on ``on`` in which a key's rows of ``large`` are spread over
+    ``salts`` tasks (by a hash of the row) and ``small`` is repeated ``salts``
+    times. ``small`` is meant to have few rows a key."""
+    n = salts or default_salts(large.sparkSession)
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_salt")
+    dealt = large.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in large.columns]), F.lit(n)).cast("int"))
+    return dealt.join(small.select("*", each), [*on, "_salt"]).drop("_salt")
 
 
-def sleep_on_activity_days_join(activity: DataFrame, sleep: DataFrame) -> DataFrame:
-    """Reference form: inner join on ``Date`` only, keeping the sleep side's
-    ``Date`` and ``TotalMinutesAsleep``."""
-    a, s = activity.alias("A"), sleep.alias("S")
-    return a.join(s, F.col("A.Date") == F.col("S.Date"), "inner").select(
-        F.col("S.Date").alias("Date"), F.col("S.TotalMinutesAsleep").alias("TotalMinutesAsleep")
+def sleep_on_activity_days_join(activity: DataFrame, sleep: DataFrame, salts: int = 16) -> DataFrame:
+    """Every sleep row once for each activity row of its day, by joining the rows
+    themselves (``salts`` copies of the days of activity)."""
+    return salted_join(sleep.select("Date", "Id", "TotalMinutesAsleep"), activity.select("Date"), ["Date"], salts).select(
+        "Date", "TotalMinutesAsleep"
     )
 
 
@@ -57,34 +73,46 @@ def sleep_on_activity_days(
     activity: DataFrame,
     sleep: DataFrame,
     chunk: int = REPLICATION_CHUNK,
-    max_broadcast_rows: int | None = None,
+    task_rows: int = TASK_ROWS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Same multiset of rows as :func:`sleep_on_activity_days_join`.
 
-    Each sleep row is emitted once per activity row of its day: activity is
-    reduced to ``(Date, n)``, cut into chunks of at most ``chunk`` copies, and
-    each sleep row is joined to its day's chunks and exploded. The output is
-    inherently sum_d n_act(d) * n_sleep(d) rows; only its production is made
-    linear and skew-free.
+    Both sides are first reduced by aggregation: activity to its number of rows a
+    day, sleep to its distinct (day, minutes) with their number. Their product is
+    the number of copies of each distinct row; copies beyond ``chunk`` are cut
+    into several rows. A day's output begins where that of the days before it
+    ends (a running sum over one row a day), the line of all output is cut every
+    ``task_rows`` rows, and each row goes to a task within its day's stretch. So
+    the number of tasks follows the output, and one day may take many.
     """
-    counts = activity.where(F.col("Date").isNotNull()).groupBy("Date").agg(F.count(F.lit(1)).alias("_n"))
-    chunks = counts.select(
+    days = activity.where(F.col("Date").isNotNull()).groupBy("Date").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = sleep.groupBy("Date", "TotalMinutesAsleep").agg(F.count(F.lit(1)).alias("_k"))
+    parts = salted_join(distinct, days, ["Date"], salts).select("Date", "TotalMinutesAsleep", (F.col("_n") * F.col("_k")).alias("_copies"))
+    parts = materialize(parts)  # read for the running sums and for the copies
+    line = Window.orderBy("Date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_day = materialize(  # one row a day
+        parts.groupBy("Date").agg(F.sum("_copies").alias("_rows")).withColumn("_end", F.sum("_rows").over(line))
+    )
+    total = per_day.agg(F.max("_end")).head()[0] or 0
+    stretch = per_day.select(
         "Date",
-        "_n",
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / F.lit(chunk)).cast("int"))).alias("_c"),
-    ).select("Date", F.least(F.lit(chunk), F.col("_n") - F.col("_c") * F.lit(chunk)).cast("int").alias("_copies"))
-    side, _ = checked_broadcast(chunks, max_broadcast_rows)
-    # The (sleep row, chunk) pairs are few next to the rows they expand to, and
-    # their input partitioning says nothing about the output volume (a small
-    # sleep table may sit in one partition). Spread them round-robin over the
-    # cluster's cores so each task generates about the same number of rows.
-    pairs = (
-        sleep.select("Date", "TotalMinutesAsleep")
-        .join(side, "Date", "inner")
-        .repartition(default_parallelism(sleep.sparkSession))
+        F.floor((F.col("_end") - F.col("_rows")) / task_rows).alias("_first"),
+        F.floor((F.col("_end") - 1) / task_rows).alias("_last"),
     )
-    return pairs.select(
-        "Date", "TotalMinutesAsleep", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")
+    cut = parts.select(
+        "Date",
+        "TotalMinutesAsleep",
+        "_copies",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / chunk))).alias("_c"),
+    ).withColumn("_copies", F.least(F.lit(chunk).cast("long"), F.col("_copies") - F.col("_c") * chunk))
+    placed = salted_join(cut, stretch, ["Date"], salts)
+    width = F.col("_last") - F.col("_first") + 1
+    task = F.col("_first") + F.pmod(F.xxhash64("Date", "TotalMinutesAsleep", "_c"), width)
+    tasks = max(1, -(-total // task_rows))
+    dealt = placed.select("Date", "TotalMinutesAsleep", "_copies", task.cast("int").alias("_task")).repartitionById(tasks, "_task")
+    return dealt.select(
+        "Date", "TotalMinutesAsleep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_k")
     ).drop("_k")
 
 
@@ -111,19 +139,15 @@ def user_segments_join(
     steps_cut: float = SEGMENT_STEPS_CUT,
     sleep_cut: float = SEGMENT_SLEEP_CUT,
     on: Sequence[str] = ("Date",),
+    salts: int = 16,
 ) -> DataFrame:
-    """Reference form: join on ``on``, then per user the plain averages of
-    ``TotalSteps`` and ``TotalMinutesAsleep`` over the joined rows."""
-    a, s = activity.alias("A"), sleep.alias("S")
-    cond = None
-    for k in on:
-        c = F.col(f"A.{k}") == F.col(f"S.{k}")
-        cond = c if cond is None else cond & c
-    joined = a.join(s, cond, "inner")
-    per_user = joined.groupBy(F.col("A.Id").alias("Id")).agg(
-        F.avg(F.col("A.TotalSteps")).alias("AvgSteps"),
-        F.avg(F.col("S.TotalMinutesAsleep")).alias("AvgMinutesAsleep"),
-    )
+    """Segments from the joined rows themselves: on the day alone through
+    :func:`salted_join` (``salts`` copies of sleep), else on ``on``. Per user the
+    averages of ``TotalSteps`` and ``TotalMinutesAsleep`` over the joined rows."""
+    left = activity.select("Id", "Date", "TotalSteps")
+    right = sleep.select(*dict.fromkeys([*on, "TotalMinutesAsleep"]))
+    met = salted_join(left, right, on, salts) if tuple(on) == ("Date",) else left.join(right, list(on))
+    per_user = met.groupBy("Id").agg(F.avg("TotalSteps").alias("AvgSteps"), F.avg("TotalMinutesAsleep").alias("AvgMinutesAsleep"))
     return _segment(per_user, steps_cut, sleep_cut)
 
 
@@ -133,7 +157,7 @@ def user_segments(
     steps_cut: float = SEGMENT_STEPS_CUT,
     sleep_cut: float = SEGMENT_SLEEP_CUT,
     on: Sequence[str] = ("Date",),
-    max_broadcast_rows: int | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Per user ``AvgSteps``, ``AvgMinutesAsleep`` and a 2 x 2 segment, with
     the same values as :func:`user_segments_join`.
@@ -142,8 +166,9 @@ def user_segments(
     pre-aggregated per day: ``n`` rows, ``m`` = sum of minutes asleep, ``nm`` =
     non-NULL count. An activity row on day d stands for ``n(d)`` joined rows,
     so AvgSteps = sum(steps * n) / sum(n | steps not NULL) and
-    AvgMinutesAsleep = sum(m) / sum(nm). Joining on (Id, Date) has no fan-out
-    and runs as the plain join.
+    AvgMinutesAsleep = sum(m) / sum(nm). The per-day rows are repeated per salt,
+    so a day with a third of the activity is spread over tasks without a
+    broadcast. Joining on (Id, Date) has no fan-out and runs as the plain join.
     """
     if tuple(on) != ("Date",):
         return user_segments_join(activity, sleep, steps_cut, sleep_cut, on)
@@ -156,11 +181,9 @@ def user_segments(
             F.count("TotalMinutesAsleep").alias("_nm"),
         )
     )
-    side, _ = checked_broadcast(per_day, max_broadcast_rows)
     steps = F.col("TotalSteps")
     per_user = (
-        activity.select("Id", "Date", "TotalSteps")
-        .join(side, "Date", "inner")
+        salted_join(activity.select("Id", "Date", "TotalSteps"), per_day, ["Date"], salts)
         .groupBy("Id")
         .agg(
             F.try_divide(
@@ -172,29 +195,37 @@ def user_segments(
     return _segment(per_user, steps_cut, sleep_cut)
 
 
+def _sleep_calories(days: DataFrame) -> DataFrame:
+    return days.groupBy("Id").agg(
+        F.sum("TotalMinutesAsleep").alias("TotalMinutesAsleep"),
+        F.sum("TotalTimeInBed").alias("TotalTimeInBed"),
+        F.sum("Calories").alias("Calories"),
+    )
+
+
 def sleep_vs_calories(activity: DataFrame, sleep: DataFrame) -> DataFrame:
     """Join on (Id, Date); per user total minutes asleep, time in bed and
     calories over the days that have both records."""
-    return (
+    return _sleep_calories(
         activity.select("Id", "Date", "Calories")
         .join(sleep.select("Id", "Date", "TotalMinutesAsleep", "TotalTimeInBed"), ["Id", "Date"], "inner")
-        .groupBy("Id")
-        .agg(
-            F.sum("TotalMinutesAsleep").alias("TotalMinutesAsleep"),
-            F.sum("TotalTimeInBed").alias("TotalTimeInBed"),
-            F.sum("Calories").alias("Calories"),
-        )
     )
 
 
-def _activity_day(daily_activity: DataFrame, date_format: str, strict: bool):
+def sleep_vs_calories_of_days(days: DataFrame, min_distance: float = 0.0) -> DataFrame:
+    """The same from one frame of both tables' user-days (``TrackerTables.days``),
+    with the cleaning's distance filter."""
+    return _sleep_calories(days.where(sum_columns(*DISTANCE_PARTS) > F.lit(min_distance)))
+
+
+def _activity_day(daily_activity: DataFrame, date_format: str | None, strict: bool):
     return to_day("ActivityDate", date_format, strict, daily_activity.schema["ActivityDate"].dataType)
 
 
 def heartrate_calories(
     daily_activity: DataFrame,
     daily_heartrate: DataFrame,
-    date_format: str = DAY_FORMAT,
+    date_format: str | None = None,
     strict: bool = True,
 ) -> DataFrame:
     """Raw daily activity (zero-distance days included) joined with daily
@@ -202,40 +233,24 @@ def heartrate_calories(
     a = daily_activity.select("Id", _activity_day(daily_activity, date_format, strict).alias("Day"), "Calories")
     h = daily_heartrate.select(
         "Id",
-        to_day("Day", "yyyy-MM-dd", strict, daily_heartrate.schema["Day"].dataType).alias("Day"),
+        to_day("Day", None, strict, daily_heartrate.schema["Day"].dataType).alias("Day"),
         F.col("Mean_Value").alias("AvgHeartrate"),
     )
     return a.join(h, ["Id", "Day"], "inner").select("Id", "Day", "Calories", "AvgHeartrate")
 
 
+def heartrate_calories_of_days(days: DataFrame) -> DataFrame:
+    """The same from one frame of both tables' user-days (``TrackerTables.days``)."""
+    return days.select("Id", "Day", "Calories", F.col("Mean_Value").alias("AvgHeartrate"))
+
+
 def drilldown(
     days: DataFrame,
     daily_activity: DataFrame,
-    date_format: str = DAY_FORMAT,
+    date_format: str | None = None,
     strict: bool = True,
-    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Join selected (Id, Day) rows back to raw daily activity and show the
-    minutes spent at each intensity next to the calories of the day.
-
-    The selected days (one or a few users) are measured and broadcast, so
-    the activity table is filtered where it lies instead of being shuffled
-    to meet them; above the bound it is a shuffle join."""
-    a = daily_activity.select(
-        "Id",
-        _activity_day(daily_activity, date_format, strict).alias("Day"),
-        "VeryActiveMinutes",
-        "FairlyActiveMinutes",
-        "LightlyActiveMinutes",
-        "SedentaryMinutes",
-    )
-    picked, _ = checked_broadcast(days.select("Id", "Day", "Calories"), max_broadcast_rows)
-    return a.join(picked, ["Id", "Day"], "inner").select(
-        "Id",
-        "Day",
-        "VeryActiveMinutes",
-        "FairlyActiveMinutes",
-        "LightlyActiveMinutes",
-        "SedentaryMinutes",
-        "Calories",
-    )
+    minutes spent at each intensity next to the calories of the day."""
+    a = daily_activity.select("Id", _activity_day(daily_activity, date_format, strict).alias("Day"), *MINUTE_COLUMNS)
+    return a.join(days.select("Id", "Day", "Calories"), ["Id", "Day"], "inner").select("Id", "Day", *MINUTE_COLUMNS, "Calories")

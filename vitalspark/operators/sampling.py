@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.constants import SAMPLE_SEED, SAMPLE_SIZE
-from vitalspark.operators.sizing import bounded_broadcast, materialize
+from vitalspark.operators.sizing import bounded_broadcast, static_max_rows
 
 
 def key_hash(key: str, seed: int):
@@ -46,6 +46,24 @@ def sample_rows(df: DataFrame, sampled: DataFrame, key: str = "Id") -> DataFrame
     return df.join(bounded_broadcast(sampled), key, "inner")
 
 
+def drawn_keys(sample: DataFrame, key: str = "Id", rank_col: str = "SampleRank") -> dict:
+    """The sampled keys with their draw order, on the driver: at most k entries,
+    which the sample's plan proves (its limit)."""
+    if static_max_rows(sample) is None:
+        raise ValueError("the sample's size is not bounded; draw it with sample_keys")
+    return {r[key]: r[rank_col] for r in sample.select(key, rank_col).collect()}
+
+
+def rows_of_keys(df: DataFrame, drawn: dict, key: str = "Id", rank_col: str = "SampleRank") -> DataFrame:
+    """Rows of the drawn keys, with their draw order. The keys are literals of a
+    filter, so Catalyst carries it below aggregations and joins on the key and
+    into the file scan: what lies above reads these keys' rows only."""
+    if not drawn:
+        return df.where(F.lit(False)).withColumn(rank_col, F.lit(None).cast("int"))
+    rank = F.create_map(*[F.lit(x) for pair in drawn.items() for x in pair])
+    return df.where(F.col(key).isin(list(drawn))).withColumn(rank_col, F.element_at(rank, F.col(key)).cast("int"))
+
+
 def sample_key_rows(
     df: DataFrame,
     key: str = "Id",
@@ -53,10 +71,8 @@ def sample_key_rows(
     seed: int = SAMPLE_SEED,
     rank_col: str = "SampleRank",
 ) -> DataFrame:
-    """All rows of ``k`` sampled keys, with their draw order.
-
-    The sample and the rows both come from ``df``; ``df`` is checkpointed once
-    so its upstream work (scans, joins) runs once instead of once per use.
-    """
-    base = materialize(df)
-    return sample_rows(base, sample_keys(base, key, k, seed, rank_col), key)
+    """All rows of ``k`` sampled keys, with their draw order. Keys first: they are
+    drawn from the key column alone, and then filter the rows at their source;
+    nothing of ``df`` is stored in between."""
+    drawn = drawn_keys(sample_keys(df.select(key), key, k, seed, rank_col), key, rank_col)
+    return rows_of_keys(df, drawn, key, rank_col)

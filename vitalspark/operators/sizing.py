@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name inside the shared checkpoint folder."""
+    root = ensure_checkpoint_dir(spark)
+    if root is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Cores available to a stage: the context's default parallelism, or the
     shuffle partition count where there is no local context."""

@@ -24,6 +24,7 @@ from vitalspark.constants import (
     SEGMENT_STEPS_CUT,
 )
 from vitalspark.operators.clean import ACTIVITY_CLEAN_COLUMNS
+from vitalspark.plans.measures import DAY_MEASURES, SHARED_MEASURES
 from vitalspark.sources.event_log import TrackerTables
 
 
@@ -69,28 +70,9 @@ def _event_keys(t: TrackerTables) -> DataFrame:
 # Analyses that read the raw event log rather than the tracker tables.
 NEEDS_EVENTS = ("duplicates", "duplicate_event_count")
 
-# Analyses that combine two daily tables (activity with sleep or heart rate).
-# Over an event log their tables are projected from one shared per user-day
-# roll-up, so the log is scanned once (see ``tracker_tables(share_daily=)``).
-SHARED_DAILY = frozenset(
-    {
-        "sleep_on_activity_days",
-        "sleep_on_activity_days_join",
-        "user_segments",
-        "user_segments_join",
-        "consecutive_ids",
-        "segment_share",
-        "sleep_vs_calories",
-        "sleep_calories_fit",
-        "heartrate_calories",
-        "heartrate_fit_by_user",
-        "sample_users",
-        "sample_user_days",
-        "sample_user_fits",
-        "sample_user_predictions",
-        "sample_user_drilldown",
-    }
-)
+# Analyses that use two daily tables of an event log in different ways: their
+# roll-up of the log is stored once, with the measures that they read.
+SHARED_DAILY = frozenset(SHARED_MEASURES)
 
 
 def duplicates(t: TrackerTables, p: Params) -> DataFrame:
@@ -207,6 +189,8 @@ def segment_share(t: TrackerTables, p: Params) -> DataFrame:
 
 
 def sleep_vs_calories(t: TrackerTables, p: Params) -> DataFrame:
+    if t.days is not None:
+        return ops.sleep_vs_calories_of_days(t.days(DAY_MEASURES["sleep_vs_calories"]))
     return ops.sleep_vs_calories(activity_clean(t, p), sleep_clean(t, p))
 
 
@@ -219,6 +203,8 @@ def sleep_calories_fit(t: TrackerTables, p: Params) -> DataFrame:
 
 
 def heartrate_calories(t: TrackerTables, p: Params) -> DataFrame:
+    if t.days is not None:
+        return ops.heartrate_calories_of_days(t.days(DAY_MEASURES["heartrate_calories"]))
     return ops.heartrate_calories(t.daily_activity, t.daily_heartrate, strict=p.strict)
 
 
@@ -240,14 +226,19 @@ def sample_user_fits(t: TrackerTables, p: Params) -> DataFrame:
 
 def sample_user_predictions(t: TrackerTables, p: Params) -> DataFrame:
     """Each sampled user's own line evaluated at each of their days."""
-    days = sample_user_days(t, p)
+    days = ops.materialize(sample_user_days(t, p))  # k users' days, read twice
     model = ops.fit_line(days, x="AvgHeartrate", y="Calories", by=["Id"])
     return ops.predict_line(days, model, x="AvgHeartrate", out="FittedCalories", by=["Id"])
 
 
 def sample_user_drilldown(t: TrackerTables, p: Params) -> DataFrame:
-    days = sample_user_days(t, p).where(F.col("SampleRank") == p.drilldown_pick)
-    return ops.drilldown(days, t.daily_activity, strict=p.strict)
+    drawn = ops.drawn_keys(sample_users(t, p))
+    picked = {key: rank for key, rank in drawn.items() if rank == p.drilldown_pick}
+    if t.days is not None:
+        days = ops.rows_of_keys(t.days(DAY_MEASURES["drilldown"]), picked)
+        return days.select("Id", "Day", *ops.MINUTE_COLUMNS, "Calories")
+    days = ops.rows_of_keys(heartrate_calories(t, p), picked)
+    return ops.drilldown(days, ops.rows_of_keys(t.daily_activity, picked), strict=p.strict)
 
 
 ANALYSES: dict[str, Analysis] = {

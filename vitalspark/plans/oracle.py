@@ -299,9 +299,10 @@ def _queries(p: Params) -> dict[str, tuple[str, list[str], set[str]]]:
             {"avg_steps"},
         ),
         "daily_trend": (
-            f"""SELECT Date, {_half_up('avg(TotalSteps)', 0)} AS avg_steps,
-                 {_half_up(f'avg(TotalDistance) * {DISTANCE_SCALE}', 0)} AS avg_distance,
-                 {_half_up('avg(Calories)', 0)} AS avg_calories
+            # sums and averages of decimals: the log's values have two of them
+            f"""SELECT Date, round(avg(TotalSteps)) AS avg_steps,
+                 round(avg({DISTANCE_SCALE} * CAST(TotalDistance AS DECIMAL(18, 2)))) AS avg_distance,
+                 round(avg(CAST(Calories AS DECIMAL(18, 2)))) AS avg_calories
                FROM activity_clean GROUP BY Date""",
             ["Date", "avg_steps", "avg_distance", "avg_calories"],
             {"avg_steps", "avg_distance", "avg_calories"},
@@ -323,7 +324,7 @@ def _queries(p: Params) -> dict[str, tuple[str, list[str], set[str]]]:
             fit_doubles,
         ),
         "sleep_weekday_avg": (
-            f"""SELECT WeekDayN, WeekDay, {_half_up('avg(TotalMinutesAsleep)', 0)} AS AvgSleepMinutes
+            """SELECT WeekDayN, WeekDay, round(avg(CAST(TotalMinutesAsleep AS DECIMAL(18, 2)))) AS AvgSleepMinutes
                FROM sleep_clean GROUP BY WeekDayN, WeekDay""",
             ["WeekDayN", "WeekDay", "AvgSleepMinutes"],
             {"AvgSleepMinutes"},
@@ -401,6 +402,56 @@ def _queries(p: Params) -> dict[str, tuple[str, list[str], set[str]]]:
              "SedentaryMinutes", "Calories"],
             {"Calories"},
         ),
+        "csv_rejects": (
+            """SELECT Id, SleepDay,
+                 CASE WHEN bad = '' THEN CAST(m AS INTEGER) END AS TotalMinutesAsleep,
+                 CASE WHEN bad = '' THEN CAST(b AS INTEGER) END AS TotalTimeInBed, nullif(bad, '') AS Reasons
+               FROM (SELECT *, concat_ws('; ',
+                   CASE WHEN m <> floor(m) THEN 'TotalMinutesAsleep: not int: ' || CAST(m AS VARCHAR) END,
+                   CASE WHEN b <> floor(b) THEN 'TotalTimeInBed: not int: ' || CAST(b AS VARCHAR) END) AS bad
+                 FROM (SELECT Id, SleepDay, CAST(TotalMinutesAsleep AS DECIMAL(18, 2)) AS m,
+                     CAST(TotalTimeInBed AS DECIMAL(18, 2)) AS b FROM daily_sleep))""",
+            ["Id", "SleepDay", "TotalMinutesAsleep", "TotalTimeInBed", "Reasons"],
+            set(),
+        ),
+        "activity_day_forms": (
+            """SELECT Form, Id, Date, TotalSteps, WeekDayN, SumOfDistances
+               FROM activity_clean, (VALUES ('date'), ('slashes'), ('iso'), ('time')) AS forms(Form)""",
+            ["Form", "Id", "Date", "TotalSteps", "WeekDayN", "SumOfDistances"],
+            {"SumOfDistances"},
+        ),
+        "moment_fits": (
+            " UNION ALL ".join(
+                f"""SELECT '{level}' AS Level, {id_} AS Id, {day} AS Day, {_slope('Calories', 'AvgHeartrate')} AS Slope,
+                 {_intercept('Calories', 'AvgHeartrate')} AS Intercept,
+                 CAST(regr_count(Calories, AvgHeartrate) AS BIGINT) AS N
+               FROM heartrate_calories {group}"""
+                for level, id_, day, group in (
+                    ("user", "Id", "CAST(NULL AS DATE)", "GROUP BY Id"),
+                    ("day", "CAST(NULL AS BIGINT)", "Day", "GROUP BY Day"),
+                    ("all", "CAST(NULL AS BIGINT)", "CAST(NULL AS DATE)", ""),
+                )
+            ),
+            ["Level", "Id", "Day", "Slope", "Intercept", "N"],
+            {"Slope", "Intercept"},
+        ),
+        "load_checks": (
+            """SELECT CAST(sum(c) AS BIGINT) AS row_count,
+                 CAST(coalesce(sum(c) FILTER (WHERE Id IS NULL), 0) AS BIGINT) AS Id_nulls,
+                 CAST(coalesce(sum(c) FILTER (WHERE Date IS NULL), 0) AS BIGINT) AS Date_nulls,
+                 CAST(coalesce(sum(c) FILTER (WHERE Time IS NULL), 0) AS BIGINT) AS Time_nulls,
+                 CAST(coalesce(sum(c) FILTER (WHERE METs IS NULL), 0) AS BIGINT) AS METs_nulls,
+                 CAST(count(*) FILTER (WHERE c > 1) AS BIGINT) AS duplicate_groups,
+                 CAST(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS BIGINT) AS duplicate_rows
+               FROM (SELECT Id, Date, Time, METs, count(*) AS c FROM mets_clean GROUP BY Id, Date, Time, METs)""",
+            ["row_count", "Id_nulls", "Date_nulls", "Time_nulls", "METs_nulls", "duplicate_groups", "duplicate_rows"],
+            set(),
+        ),
+        "activity_positions": (
+            "SELECT Id, Date, TotalSteps, row_number() OVER (ORDER BY Date, Id) AS Position FROM activity_clean",
+            ["Id", "Date", "TotalSteps", "Position"],
+            set(),
+        ),
     }
 
 

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitalspark.functions.columns import round_doubles
 from vitalspark.plans import oracle
-from vitalspark.plans.analyses import ANALYSES, SHARED_DAILY, Params
+from vitalspark.plans.analyses import ANALYSES, Params
+from vitalspark.plans.measures import SHARED_MEASURES
+from vitalspark.plans.tables import TABLE_QUERIES
 from vitalspark.sources.event_log import EventMapping, load_tracker_tables
 
 EVENT_PARAMS = Params(steps_cut=2.15, sleep_cut=59.4)
@@ -25,8 +27,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def run_analysis(spark: SparkSession, sf_dir: str, key: str, params: Params = EVENT_PARAMS) -> DataFrame:
-    tables = load_tracker_tables(spark, sf_dir, EVENT_MAPPING, share_daily=key in SHARED_DAILY)
-    return ANALYSES[key](tables, params)
+    shared = SHARED_MEASURES.get(key)
+    tables = load_tracker_tables(spark, sf_dir, EVENT_MAPPING, share_daily=shared is not None, measures=shared)
+    return (ANALYSES | TABLE_QUERIES)[key](tables, params)
 
 
 def _query(key: str) -> QueryFn:
@@ -38,9 +41,9 @@ def _query(key: str) -> QueryFn:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {key: _query(key) for key in ANALYSES}
+    return {key: _query(key) for key in ANALYSES | TABLE_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     sql = oracle.oracle_sql(EVENT_PARAMS, EVENT_MAPPING)
-    return {key: sql[key] for key in ANALYSES if key in sql}
+    return {key: sql[key] for key in ANALYSES | TABLE_QUERIES if key in sql}

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,20 +270,51 @@ def daily_steps(activity: DataFrame) -> DataFrame:
 
 # --- one scan for several daily tables -------------------------------------------
 
+ACTIVITY_COLUMNS = [
+    "TotalSteps", "TotalDistance", "VeryActiveDistance", "ModeratelyActiveDistance",
+    "LightActiveDistance", "SedentaryActiveDistance", "VeryActiveMinutes", "FairlyActiveMinutes",
+    "LightlyActiveMinutes", "SedentaryMinutes", "Calories",
+]
+SLEEP_COLUMNS = ["TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"]
+HEART_COLUMNS = ["Mean_Value", "Entry_Count"]
+
+#: The measures of each daily table, in the order in which they are built.
+PARTS: dict[str, list[str]] = {"activity": ACTIVITY_COLUMNS, "sleep": SLEEP_COLUMNS, "heart": HEART_COLUMNS}
+
+#: Measures by part; a part without measures is only counted.
+Measures = Mapping[str, Sequence[str]]
+
+
+def _checked(measures: Measures | None) -> Measures:
+    if measures is None:
+        return PARTS
+    unknown = [f"{p}.{c}" for p, cols in measures.items() for c in cols if c not in PARTS.get(p, ())]
+    if unknown or set(measures) - set(PARTS):
+        raise ValueError(f"unknown parts or measures: {unknown or sorted(set(measures) - set(PARTS))}")
+    return measures
+
+
 def daily_rollup(
-    events: DataFrame, m: EventMapping = EventMapping(), extra_keys: tuple = (), carry: tuple = ()
+    events: DataFrame,
+    m: EventMapping = EventMapping(),
+    extra_keys: tuple = (),
+    carry: tuple = (),
+    measures: Measures | None = None,
 ) -> DataFrame:
     """Activity, sleep and heart-rate measures of every user-day in a single
     aggregation, plus how many events of each part the day has. Each part's
     measures read CASE-filtered copies of ``kind``/``value`` that are NULL
     outside the part, so the values equal the three separate tables while the
-    log is scanned once instead of once per table."""
+    log is scanned once instead of once per table. With ``measures`` only those
+    parts and measures are computed (default: all)."""
     kind = F.col(m.kind)
+    measures = _checked(measures)
     conds = {
         "activity": kind != m.sleep_kind,
         "sleep": kind == m.sleep_kind,
         "heart": kind == m.heart_kind,
     }
+    conds = {part: cond for part, cond in conds.items() if part in measures}
     restricted = events.select(
         F.col(m.user).alias("_user"),
         _day(m).alias("_day"),
@@ -292,18 +324,28 @@ def daily_rollup(
     )
     aggs = []
     for part, fn in (("activity", activity_measures), ("sleep", sleep_measures), ("heart", heartrate_measures)):
+        if part not in measures:
+            continue
         sub = replace(m, user="_user", kind=f"_k_{part}", value=f"_v_{part}")
         rows = F.count(f"_k_{part}")  # the part's events: its kind copy is non-NULL there
         aggs.append(rows.alias(f"_n_{part}"))
-        aggs += fn(sub, rows)
+        aggs += [c for name, c in zip(PARTS[part], fn(sub, rows), strict=True) if name in measures[part]]
     return restricted.groupBy("_user", "_day", *extra_keys).agg(*aggs)
 
 
-ACTIVITY_COLUMNS = [
-    "TotalSteps", "TotalDistance", "VeryActiveDistance", "ModeratelyActiveDistance",
-    "LightActiveDistance", "SedentaryActiveDistance", "VeryActiveMinutes", "FairlyActiveMinutes",
-    "LightlyActiveMinutes", "SedentaryMinutes", "Calories",
-]
+def user_days(events: DataFrame, measures: Measures, m: EventMapping = EventMapping()) -> DataFrame:
+    """``Id, Day`` and the given measures of every user-day that has events of
+    all the given parts: what a join of those daily tables on (Id, day) gives, in
+    one scan and one aggregation that holds only these measures."""
+    return days_from_rollup(daily_rollup(events, m, measures=measures), measures)
+
+
+def days_from_rollup(rollup: DataFrame, measures: Measures) -> DataFrame:
+    found = reduce(lambda a, b: a & b, (F.col(f"_n_{part}") > 0 for part in _checked(measures)))
+    columns = [c for cols in measures.values() for c in cols]
+    # a join on (Id, day) has no rows of NULL keys
+    known = F.col("_user").isNotNull() & F.col("_day").isNotNull()
+    return rollup.where(known & found).select(F.col("_user").alias("Id"), F.col("_day").alias("Day"), *columns)
 
 
 def activity_from_rollup(rollup: DataFrame) -> DataFrame:
@@ -311,18 +353,24 @@ def activity_from_rollup(rollup: DataFrame) -> DataFrame:
 
 
 def sleep_from_rollup(rollup: DataFrame) -> DataFrame:
-    return _from_rollup(rollup, "_n_sleep", "_d", ["TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"]).select(
-        "Id", sleep_day_text("_d").alias("SleepDay"), "TotalSleepRecords", "TotalMinutesAsleep", "TotalTimeInBed"
+    return _from_rollup(rollup, "_n_sleep", "_d", SLEEP_COLUMNS).select(
+        "Id", sleep_day_text("_d").alias("SleepDay"), *SLEEP_COLUMNS
     )
 
 
 def heartrate_from_rollup(rollup: DataFrame) -> DataFrame:
-    return _from_rollup(rollup, "_n_heart", "Day", ["Mean_Value", "Entry_Count"])
+    return _from_rollup(rollup, "_n_heart", "Day", HEART_COLUMNS)
 
 
 def _from_rollup(rollup: DataFrame, part: str, day_name: str, columns: list) -> DataFrame:
+    """A part's table. A measure that the roll-up was not asked for fails when it
+    is read (columns that nothing reads are pruned), instead of being NULL."""
+    held = {
+        c: F.col(c) if c in rollup.columns else F.raise_error(F.lit(f"{c} is not in the roll-up")).cast("double")
+        for c in columns
+    }
     return rollup.where(F.col(part) > 0).select(
-        F.col("_user").alias("Id"), F.col("_day").alias(day_name), *columns
+        F.col("_user").alias("Id"), F.col("_day").alias(day_name), *[c.alias(name) for name, c in held.items()]
     )
 
 
@@ -331,6 +379,7 @@ def tracker_tables(
     m: EventMapping = EventMapping(),
     share_daily: bool = False,
     rollup_table: str | None = None,
+    measures: Measures | None = None,
 ) -> TrackerTables:
     """Lazily derived tracker tables over one event log.
 
@@ -340,7 +389,9 @@ def tracker_tables(
     its own aggregate, pruned to what the analysis reads. With
     ``rollup_table`` (implies ``share_daily``) the roll-up is instead written
     as a catalog table of that name, bucketed by (user, day), so the joins on
-    (Id, day) between the daily tables run without any shuffle.
+    (Id, day) between the daily tables run without any shuffle. ``measures``
+    limits the shared roll-up to what the caller's analyses read
+    (``plans.measures.SHARED_MEASURES``); reading another one of it fails.
     """
     t: TrackerTables
     shared: dict[str, DataFrame] = {}
@@ -350,7 +401,7 @@ def tracker_tables(
         if "r" not in shared:
             from vitalspark.operators.sizing import materialize, write_bucketed
 
-            r = daily_rollup(events, m)
+            r = daily_rollup(events, m, measures=measures)
             shared["r"] = write_bucketed(r, rollup_table, ["_user", "_day"]) if rollup_table else materialize(r)
         return shared["r"]
 
@@ -366,8 +417,14 @@ def tracker_tables(
         make_sleep = lambda: daily_sleep(events, m)
         make_heart = lambda: daily_heartrate(events, m)
 
+    if share_daily and measures is None:  # the whole roll-up is stored for several analyses
+        days = lambda parts: days_from_rollup(rollup(), parts)
+    else:
+        days = lambda parts: user_days(events, parts, m)
+
     t = TrackerTables(
         events=events,
+        days=days,
         daily_activity=make_activity,
         daily_calories=lambda: daily_calories(activity()),
         daily_heartrate=make_heart,
@@ -397,6 +454,10 @@ def read_events(
 
 
 def load_tracker_tables(
-    spark: SparkSession, sf_dir: str, m: EventMapping = EventMapping(), share_daily: bool = False
+    spark: SparkSession,
+    sf_dir: str,
+    m: EventMapping = EventMapping(),
+    share_daily: bool = False,
+    measures: Measures | None = None,
 ) -> TrackerTables:
-    return tracker_tables(read_events(spark, sf_dir), m, share_daily)
+    return tracker_tables(read_events(spark, sf_dir), m, share_daily, measures=measures)
