@@ -8,14 +8,23 @@ r) is the sample (word, t). Two documents draw the same sample at an index with
 probability equal to the generalised Jaccard similarity of their weights, so the
 share of equal positions estimates the similarity of the documents.
 
-The next document (in descending id order, the first after the last) comes from
-a window over id ranges; only one row a range crosses to its neighbour.
+Draws are plain columns over one row a (text, distinct word, block of four
+samples). ln a, in steps of 2**-23, and 32 bits of a hash of (word, t) are one
+long, so the least of each sample is a ``min`` of longs; the rows of a document lie
+together already, so this aggregation shuffles nothing. A word whose a is certainly
+above 40 / (the text's number of words) takes no logarithm and offers nothing: the
+least a is above that less than once in 10**17 samples (the sample is then none).
+
+The next document (in descending order of id, the first after the last) comes from
+a window over ranges of (id, hash of the text); only one row a range crosses to its
+neighbour. Texts are shuffled once, to their range.
 
 Defined cases: null texts are empty; a text without words has the empty
 fingerprint, is like another such text (1.0) and unlike the rest (0.0); rows of
-equal id follow each other by text, greatest first; null ids come last; extra
-columns are ignored; an empty table gives an empty result; a single document is
-its own next. Texts of any length are whole.
+equal id follow each other by a hash of their text, greatest first, so they and
+null ids (which come last) are spread over ranges too; extra columns are ignored;
+an empty table gives an empty result; a single document is its own next. Texts of
+any length are whole.
 """
 
 from __future__ import annotations
@@ -23,97 +32,126 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import table, whole_text, words
+from vitalspark.llm.common import shared_path, table, whole_text, words
 from vitalspark.llm.quality import let
 
 SAMPLES = 64
+#: The least a of a text of total weight W is exponential with mean 1 / W, so it is
+#: above SURE / W less than once in 10**17 samples.
+SURE = 40.0
+#: Samples that one row draws: the code of more is too long for the JVM's compiler.
+BLOCK = 4
+#: Documents of a range, and most ranges: with more documents ranges get longer.
 RANGE_ROWS, MOST_RANGES = 500, 20_000
 
 
-def uniform(h: Column, k: Column, salt: int) -> Column:
-    """In (0, 1), from a word's hash and the sample's index."""
-    bits = F.shiftrightunsigned(F.xxhash64(h, k, F.lit(salt)), 24)
-    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-40)
-
-
-def fingerprint(text: Column, samples: int = SAMPLES) -> Column:
-    """Array of the samples by their index, the hash of (word, t) in hexadecimal."""
+def weighted(text: Column) -> Column:
+    """Array of (h, lw, cap): hash and log of the weight of each distinct word, and
+    SURE times its share of the text."""
 
-    def sample(x: Column, k: Column) -> Column:
-        h = x["h"]
-        minus_r = F.log(uniform(h, k, 1) * uniform(h, k, 2))
-        log_c = F.log(-F.log(uniform(h, k, 3) * uniform(h, k, 4)))
-        b = uniform(h, k, 5)
-        zero = F.lit(0).cast("long")
-        # a weight of 1 has t = 0 whatever r and b
-        once = F.struct((log_c + minus_r * (F.lit(1.0) - b)).alias("a"), h.alias("h"), zero.alias("t"))
-        often = let(F.struct(minus_r.alias("r"), b.alias("b")), lambda g: let(
-            F.floor(g["b"] - x["lw"] / g["r"]),
-            lambda t: F.struct((log_c + g["r"] * (t - g["b"] + F.lit(1.0))).alias("a"), h.alias("h"), t.alias("t")),
-        ))
-        return F.when(x["lw"] == 0, once).otherwise(often)
-
-    def weighted(ordered: Column) -> Column:
+    def of(ordered: Column) -> Column:
         n = F.size(ordered)
         at = F.filter(
             F.sequence(F.lit(0), n - 1),
             lambda i: F.coalesce(F.get(ordered, i) != F.get(ordered, i - 1), F.lit(True)),
         )
-        return let(at, lambda s: F.transform(s, lambda i, k: F.struct(
-            F.get(ordered, i).alias("h"), F.log((F.coalesce(F.get(s, k + 1), n) - i).cast("double")).alias("lw")
-        )))
-
-    def least(terms: Column) -> Column:
-        drawn = lambda k: F.array_min(F.transform(terms, lambda x: sample(x, k)))
-        code = lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x["h"], x["t"]))), 16, "0")
-        indices = F.array(*[F.lit(k) for k in range(samples)])
-        return F.transform(F.transform(indices, drawn), lambda x: F.substring(code(x), 9, 8))
-
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
-    of = lambda ordered: F.when(F.size(ordered) == 0, F.array().cast("array<string>")).otherwise(
-        let(weighted(ordered), least)
-    )
-    return let(F.sort_array(hashes), of)
+        def term(h: Column, weight: Column) -> Column:
+            return F.struct(h.alias("h"), F.log(weight).alias("lw"), (weight * SURE / n).alias("cap"))
+
+        return F.when(n > 0, let(at, lambda s: F.transform(s, lambda i, k: term(
+            F.get(ordered, i), (F.coalesce(F.get(s, k + 1), n) - i).cast("double")
+        ))))
+
+    return let(F.sort_array(F.transform(words(text), lambda w: F.xxhash64(w))), of)
+
+
+def draws(terms: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and m0..m3, what a word (h, lw, cap) offers for the samples of its
+    ``block``, each as a long: the less, the smaller its a; the low 32 bits are a
+    hash of (word, t). One hash of (word, index) gives four 13-bit uniforms for r
+    and c and 12 bits for b. Columns are made in steps, so that each logarithm is
+    taken once, and only where a may be below the cap: c * exp(-r) / weight is the
+    least that a can be, and -ln(x) is 1 - x at least."""
+    unit = lambda z, at, n: (
+        F.shiftrightunsigned(z, at).bitwiseAND(F.lit((1 << n) - 1).cast("long")).cast("double") + F.lit(0.5)
+    ) * F.lit(2.0**-n)
+    each = range(BLOCK)
+    z = terms.select("*", *[F.xxhash64("h", F.col("block") * BLOCK + j).alias(f"z{j}") for j in each])
+    u = z.select(
+        *keep, "block", "h", "lw", "cap",
+        *[(unit(F.col(f"z{j}"), 51, 13) * unit(F.col(f"z{j}"), 38, 13)).alias(f"r{j}") for j in each],
+        *[(unit(F.col(f"z{j}"), 25, 13) * unit(F.col(f"z{j}"), 12, 13)).alias(f"c{j}") for j in each],
+        *[unit(F.col(f"z{j}"), 0, 12).alias(f"b{j}") for j in each],
+    )
+    may = lambda j: (F.lit(1.0) - F.col(f"c{j}")) * F.col(f"r{j}") <= F.col("cap")
+    logs = u.select(
+        *keep, "block", "h", "lw", *[f"b{j}" for j in each],
+        *[F.when(may(j), -F.log(F.col(f"r{j}"))).alias(f"r{j}") for j in each],
+        *[F.when(may(j), F.log(-F.log(F.col(f"c{j}")))).alias(f"c{j}") for j in each],
+    )
+    whole = logs.select("*", *[F.floor(F.col("lw") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}") for j in each])
+
+    def offer(j: int) -> Column:
+        r, t = F.col(f"r{j}"), F.col(f"t{j}")
+        log_a = F.col(f"c{j}") - r * (t - F.col(f"b{j}") + F.lit(1.0))
+        # ln a lies within +-128 for any weight below e**16
+        steps = F.greatest(F.least((log_a + F.lit(128.0)) * F.lit(2.0**23), F.lit(2.0**31 - 1)), F.lit(0.0)).cast("long")
+        code = F.col("h").bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+        return F.shiftleft(steps, 32).bitwiseOR(code).alias(f"m{j}")
+
+    return whole.select(*keep, "block", *[offer(j) for j in each])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the positions with equal samples."""
-    equal = F.size(F.filter(a, lambda x, i: x == F.get(b, i)))
+    equal = F.size(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: p["x"] == p["y"]))
     n = F.greatest(F.size(a), F.size(b))
     return F.when(n == 0, F.lit(1.0)).otherwise(equal / n)
 
 
-def with_next(docs: DataFrame, samples: int) -> DataFrame:
-    """``docs`` (id, text) with ``fp`` and ``next``, the struct (text, fp) of the
-    next document in descending id order."""
-    n = docs.count()
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text) with ``h`` and ``part``: the number of their range of
+    (id, h), ascending; null ids are least."""
+    thin = docs.select("id", F.xxhash64("text").alias("h"))
+    n = thin.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    steps = [i / ranges for i in range(1, ranges)]
-    edges = sorted(set(docs.select("id").dropna().approxQuantile("id", steps, 0.25 / ranges))) if steps else []
-    points = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
-    # rank from the top: ids above the last edge come first
-    part = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter(points, lambda e: e <= F.col("id"))) if edges else F.lit(0)
-    )
-    placed = docs.withColumn("part", part)
-    fp = fingerprint(F.col("text"), samples)
-    order = [F.col("id").desc_nulls_last(), F.col("text").desc()]
+    dealt = thin.repartitionByRange(ranges, "id", "h").groupBy(F.spark_partition_id().alias("p"))
+    edges = [tuple(r["e"]) for r in dealt.agg(F.min(F.struct("id", "h")).alias("e")).collect()]  # one a range
+    spread = docs.withColumn("h", F.xxhash64("text"))
+    if len(edges) < 2:
+        return spread.withColumn("part", F.lit(0))
+    kind = docs.schema["id"].dataType
+    null_first = lambda e: (e[0] is not None, e[0] if e[0] is not None else 0, e[1])
+    edges = sorted(set(edges), key=null_first)[1:]
+    # two levels, so that a row meets about twice the root of the number of edges
+    width = max(1, int(len(edges) ** 0.5))
+    literal = lambda e: F.struct(F.lit(e[0]).cast(kind).alias("id"), F.lit(e[1]).cast("long").alias("h"))
+    groups = [F.array(*[literal(e) for e in edges[a : a + width]]) for a in range(0, len(edges), width)]
+    firsts = F.array(*[literal(e) for e in edges[::width]])
+    own = F.struct("id", "h")
+    above = lambda points: F.size(F.filter(points, lambda e: e <= own))
+    coarse = above(firsts)
+    part = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + above(F.get(F.array(*groups), coarse - 1)))
+    return spread.withColumn("part", part)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(part, idx, id, text, after): rows by their place in their range, with the
+    text of the next document in descending order."""
+    placed = in_ranges(docs)
+    order = [F.col("id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc()]
     window = Window.partitionBy("part").orderBy(*order)
-    here = F.struct("text", "fp")
-    followed = placed.withColumn("fp", fp).withColumn("next", F.lead(here).over(window))
-    # one row a range: its first document, given to the range before it
-    first = placed.groupBy("part").agg(
-        F.max(F.struct("id", "text")).alias("top")
-    )
+    followed = placed.select("part", F.row_number().over(window).alias("idx"), "id", "text", F.lead("text").over(window).alias("later"))
+    # one row a range: the first of the range that follows
+    top = placed.select("part", "id", "h").groupBy("part").agg(F.max(F.struct("id", "h")).alias("top"))
+    keys = top.select(F.col("part").alias("of"), F.col("top.id").alias("tid"), F.col("top.h").alias("th"))
+    at = (F.col("part") == F.col("of")) & F.col("id").eqNullSafe(F.col("tid")) & (F.col("h") == F.col("th"))
+    heads = placed.join(F.broadcast(keys), at).groupBy("of").agg(F.max("text").alias("head"))  # MOST_RANGES rows
     over = Window.orderBy(F.col("part").desc())
-    heads = first.select("part", F.col("top.text").alias("text")).withColumn("fp", fp).select("part", here.alias("head"))
-    # at most MOST_RANGES + 1 rows
-    tops = first.select(
-        "part", F.coalesce(F.lead("part").over(over), F.first("part").over(over)).alias("after")
-    )
-    tops = tops.join(heads.withColumnRenamed("part", "after"), "after").select("part", "head")
-    out = followed.join(tops, "part")
-    return out.withColumn("next", F.coalesce("next", "head")).drop("part", "head")
+    nexts = top.select("part", F.coalesce(F.lead("part").over(over), F.first("part").over(over)).alias("of"))
+    heads = nexts.join(heads, "of").select(F.col("part").alias("part_"), "head")
+    out = followed.join(heads, F.col("part") == F.col("part_"))
+    return out.select("part", "idx", "id", "text", F.coalesce("later", "head").alias("after"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -123,17 +161,53 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    df = docs.select(F.col(f"`{key}`").alias("id"), whole_text(text).alias("text"))
-    df = with_next(df, samples)
-    df = df.withColumn("edited", edited(F.col("text"), F.col("next.text"))).withColumn("ef", fingerprint(F.col("edited"), samples))
-    return df.select(
+    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next); ``samples`` is a multiple of four."""
+    spark = docs.sparkSession
+    if samples % BLOCK:
+        raise ValueError(f"samples come in blocks of {BLOCK}")
+    rows = with_next(docs.select(F.col(f"`{key}`").alias("id"), whole_text(f"`{text}`").alias("text")))
+    made = rows.select("part", "idx", "id", "text", edited(F.col("text"), F.col("after")).alias("made"))
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("text").alias("t"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"),
+                 F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("string").alias("sha")),
+        F.struct(F.lit(1).alias("side"), F.col("made").alias("t"), F.col("id").alias("id"),
+                 F.length("text").cast("long").alias("n_chars"), F.sha2("made", 256).alias("sha")),
+    )
+    both = made.select("part", "idx", F.explode(sides).alias("s")).select("part", "idx", "s.*")
+    terms = both.select("part", "idx", "side", "id", "n_chars", "sha", F.explode_outer(weighted(F.col("t"))).alias("w"))
+    first_block = F.explode(F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))).alias("block")
+    # what a document has once goes with one of its groups
+    once = lambda c: F.when(F.col("block") == 0, F.col(c)).alias(c)
+    spread = terms.select("part", "idx", "side", "id", "n_chars", "sha", "w.*", first_block)
+    spread = spread.select("part", "idx", "side", "block", "h", "lw", "cap", once("id"), once("n_chars"), once("sha"))
+    drawn = draws(spread, ["part", "idx", "side", "id", "n_chars", "sha"])
+    least = drawn.groupBy("part", "idx", "side", "block", "id", "n_chars", "sha").agg(*[F.min(f"m{j}").alias(f"m{j}") for j in range(BLOCK)])
+    code = lambda c: F.lower(F.substring(F.lpad(F.hex(F.col(c)), 16, "0"), 9, 8))
+    own = F.struct("side", "block", F.array(*[code(f"m{j}") for j in range(BLOCK)]).alias("s"))
+    side = lambda n: F.flatten(F.transform(F.filter(F.sort_array(F.col("found")), lambda x: x["side"] == n), lambda x: x["s"]))
+    whole = least.groupBy("part", "idx").agg(
+        F.max("id").alias("id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("sha"),
+        F.collect_list(F.when(F.coalesce(*[F.col(f"m{j}") for j in range(BLOCK)]).isNotNull(), own)).alias("found"),  # no words: nothing
+    )
+    path = shared_path(spark, "fingerprints")
+    whole.select("part", "idx", "id", "n_chars", "sha", side(0).alias("fp"), side(1).alias("ef")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    # the next document's fingerprint, by place: thin rows
+    window = Window.partitionBy("part").orderBy("idx")
+    here = stored.withColumn("later", F.lead("fp").over(window))
+    tops = stored.where("idx = 1").select("part", F.col("fp").alias("head"))
+    over = Window.orderBy(F.col("part").desc())
+    nexts = tops.select("part", F.coalesce(F.lead("head").over(over), F.first("head").over(over)).alias("head"))
+    out = here.join(nexts, "part").withColumn("next", F.coalesce("later", "head"))
+    return out.select(
         F.col("id").alias(key),
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "n_chars",
+        F.col("sha").alias("edited_sha256"),
         F.array_join("fp", " ").alias("fingerprint"),
         F.array_join("ef", " ").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("ef")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next.fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("next")).alias("near_next"),
     )
 
 
