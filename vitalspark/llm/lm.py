@@ -164,11 +164,13 @@ def train(docs: DataFrame, text: str = "text", part_chars: int = PART_CHARS) ->
         as_word, _, a = added(w, np.stack([n, ones, none, none, none, none], 1))
         as_context, _, b = added(v, np.stack([none, none, n, n == 1, n == 2, n >= 3], 1).astype(np.int64))
         of_counts = np.asarray([[(n == k).sum() for k in (1, 2, 3, 4)] + [0, 0]], np.int64)
-        # counts of counts travel as part -1, dealt with part 0
+        # counts of counts travel as part -1, dealt with part 0; which pairs files
+        # there are travels as part -2 (its key)
         for parts, keys, values in (
             (part_of(as_word, bits), as_word, a),
             (part_of(as_context, bits), as_context, b),
             (np.asarray([-1], np.int32), np.zeros(1, np.uint64), of_counts),
+            (np.asarray([-2], np.int32), np.asarray([part], np.uint64), np.zeros((1, WORD_COLUMNS), np.int64)),
         ):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(parts, pa.int32()), pa.array(keys.view(np.int64))] + [pa.array(values[:, i]) for i in range(WORD_COLUMNS)], names=names
@@ -179,9 +181,10 @@ def train(docs: DataFrame, text: str = "text", part_chars: int = PART_CHARS) ->
         if not got:
             return
         rows_ = np.concatenate(got)
-        special = rows_[:, 0] < 0
-        of_pairs = rows_[special][:, 2:6].sum(0)
-        rows_ = rows_[~special]
+        of_pairs = rows_[rows_[:, 0] == -1][:, 2:6].sum(0)
+        pair_parts = rows_[rows_[:, 0] == -2][:, 1].tolist()
+        rows_ = rows_[rows_[:, 0] >= 0]
+        word_parts = [int(rows_[0, 0])] if len(rows_) else []
         stats = np.zeros(8, np.int64)
         if len(rows_):
             part = int(rows_[0, 0])
@@ -189,24 +192,29 @@ def train(docs: DataFrame, text: str = "text", part_chars: int = PART_CHARS) ->
             put(folder, f"words-{part}", key, values)
             before = values[:, 1]
             stats = np.asarray([values[:, 0].sum(), (values[:, 0] > 0).sum(), before.sum(), *[(before == k).sum() for k in (1, 2, 3, 4)], (before >= 3).sum()])
-        yield pa.RecordBatch.from_pydict({"s": pa.array([[*stats.tolist(), *of_pairs.tolist()]], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict(
+            {"s": pa.array([[*stats.tolist(), *of_pairs.tolist()]], pa.list_(pa.int64())),
+             "pairs": pa.array([pair_parts], pa.list_(pa.int64())), "words": pa.array([word_parts], pa.list_(pa.int64()))}
+        )
 
     parts = 1 << bits
     kinds = "part int, key long, " + ", ".join(f"c{i} long" for i in range(WORD_COLUMNS))
     counted = rows.mapInArrow(pairs, "part int, v long, w long, n int").repartitionById(parts, F.col("part"))
     merged = counted.mapInArrow(merge_pairs, kinds).repartitionById(parts, F.greatest("part", F.lit(0)))
-    found = merged.mapInArrow(merge_words, "s array<long>").collect()  # one row a part
+    found = merged.mapInArrow(merge_words, "s array<long>, pairs array<long>, words array<long>").collect()  # one row a part
     s = np.asarray([r["s"] for r in found] or [[0] * 12], np.int64).sum(0)
     return {
         "folder": folder, "bits": bits, "tokens": int(s[0]), "distinct": int(s[1]), "followers": int(s[2]),
+        # the parts that have a file of each kind, as bits
+        **{kind: sum(1 << p for r in found for p in r[kind]) for kind in ("pairs", "words")},
         "of_words": s[3:7].tolist(), "often": int(s[7]), "of_pairs": s[8:12].tolist(),
     }
 
 
 @lru_cache(maxsize=512)
 def mapped(path: str):
-    if not os.path.exists(f"{path}.keys.npy"):
-        return None
+    """A part's keys and values. The model says which parts it has, so a file
+    that is not there is an error, never an unseen n-gram."""
     return np.load(f"{path}.keys.npy", mmap_mode="r"), np.load(f"{path}.values.npy", mmap_mode="r")
 
 
@@ -217,9 +225,9 @@ def lookup(model: dict, kind: str, keys: np.ndarray, width: int) -> np.ndarray:
     part = part_of(distinct, model["bits"])
     edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(part) else []
     for a, b in zip(edges, [*edges[1:], len(part)]):
-        if (files := mapped(f"{model['folder']}/{kind}-{part[a]}")) is None:
-            continue
-        stored, values = files
+        if not model[kind] >> int(part[a]) & 1:
+            continue  # the part has no n-gram of this kind
+        stored, values = mapped(f"{model['folder']}/{kind}-{part[a]}")
         at = np.minimum(np.searchsorted(stored, distinct[a:b]), len(stored) - 1)
         hit = np.asarray(stored[at]) == distinct[a:b]
         out[a:b][hit] = np.asarray(values[at[hit]]).reshape(-1, width)
