@@ -3,6 +3,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import public_tokenizers
 import pytest
@@ -88,6 +89,23 @@ def test_lm_counts_and_sums_to_one(docs, empty):
     assert lm.score(docs, lm.train(empty)).count() == len(TEXTS)
 
 
+def test_lm_over_several_parts_misses_no_file(spark, docs):
+    import glob
+    import os
+
+    one, many = lm.train(docs), lm.train(docs, part_chars=2_000)
+    assert many["bits"] >= 2 and one["bits"] == 0
+    score = lambda m: {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm.score(docs, m).collect()}
+    a, b = score(one), score(many)
+    assert all(abs(x - y) < 1e-9 for i in a for x, y in zip(a[i], b[i]))
+    for kind in ("pairs", "words"):
+        assert len(glob.glob(f"{many['folder']}/{kind}-*.keys.npy")) == many[kind].bit_count() >= 2
+    os.rename(glob.glob(f"{many['folder']}/pairs-*.keys.npy")[0], f"{many['folder']}/gone")
+    lm.mapped.cache_clear()
+    with pytest.raises(Exception, match="No such file"):
+        score(many | {"folder": many["folder"] + "/"})  # a path that no worker has mapped yet
+
+
 def test_secrets_spans(docs, empty):
     got = by_id(secrets.scan(docs, secrets.model(docs)))
     assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -233,18 +251,46 @@ def test_fingerprints_estimate_the_weighted_jaccard(spark):
     assert abs(off[-2]) < 0.05 and abs(off[-1]) < 0.15
 
 
-def test_mixing_stays_within_a_block():
-    counts = mixing.shares({"a": 5.0, "b": 3.0, None: 1.5, "d": 0.1}, 50)
-    plan = mixing.schedule(counts)
-    had = Counter()
-    for source, _, slot in plan:
-        had[source] += 1
-        assert all(abs(had[s] - counts[s] * (slot + 1) / 50) < 1 for s in counts)
+def within_a_block(weights):
+    """The schedule against the targets themselves, at every slot of two cycles."""
+    counts = mixing.cycle(weights)
+    slots, total = sum(counts.values()), sum(Fraction(str(w)) for w in weights.values())
+    target = {s: Fraction(str(w)) / total for s, w in weights.items()}
+    plan = sorted((at, s) for s, _, at in mixing.schedule(counts))
+    assert [at for at, _ in plan] == list(range(slots))
+    had, due = Counter(), sorted(target, key=target.get, reverse=True)
+    for at, s in plan:
+        had[s] += 1
+        # sources of small weight only change when they are had: all are looked at now and then
+        for x in due if at % 97 == 0 or at == slots - 1 else [s, *due[:5]]:
+            assert abs(had[x] - target[x] * (at + 1)) < 1, (x, at)
     assert had == counts
 
 
+def test_mixing_stays_within_a_block_of_the_targets():
+    within_a_block({"a": 5.0, "b": 3.0, None: 1.5, "d": 0.1})
+    within_a_block({"half": 0.5, **{f"s{i}": Fraction(1, 2998) for i in range(1499)}})
+    within_a_block({"one": 1})
+    within_a_block({f"s{i}": 1 + i % 7 for i in range(60)})
+    with pytest.raises(ValueError, match="repeat after"):
+        mixing.cycle({"a": 0.123456789, "b": 1})
+    with pytest.raises(ValueError, match="above 0"):
+        mixing.cycle({"a": 0, "b": 1})
+    sizes = {f"s{i}": 10**9 + i for i in range(300)} | {"small": 3}
+    targets = mixing.size_targets(sizes)
+    assert sum(mixing.cycle(targets).values()) <= mixing.MAX_SLOTS and targets["small"] == 1
+
+
+def test_mixing_null_ids_are_spread_over_buckets(spark):
+    docs = spark.range(4000).selectExpr("cast(if(id < 3000, null, id) as long) as doc_id", "concat('t', id) as text", "'x' as source")
+    out = mixing.mix(docs, block_docs=10)
+    got = out.collect()
+    assert len({(r["slot"], r["place"]) for r in got}) == len({(r["block"], r["place"]) for r in got}) == 4000
+    assert {(r["doc_id"], r["text"]) for r in got} == {(r["doc_id"], r["text"]) for r in docs.collect()}
+
+
 def test_mixing_keeps_all(docs, empty):
-    out = mixing.mix(docs.selectExpr("*", "1 as n", "2 as j"), block_docs=2, slots=10).collect()
+    out = mixing.mix(docs.selectExpr("*", "1 as n", "2 as j"), block_docs=2).collect()
     assert sorted(r["doc_id"] for r in out) == [t[0] for t in TEXTS]
     assert len({(r["slot"], r["place"]) for r in out}) == len(TEXTS)
     assert mixing.mix(empty).count() == 0
