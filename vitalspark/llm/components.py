@@ -3,17 +3,33 @@ stars), with a written table between rounds so that lineage stays short."""
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import shared_path
+from vitalspark.llm.common import remove, shared_path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back."""
-    path = shared_path(df.sparkSession, name)
+    return kept(df, name)[0]
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table of :func:`stored` and its path, for :func:`done`."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def done(spark, *paths: str) -> None:
+    """Delete stored tables whose readers have written, and let the driver's
+    collector find the shuffles that nothing refers to: their files are removed
+    from the executors only then."""
+    remove(spark, *paths)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,10 +52,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b) that is not its own
     root; root is the smallest node reachable. Raises if ``max_rounds`` do not
     suffice (each round shrinks paths by a factor)."""
-    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = links.sparkSession
+    first = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, path = kept(first, "links")
     state = None
     for _ in range(max_rounds):
-        edges = stored(_star(_star(edges, True), False), "stars")
+        before = path
+        edges, path = kept(_star(_star(edges, True), False), "stars")
+        done(spark, before)
         found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if tuple(found) == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

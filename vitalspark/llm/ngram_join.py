@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalspark.llm.common import table, whole_text, words
-from vitalspark.llm.components import components, stored
+from vitalspark.llm.components import components, done, kept, stored
 
 #: A token in more probes than this goes to the end of the order.
 COMMON = 24
 STAR_ROUNDS = 2
+#: Ids (one number each) that may be broadcast.
+MAX_IDS = 2_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -69,10 +71,18 @@ def fits(n: Column, m: Column, percent: int) -> Column:
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
 
 
+def only(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose rid is in ``ids`` (``left_anti``: is not). ``ids`` is
+    stored; up to MAX_IDS of them are broadcast, so that the sets stay where they
+    lie, and beyond that the join is by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "rid", how)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    left = sets.select(F.col("rid").alias("a"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("rid").alias("b"), F.col("toks").alias("tb"))
+    """The stored pairs (a, b) whose whole sets link."""
+    ids = lambda c, name: stored(pairs.select(F.col(c).alias("rid")).distinct(), name)
+    left = only(sets, ids("a", "left")).select(F.col("rid").alias("a"), F.col("toks").alias("ta"))
+    right = only(sets, ids("b", "right")).select(F.col("rid").alias("b"), F.col("toks").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("x"), (F.size("ta") + F.size("tb")).alias("n"))
     return both.where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("n") - F.col("x"))).select("a", "b")
@@ -110,6 +120,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     of all in a link and not their own root."""
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")
     length = F.col("n") - least_overlap(F.col("n"), percent) + 1
+    spark = sets.sparkSession
     first = sets.select(F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
     common = stored(first.groupBy("t").count().where(F.col("count") > COMMON).select("t"), "common")
     # a document's common tokens go to the end of its order; at most its own size
@@ -119,14 +130,18 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("rid")
         .agg(F.sort_array(F.collect_set("t")).alias("late"))
     )
-    ordered = F.when(F.col("late").isNull(), F.col("toks")).otherwise(
-        F.concat(F.array_except("toks", "late"), F.array_intersect("late", "toks"))
-    )
-    probes = sets.join(late, "rid", "left").select("rid", "n", F.explode(F.slice(ordered, F.lit(1), length)).alias("t"))
-    probes = stored(probes.withColumn("band", band), "probes")
-    # only tokens that two documents probe
-    paired = probes.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-    probes = stored(probes.join(paired, "t", "left_semi"), "paired")
+    late = stored(late, "late")
+    ordered = F.concat(F.array_except("toks", "late"), F.array_intersect("late", "toks"))
+    others = late.select("rid")
+    plain = only(sets, others, "left_anti").select("rid", "n", F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
+    moved = only(sets, others).join(late, "rid").select("rid", "n", F.explode(F.slice(ordered, F.lit(1), length)).alias("t"))
+    # only tokens that two documents probe: their hashes are told first, so that
+    # the others are never stored
+    probes = plain.unionByName(moved).withColumn("band", band)
+    twice = stored(probes.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "twice")
+    done(spark)
+    probes = stored(probes.join(twice, "t", "left_semi"), "paired")
+    done(spark)
 
     # 1. stars: a document meets the pivot of its own band and of the next. Pairs
     # that share too few of the pivot's tokens are left to the matrix.
@@ -142,8 +157,10 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         meets = at.withColumn("pband", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(pivot, ["t", "pband"])
         meets = meets.where((F.col("g") != F.col("pg")) & fits(F.col("n"), F.col("pn"), percent))
         pairs = meets.groupBy("rid", "n", "prid", "pn").count().where(F.col("count") >= needed(F.col("n"), F.col("pn"), percent))
-        pairs = pairs.select(F.least("rid", "prid").alias("a"), F.greatest("rid", "prid").alias("b")).distinct()
+        pairs = stored(pairs.select(F.least("rid", "prid").alias("a"), F.greatest("rid", "prid").alias("b")).distinct(), "pairs")
+        done(spark)
         found = stored(verified(pairs, sets, percent), "found")
+        done(spark)
         links = found if links is None else links.unionByName(found)
         groups = stored(linked_groups(links), "groups")
 
@@ -163,13 +180,15 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
     asks = stored(asks, "asks")
-    members = sets.join(groups, "rid", "left").withColumn("og", F.coalesce("root", "rid"))
-    union = (
-        members.join(asks.select("og").distinct(), "og", "left_semi").select("og", F.explode("toks").alias("t")).distinct()
-    )
-    asked = sets.join(asks, "rid").select("rid", "n", "og", F.explode("toks").alias("t"))
+    done(spark)
+    # the asked groups' members, by id
+    wanted = stored(at.select("rid", F.col("g").alias("og")).distinct().join(asks.select("og").distinct(), "og", "left_semi"), "wanted")
+    members = only(sets, wanted.select("rid")).join(wanted, "rid")
+    union = members.select("og", F.explode("toks").alias("t")).distinct()
+    asked = only(sets, stored(asks.select("rid").distinct(), "asking")).join(asks, "rid").select("rid", "n", "og", F.explode("toks").alias("t"))
     overlap = asked.join(union, ["og", "t"]).groupBy("rid", "n", "og").count()
     opened = stored(overlap.where(F.col("count") >= least_overlap(F.col("n"), percent)).select("rid", "og"), "opened")
+    done(spark)
 
     # 3. open the groups that qualify
     inside = at.select(F.col("rid").alias("other"), F.col("n").alias("m"), "t", F.col("g").alias("og"))
@@ -183,7 +202,8 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
-    last = verified(pairs, sets, percent)
+    last = stored(verified(stored(pairs, "pairs"), sets, percent), "found")
+    done(spark)
     return components(links.unionByName(last)).select(F.col("node").alias("rid"), "root")
 
 
@@ -198,9 +218,11 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id",
     named = signed.where("n > 0 and id is not null")
     classes = stored(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rid")), "classes")
     ones = docs.select(F.col(f"`{key}`").alias("rid"), whole_text(text).alias("text"))
-    ones = ones.join(classes.select("rid").distinct(), "rid", "left_semi")
+    ones = only(ones, classes.select("rid"))
     reps = ones.select("rid", shingles(F.col("text"), n).alias("toks")).withColumn("n", F.size("toks"))
-    roots = link_classes(stored(reps, "reps"), percent)
+    reps, path = kept(reps, "reps")
+    roots = stored(link_classes(reps, percent), "roots")
+    done(docs.sparkSession, path)
     classes = classes.join(roots, "rid", "left").select("n", "s1", "s2", F.coalesce("root", "rid").alias("c"))
     out = signed.join(classes, ["n", "s1", "s2"], "left")
     return out.select(
