@@ -115,9 +115,9 @@ def needed_in(n: Column, low: Column, high: Column, percent: int) -> Column:
     return F.least(needed(n, low, percent), needed(n, high, percent)) - 1  # one for rounding
 
 
-def link_classes(sets: DataFrame, percent: int) -> DataFrame:
-    """``sets`` (rid, toks, n), stored, one of each distinct set -> (rid, root)
-    of all in a link and not their own root."""
+def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """``sets`` (rid, toks, n), stored at ``path`` and deleted here, one of each
+    distinct set -> (rid, root) of all in a link and not their own root."""
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")
     length = F.col("n") - least_overlap(F.col("n"), percent) + 1
     spark = sets.sparkSession
@@ -140,8 +140,12 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     probes = plain.unionByName(moved).withColumn("band", band)
     twice = stored(probes.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "twice")
     done(spark)
-    probes = stored(probes.join(twice, "t", "left_semi"), "paired")
-    done(spark)
+    probes, paired = kept(probes.join(twice, "t", "left_semi"), "paired")
+    # a link shares ``needed`` probes, so documents with fewer shared ones have none
+    least = needed_in(F.col("n"), least_overlap(F.col("n"), percent), F.floor(F.col("n") * 100 / percent).cast("int"), percent)
+    able = stored(probes.groupBy("rid", "n").count().where(F.col("count") >= least).select("rid"), "able")
+    probes, sets = stored(only(probes, able), "probes"), stored(only(sets, able), "sets")
+    done(spark, path, paired)
 
     # 1. stars: a document meets the pivot of its own band and of the next. Pairs
     # that share too few of the pivot's tokens are left to the matrix.
@@ -221,8 +225,7 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id",
     ones = only(ones, classes.select("rid"))
     reps = ones.select("rid", shingles(F.col("text"), n).alias("toks")).withColumn("n", F.size("toks"))
     reps, path = kept(reps, "reps")
-    roots = stored(link_classes(reps, percent), "roots")
-    done(docs.sparkSession, path)
+    roots = stored(link_classes(reps, percent, path), "roots")
     classes = classes.join(roots, "rid", "left").select("n", "s1", "s2", F.coalesce("root", "rid").alias("c"))
     out = signed.join(classes, ["n", "s1", "s2"], "left")
     return out.select(
@@ -254,8 +257,8 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = classes.select("rid", F.col("key.id").alias("kid"), F.col("key.h").alias("kh"))
     of_key = F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh"))
     reps = rows.select("id", "h", "t").join(first, of_key).select("rid", "t").dropDuplicates(["rid"])
-    reps = stored(reps.select("rid", shingles(F.col("t"), n).alias("toks")).withColumn("n", F.size("toks")), "reps")
-    roots = link_classes(reps, percent)
+    reps, path = kept(reps.select("rid", shingles(F.col("t"), n).alias("toks")).withColumn("n", F.size("toks")), "reps")
+    roots = stored(link_classes(reps, percent, path), "roots")
     stay = classes.join(roots, "rid", "left").groupBy(F.coalesce("root", "rid").alias("c")).agg(F.min("key").alias("key"))
     stay = stay.select(F.col("key.id").alias("kid"), F.col("key.h").alias("kh"))
     worded = F.size(words(F.col("t"))) > 0
