@@ -262,5 +262,5 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = classes.join(roots, "rid", "left").groupBy(F.coalesce("root", "rid").alias("c")).agg(F.min("key").alias("key"))
     stay = stay.select(F.col("key.id").alias("kid"), F.col("key.h").alias("kh"))
     worded = F.size(words(F.col("t"))) > 0
-    kept = rows.where(worded).join(stay, of_key, "left_semi").groupBy("id", "h").agg(F.min("doc").alias("doc"))
-    return kept.select("doc.*").unionByName(rows.where(~worded).select("doc.*"))
+    staying = rows.where(worded).join(stay, of_key, "left_semi").groupBy("id", "h").agg(F.min("doc").alias("doc"))
+    return staying.select("doc.*").unionByName(rows.where(~worded).select("doc.*"))
