@@ -30,6 +30,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from itertools import chain
 
@@ -152,6 +153,7 @@ def parse(html: str) -> Tree:
     return tree
 
 
+@lru_cache(maxsize=65_536)
 def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % TOKENS
 
@@ -188,18 +190,19 @@ def features(tree: Tree) -> np.ndarray:
     out[:, 7], out[:, 8] = np.log1p(children[up]), whole / np.maximum(whole[up], 1)
     out[:, 9] = place / np.maximum(children[up], 1)
     kinds = {t: 10 + i for i, t in enumerate(ONE_HOT)}
-    a, b = 10 + len(ONE_HOT), 10 + len(ONE_HOT) + TOKENS
+    mine, above = [0] * n, [0] * n  # sets of hashed tokens, as bits
     for i in range(1, n):
         tag = "heading" if tree.tag[i] in HEADING else tree.tag[i]
         if tag in kinds:
             out[i, kinds[tag]] = 1
         p = tree.parent[i]
-        out[i, b:] = out[p, a:b] + out[p, b:]
+        above[i] = mine[p] | above[p]
         for t in tree.tokens[i]:
-            out[i, a + bucket(t)] = 1
+            mine[i] |= 1 << bucket(t)
         if tag in ("nav", "footer", "aside", "article", "main", "header"):
-            out[i, a + bucket(f"<{tag}>")] = 1
-    np.minimum(out[:, b:], 1, out=out[:, b:])
+            mine[i] |= 1 << bucket(f"<{tag}>")
+    bits = np.asarray([mine, above], "<u8").T.copy().view(np.uint8)
+    out[:, 10 + len(ONE_HOT) :] = np.unpackbits(bits, axis=1, bitorder="little")
     return out
 
 
@@ -290,11 +293,27 @@ def prior(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def margins(pages: list[Tree], trees: list) -> list[np.ndarray]:
+    """Log-odds of every element; the trees see the elements of all pages at once."""
+    made = [features(page) for page in pages]
+    if not trees:
+        return [prior(page, x) for page, x in zip(pages, made)]
+    x = np.concatenate(made)
+    margin = np.clip(sum((apply_tree(t, x) for t in trees), np.zeros(len(x))), -6, 6)
+    return np.split(margin, np.cumsum([len(m) for m in made])[:-1])
+
+
+def extract_all(htmls: list[str], trees: list) -> list[str]:
+    pages = [parse(html) for html in htmls]
+    return [decode(page, margin) for page, margin in zip(pages, margins(pages, trees))] if pages else []
+
+
 def extract(html: str, trees: list) -> str:
+    return extract_all([html], trees)[0]
+
+
+def decode(tree: Tree, margin: np.ndarray) -> str:
     """Kept elements by the best consistent decoding, then their text."""
-    tree = parse(html)
-    x = features(tree)
-    margin = np.clip(sum((apply_tree(t, x) for t in trees), np.zeros(len(x))), -6, 6) if trees else prior(tree, x)
     n = len(tree.tag)
     gain = np.zeros(n)  # log-odds of keeping rather than dropping, by own text
     for node, text in tree.pieces:
@@ -356,7 +375,7 @@ def extract_pages(pages: DataFrame, trees: list, key: str = "page_id", html: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(chunks(b, 64) for b in batches):
-            texts = [extract(t, trees) for t in batch.column(2).to_pylist()]
+            texts = extract_all(batch.column(2).to_pylist(), trees)
             yield pa.RecordBatch.from_pydict(
                 {key: batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
             )
