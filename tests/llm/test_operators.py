@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -6,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from vitalspark.llm import byte_bpe, fingerprint, html_text, lm, mixing, ngram_join, quality, secrets, token_files, toxicity
@@ -349,3 +351,32 @@ def test_near_stage_drops_linked_rows_only(spark):
     got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in out)
     assert got == {(None, "p"): 1, (None, "q"): 1, (1, "r"): 1, (1, "s"): 1, (3, "t"): 1, (None, "u"): 1, (None, ""): 2}
     assert [r["source"] for r in out if r["doc_id"] == 3] == ["s6"]
+
+
+def test_token_ids_of_pieces_equal_the_library():
+    """Pieces are cut where the vocabulary's rule cuts, whatever the text: marks
+    that combine, contractions, other blanks, added tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), token_files.WordIds(path)
+    rnd = random.Random(5)
+    letters = " \n\t\r\v\x0c\x1c\x85\xa0　abshHtTwWIi'’.,-0189\xb2\xbd_Zß\xe9\xe8\xeb\xd7\xf7\xaa\xb5\xc0\xdeĀΣς̱̀̇漢🙂İ''ss\x00"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 30))) for _ in range(6000)]
+    texts += ["", " ", "it's 'Tis ''s .'s a'RE 'll'd x'S<", "<|endoftext|> a", "<|ENDOFTEXT|> b<|startoftext|>c"]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        ids, starts = ours.encode(pa.array(part), 2)
+        got = [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [2] for t in part]
+    ids, starts = ours.encode(pa.array([], pa.string()), 2)
+    assert len(ids) == 0 and starts.tolist() == [0]
+
+
+def test_pages_together_equal_pages_alone():
+    made = [f"<body><nav><a>m {i}</a></nav><article><p>One, two. {i}</p></article><footer>f</footer></body>" for i in range(70)] + ["", "<p>x"]
+    trees = [[3, 0.5, [1, 0.5, -0.2, 0.4], -0.9], [0, 2.5, 0.3, 0.1]]
+    for t in (trees, []):
+        assert html_text.extract_all(made, t) == [html_text.extract(h, t) for h in made]
+    assert html_text.extract_all([], trees) == []

@@ -26,6 +26,7 @@ writes no blocks and reads back empty; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,42 +46,131 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2_000, 8_000_000, 112_640
 LEVEL = 3
 #: Ids' bytes that a block gathers before it is closed.
 BLOCK_BYTES = 1 << 20
+#: Rows encoded together.
+ENCODE_ROWS = 1_024
 #: Documents that one written partition should hold, and the most partitions.
 FILE_DOCS, MOST_FILES = 25_000, 4_096
 MAGIC, HEAD, ENTRY = b"IDZ1", struct.Struct("<4sQI"), struct.Struct("<qQIII")
+BLANKS = " \n\t\r"
+#: Small letters that every version of Unicode reads alike.
+LETTERS = "abcdefghijklmnopqrstuvwxyz\u00df" + "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7)
+#: How the names of added tokens begin.
+MARK = b"<|"
+#: Kind of a byte: 0 blank, 1 letter, 2 digit, 3 other ASCII, 4 no ASCII.
+KIND = np.asarray(
+    [0 if chr(c) in BLANKS else 4 if c > 127 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8
+)
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4"), ("present", "<u4")])
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where pieces may begin: behind every ASCII blank, and where a letter or
+    digit and other ASCII meet. The vocabulary's own rule ends a piece at each of
+    these; it has "'s" and its like begin with an apostrophe, so there is no cut
+    between an apostrophe and what follows. Other characters are cut off only
+    where the left one is a letter of Latin-1."""
+    kind = KIND[data]
+    left, right = kind[:-1], kind[1:]
+    ascii_ = (left < 4) & (right < 4) & (left != right) & ~((left == 3) & (right == 1) & (data[:-1] == 0x27))
+    latin = np.zeros(len(left), bool)
+    if len(data) > 2:
+        tail = data[1:-1]
+        latin[1:] = (data[:-2] == 0xC3) & (tail >= 0x80) & (tail != 0x97) & (tail != 0xB7) & ((right[1:] == 2) | (right[1:] == 3))
+    return np.flatnonzero(ascii_ | latin | (left == 0)) + 1
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, as the vocabulary's normaliser has them; not before
+    other characters than ASCII, which might combine with the capital only."""
+    upper = (data >= 0x41) & (data <= 0x5A)
+    upper[:-1] &= data[1:] < 0x80
+    return data + (upper << 5).astype(np.uint8)
+
+
 class WordIds:
-    """Whole texts -> serialized ids. White space separates and is dropped by
-    this kind of vocabulary, so words between ASCII blanks are independent and
-    each distinct one is encoded by the library once (a bounded memo)."""
+    """Whole texts -> ids. White space separates and is dropped by this kind of
+    vocabulary and its rule cuts words from marks, so pieces are independent: a
+    batch is cut in Arrow's own buffer, each distinct piece is encoded by the
+    library once (a bounded memo), and the texts' ids are gathered from theirs.
+    Batches that hold ``MARK``, with which added tokens begin, are cut at blanks
+    only, as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        # how the library spells each small letter for its model; with it, words of
+        # these letters need no normaliser
+        spelt = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in LETTERS}
+        self.spelling = str.maketrans({c: s[0][0] for c, s in spelt.items() if len(s) == 1})
+        whole = self.tokenizer.encode(LETTERS, add_special_tokens=False).ids
+        self.plain = re.compile(f"[{LETTERS}]+").fullmatch if whole == self._of_letters(LETTERS) else lambda word: None
+        self._forget()
+
+    def _of_letters(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.translate(self.spelling))]
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {"": 0}  # word -> place in the two arrays
+        self.starts, self.ids = np.zeros(2, np.int64), np.zeros(0, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        plain, others = [], []
+        for word in words:
+            (plain if self.plain(word) else others).append(word)
+        made = [self._of_letters(word) for word in plain]
+        self.memo.update(zip(plain, range(len(self.memo), len(self.memo) + len(plain))))
+        starts = [self.starts, len(self.ids) + np.cumsum([len(m) for m in made], dtype=np.int64)]
+        ids = [self.ids, np.fromiter(chain.from_iterable(made), "<u4")]
+        size = len(self.ids) + len(ids[1])
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
             encoding = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             owner = np.asarray([-1 if w is None else w for w in encoding.word_ids], np.int64)
-            ids = np.asarray(encoding.ids, "<u4")
-            ends = np.searchsorted(owner, np.arange(len(part)), side="right").tolist()
-            begin = 0
-            for word, end in zip(part, ends):
-                self.memo[word] = ids[begin:end].tobytes()
-                begin = end
-
-    def serialize(self, texts: list[str], end_id: int) -> list[bytes]:
+            ids.append(np.asarray(encoding.ids, "<u4"))
+            starts.append(size + np.searchsorted(owner, np.arange(len(part)), side="right"))
+            size += len(ids[-1])
+            self.memo.update(zip(part, range(len(self.memo), len(self.memo) + len(part))))
+        self.starts, self.ids = np.concatenate(starts), np.concatenate(ids)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        bare = [w.rstrip(BLANKS) for w in words]
         if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {"": b""}
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self._learn(list(set(chain.from_iterable(cut)) - self.memo.keys()))
-        end, known = struct.pack("<I", end_id), self.memo.__getitem__
-        return [b"".join(map(known, ws)) + end for ws in cut]
+            self._forget()
+        new = set(bare) - self.memo.keys()
+        if new:
+            self._learn(list(new))
+        return np.fromiter(map(self.memo.__getitem__, bare), np.int64, len(bare))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end_id`` behind it; ids before each text
+        and after the last). ``texts`` has no nulls."""
+        texts = texts.cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8, at[-1] - at[0], at[0]) if at[-1] > at[0] else np.zeros(0, np.uint8)
+        at = at - at[0]
+        cut = np.zeros(len(data) + 1, bool)
+        if MARK in data.tobytes():
+            cut[np.flatnonzero(KIND[data] == 0) + 1] = True
+        elif len(data):
+            cut[cuts(data)] = True
+            data = lowered(data)
+        cut[at] = True
+        edges = np.flatnonzero(cut)
+        pieces = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(data))
+        coded = pieces.dictionary_encode()
+        place = self._places(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy()
+        first, size = self.starts[place][code], (self.starts[place + 1] - self.starts[place])[code]
+        before = np.concatenate([[0], np.cumsum(size)])
+        gathered = self.ids[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
+        starts = before[np.searchsorted(edges, at)] + np.arange(len(at))
+        out = np.full(starts[-1], end_id, "<u4")
+        words_ = np.ones(len(out), bool)
+        words_[starts[1:] - 1] = False
+        out[words_] = gathered
+        return out, starts
 
 
 @lru_cache(maxsize=2)
@@ -88,6 +178,12 @@ def load(path: str) -> WordIds:
     return WordIds(path)
 
 
+def serialized(ids: np.ndarray, starts: np.ndarray) -> list[memoryview]:
+    """The little-endian bytes of each text's ids."""
+    view, at = memoryview(ids.view(np.uint8)), (4 * starts).tolist()
+    return [view[a:b] for a, b in zip(at, at[1:])]
+
+
 def dictionary_hash(dictionary: bytes) -> int:
     import xxhash
 
@@ -104,9 +200,9 @@ def train_dictionary(df: DataFrame, path: str, end_id: int, n_rows: int) -> byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples, size = [], 0
         for batch in chain.from_iterable(map(chunks, batches)):
-            for ids in load(path).serialize(batch.column(1).to_pylist(), end_id):
+            for ids in serialized(*load(path).encode(batch.column(1), end_id)):
                 if size + len(ids) <= SAMPLE_BYTES:
-                    samples.append(ids)
+                    samples.append(bytes(ids))
                     size += len(ids)
         trained = b""
         if size > 20_000 and len(samples) > 10:
@@ -165,16 +261,17 @@ def write(df: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame:
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _compressor(dictionary)
-        for batch in chain.from_iterable(map(chunks, batches)):
-            serialized = load(path).serialize(batch.column(1).to_pylist(), end_id)
+        for batch in chain.from_iterable(chunks(b, ENCODE_ROWS) for b in batches):
+            ids, starts = load(path).encode(batch.column(1), end_id)
+            parts = serialized(ids, starts)
             at = np.searchsorted(edges, np.asarray(pc.fill_null(batch.column(0), -(2**63))), side="right")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(at, pa.int32()),
                     batch.column(0),
-                    pa.array([len(s) // 4 for s in serialized], pa.int64()),
-                    pa.array([zlib.crc32(s) for s in serialized], pa.int64()),
-                    pa.array([packer.compress(s) for s in serialized], pa.binary()),
+                    pa.array(np.diff(starts), pa.int64()),
+                    pa.array([zlib.crc32(s) for s in parts], pa.int64()),
+                    pa.array([packer.compress(s) for s in parts], pa.binary()),
                 ],
                 names=["file", "doc_id", "tokens", "crc", "frame"],
             )
