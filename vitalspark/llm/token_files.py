@@ -40,14 +40,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import MEMO_ENTRIES, chunks, shared_path, table, whole_text
+from vitalspark.llm.common import chunks, shared_path, table, whole_text
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2_000, 8_000_000, 112_640
 LEVEL = 3
 #: Ids' bytes that a block gathers before it is closed.
 BLOCK_BYTES = 1 << 20
-#: Rows encoded together.
-ENCODE_ROWS = 1_024
+#: Pieces that a worker's memo may hold before it starts anew, and rows encoded together.
+MEMO_PIECES = 150_000
+ENCODE_ROWS = 512
 #: Documents that one written partition should hold, and the most partitions.
 FILE_DOCS, MOST_FILES = 25_000, 4_096
 MAGIC, HEAD, ENTRY = b"IDZ1", struct.Struct("<4sQI"), struct.Struct("<qQIII")
@@ -136,7 +137,7 @@ class WordIds:
 
     def _places(self, words: list[str]) -> np.ndarray:
         bare = [w.rstrip(BLANKS) for w in words]
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_PIECES:
             self._forget()
         new = set(bare) - self.memo.keys()
         if new:
