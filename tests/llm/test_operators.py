@@ -353,6 +353,49 @@ def test_near_stage_drops_linked_rows_only(spark):
     assert [r["source"] for r in out if r["doc_id"] == 3] == ["s6"]
 
 
+@pytest.mark.parametrize("part_chars", [10**9, 1_500])
+def test_lm_scores_equal_brute_force(spark, docs, part_chars):
+    """Base and model scores of every text, from plain counts; also of texts with
+    unknown words and unseen contexts."""
+    import math
+
+    def cut(text):
+        return [*WORD.findall((text or "").translate(LOWER)), "\n"]
+
+    new = spark.createDataFrame([(50, "never THE quick\x0bfox unknownword the the"), (51, ""), (52, None)], "doc_id long, text string")
+    model = lm.train(docs, part_chars=part_chars)
+    count, pair = Counter(), Counter()
+    for _, text, _ in TEXTS:
+        words = cut(text)
+        count.update(words)
+        pair.update(zip(["<s>", *words], words))
+    preds, total, follow = Counter(w for _, w in pair), Counter(), Counter()
+    for (v, _), n in pair.items():
+        total[v] += n
+        follow[v, min(n, 3)] += 1
+    d0 = [0.0, *lm.discounts([sum(c == k for c in preds.values()) for k in (1, 2, 3, 4)])]
+    d1 = [0.0, *lm.discounts([sum(c == k for c in pair.values()) for k in (1, 2, 3, 4)])]
+    size, all_ = len(count) + 1, len(pair)
+    rest = sum(d0[min(c, 3)] for c in preds.values()) / all_
+
+    def p(v, w):
+        low = (preds[w] - d0[min(preds[w], 3)]) / all_ + rest / size
+        if not total[v]:
+            return low
+        back = sum(follow[v, k] * d1[k] for k in (1, 2, 3)) / total[v]
+        return (pair[v, w] - d1[min(pair[v, w], 3)]) / total[v] + back * low
+
+    for frame in (docs.select("doc_id", "text"), new):
+        got = by_id(lm.score(frame, model))
+        for doc_id, text in frame.collect():
+            words = cut(text)
+            score = sum(math.log10(p(v, w)) for v, w in zip(["<s>", *words], words))
+            base = sum(math.log10((count[w] + 0.1) / (count.total() + 0.1 * size)) for w in words)
+            row = got[doc_id]
+            assert (row["n_tokens"], row["n_known"]) == (len(words), sum(count[w] > 0 for w in words))
+            assert abs(row["score"] - score) < 1e-6 and abs(row["base_score"] - base) < 1e-6
+
+
 def test_token_ids_of_pieces_equal_the_library():
     """Pieces are cut where the vocabulary's rule cuts, whatever the text: marks
     that combine, contractions, other blanks, added tokens."""

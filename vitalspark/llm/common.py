@@ -62,3 +62,18 @@ def chunks(batch, rows: int = CHUNK_ROWS):
     """Slices of an Arrow batch of at most ``rows`` rows."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def text_bytes(texts):
+    """(bytes of all texts of an Arrow array without nulls, where each text begins
+    and the last ends), without a copy."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    size = at[-1] - at[0]
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, at[0]) if size else np.zeros(0, np.uint8)
+    return data, at - at[0]

@@ -1,15 +1,19 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark.
 
-Tokens are words (ASCII letters in lower case) and one end each text. Tasks turn
-texts into hashed bigrams and add equal ones up before the first shuffle; each
-part of the hash space is merged, sorted and written as one file of sorted
-hashes and counts to the shared folder. Counts per word (as word: count and
-distinct predecessors; as context: total and followers seen once, twice and more often)
-take a second shuffle into word files of the same kind. Only counts of counts
-come to the driver. Workers map the files into memory and look hashes up by
-binary search; the folder must be mounted at the workers, as a shared
-``spark.checkpoint.dir`` of the file system is. A lost task writes its file
-again, under a temporary name that is then renamed.
+Tokens are words (ASCII letters in lower case) and one end each text. Words are
+hashed; first their counts are added up by parts of the hash space, each written
+as one file of sorted hashes and counts to the shared folder. A word's rank is its
+place in these files, one behind the other. Then tasks turn texts into pairs of
+ranks, add equal ones up, and send each part of the pair space its pairs as one
+packed array (sorted, bytes of equal weight together, zstandard); parts are merged
+and written as sorted pairs and counts. What pairs say about words (distinct
+predecessors; as context: total and followers seen once, twice and more often)
+takes a third shuffle of the same kind into arrays by rank. Only sizes of parts
+and counts of counts come to the driver. Workers map the files into memory and
+find hashes and pairs by binary search; the folder must be mounted at the workers,
+as a shared ``spark.checkpoint.dir`` of the file system is. A lost task writes its
+file again, under a temporary name that is then renamed. More than 2**32 - 2
+distinct words are refused.
 
 P(w|v) = max(c(vw) - D, 0) / c(v) + g(v) P(w), with P(w) made in the same way
 from numbers of distinct predecessors and ending in 1 / (V + 1), which unknown
@@ -24,6 +28,7 @@ same probability. Texts are whole at any length.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,50 +39,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import MEMO_ENTRIES, chunks, doc_remainder, shared_path, table, whole_text
+from vitalspark.llm.common import chunks, doc_remainder, shared_path, table, text_bytes, whole_text
 
 #: Characters of training text per part of the hash space.
 PART_CHARS = 24_000_000
-#: Tokens that a task gathers before equal bigrams are added up.
+#: Words or pairs that a task gathers before equal ones are added up and sent.
 GATHER = 2_000_000
-WORD_COLUMNS = 6  # count, predecessors, total as context, followers seen 1, 2, 3+ times
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-BLANKS = str.maketrans("\t\n\v\f\r", "     ")
+STATS = 5  # predecessors, total as context, followers seen 1, 2, 3+ times
+#: Each byte in lower case, blanks as spaces.
+PLAIN = np.asarray([32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
-class Memo(dict):
-    """Word -> 64-bit hash, started anew when it is full."""
+def word_hash(word: str | bytes) -> int:
+    import xxhash
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
+    return xxhash.xxh64_intdigest(word)
+
+
+#: No word has a blank, so blanks stand for the end and the start.
+END, START = "\n", " "
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens: hash, hash of the predecessor; and tokens per text. Words are
+    cut in Arrow's own buffer, each distinct one is hashed once."""
+    data, at = text_bytes(texts)
+    data = PLAIN[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[np.flatnonzero(data == 32) + 1] = True
+    cut[at] = True
+    edges = np.flatnonzero(cut)  # a piece is a word and the blank behind it
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    coded = pieces.dictionary_encode()
+    found = [w.rstrip(b" ") for w in coded.dictionary.to_pylist()]
+    code = coded.indices.to_numpy()
+    real = np.asarray([bool(w) for w in found], bool)[code]
+    hashes = np.fromiter(map(word_hash, found), np.uint64, len(found))
+    starts = np.concatenate([[0], np.cumsum(real)])[np.searchsorted(edges, at)] + np.arange(len(at))
+    tokens = np.full(starts[-1], word_hash(END), np.uint64)
+    is_word = np.ones(len(tokens), bool)
+    is_word[starts[1:] - 1] = False
+    tokens[is_word] = hashes[code[real]]
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[starts[:-1]] = word_hash(START)
+    return tokens, before, np.diff(starts)
 
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length, each in as few bytes as its largest
+    needs, bytes of equal weight together."""
+    import zstandard
 
-MEMO = Memo()
+    n, out = len(columns[0]), []
+    for column in columns:
+        kind = np.min_scalar_type(int(column.max()) if n else 0)
+        out.append(bytes([kind.itemsize]) + column.astype(kind).view(np.uint8).reshape(n, kind.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<QB", n, len(out)) + b"".join(out))
 
 
-def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens: hash, hash of the predecessor; and tokens per text. No word
-    has a blank, so blanks stand for the end and the start."""
-    import xxhash
+def unpacked(payload: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(payload)
+    n, width = struct.unpack_from("<QB", raw)
+    at, out = 9, []
+    for _ in range(width):
+        size = raw[at]
+        planes = np.frombuffer(raw, np.uint8, n * size, at + 1).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.uint64))
+        at += 1 + n * size
+    return out
 
-    end, start = xxhash.xxh64_intdigest("\n"), xxhash.xxh64_intdigest(" ")
-    cut = [[w for w in t.translate(BLANKS).translate(LOWER).split(" ") if w] for t in texts]
-    n = np.asarray([len(c) + 1 for c in cut], np.int64)
-    get = MEMO.__getitem__
-    tokens = np.fromiter(chain.from_iterable(chain(map(get, c), (end,)) for c in cut), np.uint64, int(n.sum()))
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(n) - n] = start
-    return tokens, before, n
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
-def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = (v * np.uint64(0x9E3779B97F4A7C15)) ^ (w + np.uint64(0x7F4A7C15))
+
+def dealt(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(part, its rows of each column in the given order)."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(part) else []
+    for a, b in zip(edges, [*edges[1:], len(part)]):
+        yield int(part[a]), *(c[order[a:b]] for c in columns)
+
+
+def mixed(pair: np.ndarray) -> np.ndarray:
+    x = pair * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
@@ -86,23 +135,28 @@ def part_of(key: np.ndarray, bits: int) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
 
 
-def added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the place of one row of each, summed values."""
-    order = np.argsort(keys, kind="stable")
+def added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, summed values."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys)
     ordered = keys[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(values[order], first, axis=0) if len(keys) else values
-    return ordered[first], order[first], sums
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return ordered[first], np.add.reduceat(values[order], first, axis=0)
 
 
-def put(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
+def put(folder: str, name: str, **arrays: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
-    for kind, data in (("keys", keys), ("values", values)):
+    for kind, data in arrays.items():
         own = f"{folder}/.{uuid.uuid4().hex}.npy"
         np.save(own, data)
         os.replace(own, f"{folder}/{name}.{kind}.npy")
 
 
+def small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max()) if values.size else 0))
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """D for counts 1, 2 and 3 or more, from the counts of counts 1 to 4."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -120,138 +174,210 @@ def local_path(path: str) -> str:
     return rest if scheme == "file" else path.removeprefix("file:")
 
 
+def rows_of(got: list[tuple], schema: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip((f.name for f in schema), row)) for row in got], pa.schema(schema))
+
+
+PACKED = [pa.field("part", pa.int32()), pa.field("kind", pa.int32()), pa.field("payload", pa.binary())]
+PACKED_SQL = "part int, kind int, payload binary"
+#: Kinds of rows to the parts of words: predecessors, contexts; counts of pairs'
+#: counts and the pairs files that there are.
+AS_WORD, AS_CONTEXT, OF_PAIRS = 0, 1, 2
+
+
 def train(docs: DataFrame, text: str = "text", part_chars: int = PART_CHARS) -> dict:
     """Count, write the files, and return the model's description (a few
-    numbers and the folder)."""
+    numbers, the parts' sizes and the folder)."""
     spark = docs.sparkSession
     folder = local_path(shared_path(spark, "lm"))
     rows = docs.select(whole_text(text).alias("t"))
     chars = rows.agg(F.sum(F.length("t"))).head()[0] or 0
     bits = max(0, -(-chars // part_chars) - 1).bit_length()
+    parts = 1 << bits
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch], keys_of, send) -> Iterator[pa.RecordBatch]:
+        """Equal keys of a task's batches added up, sent every ``GATHER`` of them."""
         held, size = [], 0
-
-        def flush():
-            w, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            key, at, n = added(pair_hash(v, w), np.ones(len(w), np.int64))
-            return pa.RecordBatch.from_pydict(
-                {"part": part_of(key, bits), "v": v[at].view(np.int64), "w": w[at].view(np.int64), "n": n.astype(np.int32)}
-            )
-
         for batch in chain.from_iterable(map(chunks, batches)):
-            w, v, _ = hashed(batch.column(0).to_pylist())
-            held.append((w, v))
-            size += len(w)
+            held.append(np.unique(keys_of(batch.column(0)), return_counts=True))
+            size += len(held[-1][0])
             if size >= GATHER:
-                yield flush()
+                yield send(*added(*map(np.concatenate, zip(*held))))
                 held, size = [], 0
         if size:
-            yield flush()
+            yield send(*added(*map(np.concatenate, zip(*held))))
 
-    names = ["part", "key", *(f"c{i}" for i in range(WORD_COLUMNS))]
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(key, n):
+            return rows_of([(p, 0, packed(steps(k), c)) for p, k, c in dealt(part_of(key, bits), key, n)], PACKED)
 
-    def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
-        if not got:
-            return
-        v, w = (np.concatenate([g[i] for g in got]).view(np.uint64) for i in (1, 2))
-        key, at, n = added(pair_hash(v, w), np.concatenate([g[3] for g in got]).astype(np.int64))
-        v, w, part = v[at], w[at], int(got[0][0][0])
-        put(folder, f"pairs-{part}", key, n.astype(np.uint32))
-        ones = np.ones(len(n), np.int64)
-        none = np.zeros(len(n), np.int64)
-        as_word, _, a = added(w, np.stack([n, ones, none, none, none, none], 1))
-        as_context, _, b = added(v, np.stack([none, none, n, n == 1, n == 2, n >= 3], 1).astype(np.int64))
-        of_counts = np.asarray([[(n == k).sum() for k in (1, 2, 3, 4)] + [0, 0]], np.int64)
-        # counts of counts travel as part -1, dealt with part 0; which pairs files
-        # there are travels as part -2 (its key)
-        for parts, keys, values in (
-            (part_of(as_word, bits), as_word, a),
-            (part_of(as_context, bits), as_context, b),
-            (np.asarray([-1], np.int32), np.zeros(1, np.uint64), of_counts),
-            (np.asarray([-2], np.int32), np.asarray([part], np.uint64), np.zeros((1, WORD_COLUMNS), np.int64)),
-        ):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), pa.array(keys.view(np.int64))] + [pa.array(values[:, i]) for i in range(WORD_COLUMNS)], names=names
-            )
+        return gathered(batches, lambda texts: hashed(texts)[0], send)
 
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(2 + WORD_COLUMNS)], 1) for b in batches if b.num_rows]
+        got, part = [], None
+        for batch in batches:
+            for p, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                part, (key, n) = p, unpacked(payload)
+                got.append((np.cumsum(key, dtype=np.uint64), n))
+        if got:
+            key, n = added(*map(np.concatenate, zip(*got)))
+            put(folder, f"words-{part}", keys=key, values=small(n))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "size": [len(key)], "tokens": [int(n.sum())]})
+
+    counted = rows.mapInArrow(words, PACKED_SQL).repartitionById(parts, F.col("part"))
+    found = counted.mapInArrow(merge_words, "part int, size long, tokens long").collect()  # one row a part
+    sizes = np.zeros(parts, np.int64)
+    for r in found:
+        sizes[r["part"]] = r["size"]
+    distinct = int(sizes.sum())
+    if distinct > 2**32 - 2:
+        raise ValueError("more distinct words than ranks of 32 bits")
+    vocabulary = {
+        "folder": folder, "bits": bits, "distinct": distinct, "tokens": sum(r["tokens"] for r in found),
+        "first": (np.cumsum(sizes) - sizes).tolist(),
+        "words": sum(1 << r["part"] for r in found),  # the parts that have a file, as bits
+    }
+    first = np.asarray(vocabulary["first"], np.int64)
+    sizes[-1] += 1  # the last rank is the start's
+    part_of_rank = lambda rank: np.searchsorted(first + sizes, rank.astype(np.int64), side="right").astype(np.int32)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keys_of(texts):
+            w, v, _ = hashed(texts)
+            return pair_of(ranks(vocabulary, v)[0], ranks(vocabulary, w)[0])
+
+        def send(key, n):
+            return rows_of(
+                [(p, 0, packed(steps(k >> np.uint64(32)), k & LOW, c)) for p, k, c in dealt(part_of(mixed(key), bits), key, n)], PACKED
+            )
+
+        return gathered(batches, keys_of, send)
+
+    def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, part = [], None
+        for batch in batches:
+            for p, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                part, (v, w, n) = p, unpacked(payload)
+                got.append(((np.cumsum(v, dtype=np.uint64) << np.uint64(32)) | w, n))
         if not got:
             return
-        rows_ = np.concatenate(got)
-        of_pairs = rows_[rows_[:, 0] == -1][:, 2:6].sum(0)
-        pair_parts = rows_[rows_[:, 0] == -2][:, 1].tolist()
-        rows_ = rows_[rows_[:, 0] >= 0]
-        word_parts = [int(rows_[0, 0])] if len(rows_) else []
-        stats = np.zeros(8, np.int64)
-        if len(rows_):
-            part = int(rows_[0, 0])
-            key, _, values = added(np.ascontiguousarray(rows_[:, 1]).view(np.uint64), rows_[:, 2:])
-            put(folder, f"words-{part}", key, values)
-            before = values[:, 1]
-            stats = np.asarray([values[:, 0].sum(), (values[:, 0] > 0).sum(), before.sum(), *[(before == k).sum() for k in (1, 2, 3, 4)], (before >= 3).sum()])
+        key, n = added(*map(np.concatenate, zip(*got)))
+        put(folder, f"pairs-{part}", keys=key, values=small(n))
+        of_counts = np.asarray([part, *((n == k).sum() for k in (1, 2, 3, 4))])
+        as_word = added(key & LOW, np.ones(len(n), np.int64))
+        as_context = added(key >> np.uint64(32), np.stack([n, n == 1, n == 2, n >= 3], 1).astype(np.int64))
+        out = [(0, OF_PAIRS, packed(of_counts))]
+        out += [(p, AS_WORD, packed(steps(r), c)) for p, r, c in dealt(part_of_rank(as_word[0]), *as_word)]
+        out += [(p, AS_CONTEXT, packed(steps(r), *c.T)) for p, r, c in dealt(part_of_rank(as_context[0]), *as_context)]
+        yield rows_of(out, PACKED)
+
+    def merge_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats, part, of_pairs, pair_parts = None, None, np.zeros(4, np.int64), []
+        for batch in batches:
+            for p, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                columns = [c.astype(np.int64) for c in unpacked(payload)]
+                if kind == OF_PAIRS:
+                    pair_parts.append(int(columns[0][0]))
+                    of_pairs += columns[0][1:]
+                    continue
+                if stats is None:
+                    part, stats = p, np.zeros((sizes[p], STATS), np.int64)
+                at = np.cumsum(columns[0]) - first[p]  # distinct in a payload
+                stats[at, 0 if kind == AS_WORD else slice(1, STATS)] += columns[1] if kind == AS_WORD else np.stack(columns[1:], 1)
+        if stats is None and not pair_parts:
+            return
+        sums = np.zeros(6, np.int64)
+        if stats is not None:
+            put(folder, f"stats-{part}", values=small(stats))
+            before = stats[:, 0]
+            sums = np.asarray([before.sum(), *((before == k).sum() for k in (1, 2, 3, 4)), (before >= 3).sum()])
         yield pa.RecordBatch.from_pydict(
-            {"s": pa.array([[*stats.tolist(), *of_pairs.tolist()]], pa.list_(pa.int64())),
-             "pairs": pa.array([pair_parts], pa.list_(pa.int64())), "words": pa.array([word_parts], pa.list_(pa.int64()))}
-        )
-
-    parts = 1 << bits
-    kinds = "part int, key long, " + ", ".join(f"c{i} long" for i in range(WORD_COLUMNS))
-    counted = rows.mapInArrow(pairs, "part int, v long, w long, n int").repartitionById(parts, F.col("part"))
-    merged = counted.mapInArrow(merge_pairs, kinds).repartitionById(parts, F.greatest("part", F.lit(0)))
-    found = merged.mapInArrow(merge_words, "s array<long>, pairs array<long>, words array<long>").collect()  # one row a part
-    s = np.asarray([r["s"] for r in found] or [[0] * 12], np.int64).sum(0)
-    return {
-        "folder": folder, "bits": bits, "tokens": int(s[0]), "distinct": int(s[1]), "followers": int(s[2]),
-        # the parts that have a file of each kind, as bits
-        **{kind: sum(1 << p for r in found for p in r[kind]) for kind in ("pairs", "words")},
-        "of_words": s[3:7].tolist(), "often": int(s[7]), "of_pairs": s[8:12].tolist(),
+            {"s": pa.array([[*sums.tolist(), *of_pairs.tolist()]], pa.list_(pa.int64())), "pairs": pa.array([pair_parts], pa.list_(pa.int64()))}
+        )
+
+    of_parts = rows.mapInArrow(pairs, PACKED_SQL).repartitionById(parts, F.col("part"))
+    about = of_parts.mapInArrow(merge_pairs, PACKED_SQL).repartitionById(parts, F.col("part"))
+    found = about.mapInArrow(merge_stats, "s array<long>, pairs array<long>").collect()  # one row a part
+    s = np.asarray([r["s"] for r in found] or [[0] * 10], np.int64).sum(0)
+    return vocabulary | {
+        "followers": int(s[0]), "of_words": s[1:5].tolist(), "often": int(s[5]), "of_pairs": s[6:10].tolist(),
+        "pairs": sum(1 << p for r in found for p in r["pairs"]),
     }
 
 
-@lru_cache(maxsize=512)
-def mapped(path: str):
-    """A part's keys and values. The model says which parts it has, so a file
-    that is not there is an error, never an unseen n-gram."""
-    return np.load(f"{path}.keys.npy", mmap_mode="r"), np.load(f"{path}.values.npy", mmap_mode="r")
+@lru_cache(maxsize=1_024)
+def mapped(path: str) -> np.ndarray:
+    """An array of a part. The model says which parts it has, so a file that is
+    not there is an error, never an unseen n-gram."""
+    return np.load(f"{path}.npy", mmap_mode="r")
 
 
-def lookup(model: dict, kind: str, keys: np.ndarray, width: int) -> np.ndarray:
-    """Values of ``keys``, zeros where there are none."""
-    distinct, back = np.unique(keys, return_inverse=True)
-    out = np.zeros((len(distinct), width), np.int64)
-    part = part_of(distinct, model["bits"])
-    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(part) else []
-    for a, b in zip(edges, [*edges[1:], len(part)]):
-        if not model[kind] >> int(part[a]) & 1:
+def found_at(model: dict, kind: str, keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in its part's file of each of the sorted ``keys`` (-1: not there), and
+    its value there (0)."""
+    place, value = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    for p, at in dealt(part, np.arange(len(keys))):
+        if not model[kind] >> p & 1:
             continue  # the part has no n-gram of this kind
-        stored, values = mapped(f"{model['folder']}/{kind}-{part[a]}")
-        at = np.minimum(np.searchsorted(stored, distinct[a:b]), len(stored) - 1)
-        hit = np.asarray(stored[at]) == distinct[a:b]
-        out[a:b][hit] = np.asarray(values[at[hit]]).reshape(-1, width)
+        stored = mapped(f"{model['folder']}/{kind}-{p}.keys")
+        spot = np.minimum(np.searchsorted(stored, keys[at]), len(stored) - 1)
+        hit = stored[spot] == keys[at]
+        place[at[hit]] = spot[hit]
+        value[at[hit]] = mapped(f"{model['folder']}/{kind}-{p}.values")[spot[hit]]
+    return place, value
+
+
+def ranks(model: dict, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each hash (-1: unknown; the start has the last), and its count."""
+    distinct, back = np.unique(hashes, return_inverse=True)
+    part = part_of(distinct, model["bits"])
+    place, count = found_at(model, "words", distinct, part)
+    rank = np.where(place < 0, -1, place + np.asarray(model["first"], np.int64)[part])
+    rank[distinct == np.uint64(word_hash(START))] = model["distinct"]
+    return rank[back], count[back]
+
+
+LOW = np.uint64(2**32 - 1)
+
+
+def pair_of(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (v.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
+
+
+def stats_of(model: dict, rank: np.ndarray) -> np.ndarray:
+    """What pairs say about the words of ``rank``; zeros for unknown ones."""
+    distinct, back = np.unique(rank, return_inverse=True)
+    out = np.zeros((len(distinct), STATS), np.int64)
+    first = np.asarray(model["first"], np.int64)
+    known = np.flatnonzero(distinct >= 0) if model["followers"] else np.zeros(0, np.int64)
+    part = np.searchsorted(first, distinct[known], side="right") - 1  # of parts that begin there, the last
+    part[distinct[known] == model["distinct"]] = len(first) - 1
+    for p, at in dealt(part, known):
+        out[at] = mapped(f"{model['folder']}/stats-{p}.values")[distinct[at] - first[p]]
     return out[back]
 
 
 def log_probabilities(model: dict, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token: log10 probability, and its count in training."""
+    """Of each token, given by hashes: log10 probability, and its count in training."""
     size = model["distinct"] + 1
-    of_word = lookup(model, "words", w, WORD_COLUMNS)
-    of_context = lookup(model, "words", v, WORD_COLUMNS)
-    n = lookup(model, "pairs", pair_hash(v, w), 1)[:, 0]
+    (rank_w, count), (rank_v, _) = ranks(model, w), ranks(model, v)
+    before, of_context = stats_of(model, rank_w)[:, 0], stats_of(model, rank_v)[:, 1:]
+    both = (rank_w >= 0) & (rank_v >= 0)
+    distinct, back = np.unique(pair_of(rank_v[both], rank_w[both]), return_inverse=True)
+    n = np.zeros(len(w), np.int64)
+    n[both] = found_at(model, "pairs", distinct, part_of(mixed(distinct), model["bits"]))[1][back]
     d0, d1 = np.r_[0.0, discounts(model["of_words"])], np.r_[0.0, discounts(model["of_pairs"])]
     take = lambda d, c: d[np.minimum(c, 3)]
     low = np.full(len(w), 1.0 / size)
     if model["followers"]:
         once, twice = model["of_words"][:2]
         rest = (d0[1] * once + d0[2] * twice + d0[3] * model["often"]) / model["followers"]
-        low = (of_word[:, 1] - take(d0, of_word[:, 1])) / model["followers"] + rest / size
-    total = of_context[:, 2]
+        low = (before - take(d0, before)) / model["followers"] + rest / size
+    total = of_context[:, 0]
     seen = np.maximum(total, 1)
-    back = (of_context[:, 3:] @ d1[1:]) / seen
+    back = (of_context[:, 1:] @ d1[1:]) / seen
     high = (n - take(d1, n)) / seen + back * low
-    return np.log10(np.where(total > 0, high, low)), of_word[:, 0]
+    return np.log10(np.where(total > 0, high, low)), count
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,7 +386,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(map(chunks, batches)):
-            w, v, n = hashed(batch.column(1).to_pylist())
+            w, v, n = hashed(batch.column(1))
             logs, count = log_probabilities(model, w, v)
             base = np.log10((count + 0.1) / (model["tokens"] + 0.1 * (model["distinct"] + 1)))
             first = np.cumsum(n) - n

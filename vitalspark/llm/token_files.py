@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import chunks, shared_path, table, whole_text
+from vitalspark.llm.common import chunks, shared_path, table, text_bytes, whole_text
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2_000, 8_000_000, 112_640
 LEVEL = 3
@@ -147,10 +147,7 @@ class WordIds:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end_id`` behind it; ids before each text
         and after the last). ``texts`` has no nulls."""
-        texts = texts.cast(pa.large_string())
-        at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
-        data = np.frombuffer(texts.buffers()[2], np.uint8, at[-1] - at[0], at[0]) if at[-1] > at[0] else np.zeros(0, np.uint8)
-        at = at - at[0]
+        data, at = text_bytes(texts)
         cut = np.zeros(len(data) + 1, bool)
         if MARK in data.tobytes():
             cut[np.flatnonzero(KIND[data] == 0) + 1] = True
