@@ -52,6 +52,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def set_aside(df: DataFrame, names) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns of any of ``names`` under free names, and the
+    columns that give back the names of ``df``, in its order."""
+    wanted = {n.lower() for n in names}
+    held = [free_name(df, f"_own{i}") if c.lower() in wanted else c for i, c in enumerate(df.columns)]
+    return df.toDF(*held), [F.col(f"`{h}`").alias(c) for h, c in zip(held, df.columns)]
+
+
 def doc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids count as the text
     ``''``."""

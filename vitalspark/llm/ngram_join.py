@@ -246,7 +246,7 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     last, then the smallest hash of the text; among rows of one id and text the
     smallest other columns. Texts without words have no links and all stay."""
     n, percent = 5, 80
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), whole_text().alias("t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), whole_text().alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
     key = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     signs = [F.size("toks").alias("n"), F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2")]

@@ -12,8 +12,8 @@ words inside five-word windows that occur again in the text.
 Five-word windows are compared by xxhash64 inside one document.
 
 Defined cases: a null or empty text has no words and fails the base rules;
-repeated rows are judged alike; extra columns stay unless their name is one of
-the results'; an empty table gives an empty result. Very long texts are handled
+repeated rows are judged alike; ``judge`` replaces extra columns that have a
+result's name, the stage keeps them; an empty table gives an empty result. Very long texts are handled
 by sorts of their own windows, never by pairs of them.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import free_name, table, whole_text, words
+from vitalspark.llm.common import free_name, set_aside, table, whole_text, words
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 MAX_LOSS, MAX_SYMBOL_SHARE, SHORT_WORDS, SEPARATORS = 0.5, 0.1, 3, 3
@@ -125,5 +125,6 @@ def quality_query(spark, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines."""
-    kept = judge(docs.withColumn("text", whole_text())).where("kept")
-    return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    own, back = set_aside(docs, RESULT)
+    kept = judge(own.withColumn("text", whole_text())).where("kept")
+    return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(back)
