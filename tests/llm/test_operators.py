@@ -423,3 +423,19 @@ def test_pages_together_equal_pages_alone():
     for t in (trees, []):
         assert html_text.extract_all(made, t) == [html_text.extract(h, t) for h in made]
     assert html_text.extract_all([], trees) == []
+
+
+def test_token_files_of_several_files_and_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_DOCS", 20)
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 200)
+    texts = [(i % 90 if i % 7 else None, "some words of a text " * (i % 5)) for i in range(150)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    blocks = token_files.write(docs, str(tmp_path / "ids"), public_tokenizers.path("word_bpe_49k.json"))
+    assert blocks.select("file").distinct().count() > 3 and blocks.count() > 20
+    rows = token_files.read(spark, str(tmp_path / "ids")).collect()
+    rows.sort(key=lambda r: r["start"])
+    at = 0
+    for r in rows:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"])
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in rows] == sorted((i for i, _ in texts), key=lambda i: (i is not None, i or 0))

@@ -273,10 +273,11 @@ def write(df: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame:
                 ],
                 names=["file", "doc_id", "tokens", "crc", "frame"],
             )
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One partition holds one file's documents, in order."""
-        held, size, block, file = [], 0, 0, None
+        held, size, block, file, inside = [], 0, 0, None, 0
 
         def flush():
             known = [r[0] for r in held if r[0] is not None]
@@ -286,6 +287,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame:
                     "block": pa.array([block], pa.int32()),
                     "first_id": pa.array([min(known, default=None)], pa.int64()),
                     "last_id": pa.array([max(known, default=None)], pa.int64()),
+                    "inside": pa.array([inside], pa.int64()),
                     "tokens": pa.array([sum(r[1] for r in held)], pa.int64()),
                     "payload": pa.array([pack_block(held, dict_hash)], pa.binary()),
                 }
@@ -295,7 +297,8 @@ def write(df: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame:
             for at, doc_id, tokens, frame in zip(*(batch.column(n).to_pylist() for n in ("file", "doc_id", "tokens", "frame"))):
                 if held and (at != file or size >= BLOCK_BYTES):
                     yield flush()
-                    held, size, block = [], 0, block + 1 if at == file else 0
+                    block, inside = (block + 1, inside + sum(r[1] for r in held)) if at == file else (0, 0)
+                    held, size = [], 0
                 file = at
                 held.append((doc_id, tokens, frame))
                 size += 4 * tokens
@@ -307,7 +310,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame:
         "file", F.col("doc_id").asc_nulls_first(), "tokens", "crc"
     )
     made = ordered.select("file", "doc_id", "tokens", "frame").mapInArrow(
-        close, "file int, block int, first_id long, last_id long, tokens long, payload binary"
+        close, "file int, block int, first_id long, last_id long, inside long, tokens long, payload binary"
     )
     spark.createDataFrame(
         [(f"{dict_hash:016x}", bytearray(dictionary))], "dict_hash string, dictionary binary"
@@ -324,25 +327,14 @@ def read_dictionary(spark: SparkSession, folder: str) -> bytes:
     return dictionary
 
 
-def _block_starts(blocks: DataFrame) -> DataFrame:
-    """(file, block, start): ids before each block. Files' totals (one row a
-    file, at most ``MOST_FILES``) are summed on the driver; blocks' totals in a
-    window inside each file."""
-    from pyspark.sql import Window
-
-    totals = blocks.groupBy("file").agg(F.sum("tokens").alias("n")).orderBy("file").collect()
-    before, at = {}, 0
-    for row in totals:
-        before[row["file"]], at = at, at + row["n"]
-    inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("tokens").over(inside), F.lit(0))
-    offsets = blocks.sparkSession.createDataFrame(list(before.items()), "file int, file_start long")
-    return (
-        blocks.select("file", "block", "tokens")
-        .withColumn("inside", start)
-        .join(F.broadcast(offsets), "file")  # one row a file, at most MOST_FILES
-        .select("file", "block", (F.col("file_start") + F.col("inside")).alias("start"))
-    )
+def _file_starts(blocks: DataFrame) -> DataFrame:
+    """(file, file_start): ids before each file, one row a file, at most
+    ``MOST_FILES``. Blocks know the ids before them inside their file."""
+    before, at = [], 0
+    for row in blocks.groupBy("file").agg(F.sum("tokens").alias("n")).orderBy("file").collect():
+        before.append((row["file"], at))
+        at += row["n"]
+    return blocks.sparkSession.createDataFrame(before, "file int, file_start long")
 
 
 def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None, digest: bool = False) -> DataFrame:
@@ -354,13 +346,13 @@ def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None, dig
     dict_hash = dictionary_hash(dictionary)
     blocks = spark.read.parquet(f"{folder}/blocks")
     wanted = None if doc_ids is None else np.asarray(sorted(set(doc_ids)), np.int64)
-    starts = _block_starts(blocks)
+    starts = F.broadcast(_file_starts(blocks))  # so payloads stay where they lie
     if doc_ids is not None:
         hit = F.lit(False)
         for d in wanted.tolist():
             hit = hit | ((F.col("first_id") <= d) & (F.col("last_id") >= d))
         blocks = blocks.where(hit)
-    opened = blocks.select("file", "block", "payload").join(starts, ["file", "block"]).select("start", "payload")
+    opened = blocks.join(starts, "file").select((F.col("file_start") + F.col("inside")).alias("start"), "payload")
     result = "ids_crc32 long" if digest else "ids array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
