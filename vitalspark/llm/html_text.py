@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import chunks, table
+from vitalspark.llm.common import chunks, likely_least, table
 
 SAMPLE_PAGES, TREES, DEPTH, RATE, BINS, TOKENS = 300, 30, 3, 0.3, 16, 64
 # Element kinds of HTML.
@@ -366,7 +366,8 @@ def train(pages: DataFrame, key: str = "page_id", html: str = "html") -> list:
         trees = boost(x, y) if len(x) and 0 < y.sum() < len(y) else []
         yield pa.RecordBatch.from_pydict({"trees": pa.array([json.dumps(trees)])})
 
-    found = rows.orderBy("h").limit(SAMPLE_PAGES).coalesce(1).mapInArrow(run, "trees string").collect()
+    few = likely_least(rows, "h", SAMPLE_PAGES, pages.count())
+    found = few.orderBy("h").limit(SAMPLE_PAGES).coalesce(1).mapInArrow(run, "trees string").collect()
     return json.loads(found[0][0]) if found else []
 
 
