@@ -170,3 +170,26 @@ def test_fanout_tasks_follow_the_output(spark, nothing_broadcast):
         assert out.rdd.getNumPartitions() == -(-total // task_rows)
         assert sizes[-1] <= 1.5 * task_rows  # the hot day takes many tasks
         assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_user_segments_join_makes_no_pairs_of_a_day(spark):
+    activity = spark.range(4000).selectExpr("id AS Id", "date'2016-04-12' AS Date", "CAST(id % 7 AS int) AS TotalSteps")
+    sleep = spark.range(4000).selectExpr("id AS Id", "date'2016-04-12' AS Date", "IF(id % 10 = 0, NULL, CAST(id % 9 AS double)) AS TotalMinutesAsleep")
+    out = user_segments_join(activity, sleep, 3, 4)
+    got = {r.Id: (r.AvgSteps, r.AvgMinutesAsleep) for r in out.collect()}
+    asleep = [i % 9 for i in range(4000) if i % 10]
+    assert got == {i: (i % 7, sum(asleep) / len(asleep)) for i in range(4000)}
+    made, nodes = [], [out._jdf.queryExecution().executedPlan().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if type_of(node).endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        if "Join" in type_of(node):
+            made.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        nodes += [kids.apply(i) for i in range(kids.size())]
+    assert made and max(made) <= 4000
+
+
+def type_of(node) -> str:
+    return node.getClass().getSimpleName()

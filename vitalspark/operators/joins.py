@@ -7,8 +7,8 @@ values as there are days, and one day can hold a third of the rows.
 * ``salted_join`` is the join for such keys: the rows of the large side get one
   of several salts, the small side is repeated once a salt, and a key is spread
   over that many tasks. It needs no broadcast and no measuring of sizes.
-* ``user_segments`` aggregates sleep per day first (one row a day), so its join
-  is linear in activity.
+* ``user_segments`` and ``user_segments_join`` aggregate sleep per day first (one
+  row a day), so their joins are linear in activity.
 * ``sleep_on_activity_days`` must return the fan-out rows themselves. Equal
   sleep rows become one row with a number of copies; running sums of the
   output give each day its place in the whole output, which is cut into tasks of
@@ -141,13 +141,29 @@ def user_segments_join(
     on: Sequence[str] = ("Date",),
     salts: int = 16,
 ) -> DataFrame:
-    """Segments from the joined rows themselves: on the day alone through
-    :func:`salted_join` (``salts`` copies of sleep), else on ``on``. Per user the
-    averages of ``TotalSteps`` and ``TotalMinutesAsleep`` over the joined rows."""
-    left = activity.select("Id", "Date", "TotalSteps")
-    right = sleep.select(*dict.fromkeys([*on, "TotalMinutesAsleep"]))
-    met = salted_join(left, right, on, salts) if tuple(on) == ("Date",) else left.join(right, list(on))
-    per_user = met.groupBy("Id").agg(F.avg("TotalSteps").alias("AvgSteps"), F.avg("TotalMinutesAsleep").alias("AvgMinutesAsleep"))
+    """Per user the averages of ``TotalSteps`` and ``TotalMinutesAsleep`` over the
+    rows of the join on ``on``, and the segment. What the averages need of the sleep
+    rows of a key (their number, sum and non-NULL count) is summed before the join,
+    so each activity row meets one row however many sleep rows its key has. On the
+    day alone the join is :func:`salted_join` with ``salts`` copies of the days."""
+    keys = list(on)
+    left = activity.select(*dict.fromkeys(["Id", *keys, "TotalSteps"]))
+    right = sleep.select(*dict.fromkeys([*keys, "TotalMinutesAsleep"]))
+    # the types that averages over the joined rows have
+    steps_type = left.agg(F.avg("TotalSteps")).schema[0].dataType
+    sleep_type = right.agg(F.avg("TotalMinutesAsleep")).schema[0].dataType
+    asleep = F.col("TotalMinutesAsleep")
+    met = (
+        right.dropna(subset=keys)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum(asleep).alias("_m"), F.count(asleep).alias("_nm"))
+    )
+    joined = salted_join(left, met, keys, salts) if keys == ["Date"] else left.join(met, keys)
+    steps, times = F.col("TotalSteps"), F.col("_n")
+    per_user = joined.groupBy("Id").agg(
+        F.try_divide(F.sum(steps * times), F.sum(F.when(steps.isNotNull(), times))).cast(steps_type).alias("AvgSteps"),
+        F.try_divide(F.sum("_m"), F.sum("_nm")).cast(sleep_type).alias("AvgMinutesAsleep"),
+    )
     return _segment(per_user, steps_cut, sleep_cut)
 
 
