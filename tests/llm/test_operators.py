@@ -189,6 +189,19 @@ def test_toxic_words_beside_others_are_restored():
         assert toxicity.score_of(reader.words(text), model["weights"]) < 0.5
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    # 21,000 rows; each toxic word is in 30 of them only, so any row left out shows
+    texts = [(f"you rude{i % 50:02d} go away" if i < 1_500 else f"you good friend stay here n{i % 97}", int(i < 1_500)) for i in range(21_000)]
+    rows = [(i, t, label) for i, (t, label) in enumerate(texts)]
+    labelled = spark.createDataFrame(rows + [(-1, "not labelled", None)], "h long, text string, label int")
+    model = toxicity.train(labelled)
+    assert model["known"]["you"] == 21_000 and model["pairs"]["^y"] == 21_000 and "labelled" not in model["known"]
+    seen = {f"rude{i:02d}" for i in range(50)}
+    assert seen <= model["weights"].keys() and all(model["known"][w] == 30 for w in seen)
+    assert model == toxicity.learn(texts)
+    assert toxicity.train(labelled.where("false")) == {"pairs": {}, "weights": {}, "known": {}}
+
+
 def test_html_article(spark):
     page = (
         "<html><head><title>x</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy now.</div>"

@@ -11,9 +11,10 @@ that stand beside it are told from it. Words and runs of any length are whole. R
 are then scored: words that mostly toxic training texts have weigh their log odds,
 and the logistic of the five largest weights, less a fixed offset, is the score.
 
-Both models are learned in one task from at most ``SAMPLE_ROWS`` labelled rows
-and ``SAMPLE_CHARS`` characters, taken by hash of the id among rows whose crc32
-remainder is not 0; only they (bounded tables) come back. Texts are scored whole.
+Both models are learned from all labelled rows whose crc32 remainder is not 0, whole:
+tasks count the words of their rows, a shuffle adds the counts up, and pairs of
+characters and weights are made from the table of words. Only the models come back:
+of pairs, weights and known words the ``MOST_WORDS`` first. Texts are scored whole.
 
 Defined cases: null and empty texts have the score of a text without telling
 words; rows of equal id and label are learned once each; null labels are not
@@ -33,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspark.llm.common import MEMO_ENTRIES, chunks, doc_remainder, likely_least, table, whole_text
+from vitalspark.llm.common import MEMO_ENTRIES, chunks, doc_remainder, table, whole_text
+from vitalspark.llm.components import stored
 
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_WORDS, LEAST_DOCS = 20_000, 60_000_000, 20_000, 3
+MOST_WORDS, LEAST_DOCS = 20_000, 3
+#: Labels that are broadcast at most, and counts that a task holds before it hands them on.
+MOST_LABELS, HELD_COUNTS = 2_000_000, 200_000
 NO_SIGN = 0.1
 # Letters that a mark may stand for.
 LOOKS = {
@@ -173,38 +177,55 @@ class Reader:
         return found
 
 
+def plain_words(text: str) -> set[str]:
+    return {w.lower().strip(".,;:!?\"'()[]{}") for w in WORD.findall(text)}
+
+
+def pairs_of(word: str) -> list[str]:
+    path = f"^{word}$"
+    return [path[i : i + 2] for i in range(len(path) - 1)]
+
+
+def weight_of(n: int, k: int, rows: int, n_toxic: int, tried: int) -> float | None:
+    """The weight of a word that ``n`` texts have, ``k`` of them toxic; None if it
+    tells nothing. As ``tried`` words are tried at once, a word needs that much more
+    evidence."""
+    if n < LEAST_DOCS or not 0 < n_toxic < rows or 2 * k <= n:
+        return None
+    prior = n_toxic / rows
+    if k <= n * prior:
+        return None
+    evidence = k * math.log(k / (n * prior))
+    if k < n:
+        evidence += (n - k) * math.log((n - k) / (n * (1 - prior)))
+    if evidence <= math.log(1 + tried):
+        return None
+    return math.log((k + 0.2) / (n_toxic + 0.4)) - math.log((n - k + 0.2) / (rows - n_toxic + 0.4))
+
+
+def most(counts: dict) -> dict:
+    """The ``MOST_WORDS`` greatest, equal ones by their names."""
+    return dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS])
+
+
 def learn(rows: list[tuple[str, int]]) -> dict:
-    """From (text, label): the character counts and the words' weights."""
+    """From (text, label): the character counts and the words' weights, as
+    :func:`train` has them of a table."""
     pairs, seen, toxic = Counter(), Counter(), Counter()
-    words_of = []
     for text, label in rows:
-        plain = {w.lower().strip(".,;:!?\"'()[]{}") for w in WORD.findall(text)}
-        words_of.append((plain, label))
-        for w in plain:
+        for w in plain_words(text):
             seen[w] += 1
             toxic[w] += label
-            if w.isalpha():
-                path = f"^{w}$"
-                pairs.update(path[i : i + 2] for i in range(len(path) - 1))
+    for w, n in seen.items():
+        if w.isalpha():
+            for pair in pairs_of(w):
+                pairs[pair] += n
     n_toxic = sum(label for _, label in rows)
-    n_clean = len(rows) - n_toxic
-    weights = {}
-    if n_toxic and n_clean:
-        prior = n_toxic / len(rows)
-        # as many words are tried at once, a word needs that much more evidence
-        needed = math.log(1 + sum(n >= LEAST_DOCS for n in seen.values()))
-        for w, n in seen.items():
-            k = toxic[w]
-            if w and n >= LEAST_DOCS and k > n * prior:
-                evidence = k * math.log(k / (n * prior))
-                if k < n:
-                    evidence += (n - k) * math.log((n - k) / (n * (1 - prior)))
-                if evidence > needed and 2 * k > n:
-                    weights[w] = math.log((k + 0.2) / (n_toxic + 0.4)) - math.log((n - k + 0.2) / (n_clean + 0.4))
-        weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS])
-    common = Counter({w: n for w, n in seen.items() if w.isalpha()}).most_common(MOST_WORDS)
-    known = dict(common) | {w: seen[w] for w in weights}
-    return {"pairs": dict(pairs.most_common(MOST_WORDS)), "weights": weights, "known": known}
+    tried = sum(n >= LEAST_DOCS for n in seen.values())
+    found = {w: weight_of(n, toxic[w], len(rows), n_toxic, tried) for w, n in seen.items() if w}
+    weights = most({w: x for w, x in found.items() if x is not None})
+    known = most({w: n for w, n in seen.items() if w.isalpha()}) | {w: seen[w] for w in weights}
+    return {"pairs": most(pairs), "weights": weights, "known": known}
 
 
 def score_of(words: set[str], weights: dict[str, float]) -> float:
@@ -212,23 +233,80 @@ def score_of(words: set[str], weights: dict[str, float]) -> float:
     return 1 / (1 + math.exp(-(evidence - 2.0))) if evidence else NO_SIGN
 
 
-def train(labelled: DataFrame) -> dict:
-    """``labelled`` (h, text, label): learned inside one task on a bounded sample."""
-    import json
-
-    rows = labelled.where("label is not null").orderBy("h").limit(SAMPLE_ROWS)
+def added(rows: DataFrame, counts, schema: str, by: str) -> DataFrame:
+    """``counts(batch)`` gives (key, numbers) pairs of an Arrow batch; their sums by
+    key. A task adds up what it holds before it hands it on."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chars = [], 0
+        held: dict = {}
+
+        def emptied():
+            columns = [list(held), *zip(*held.values())] if held else [[] for _ in names]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string() if n == by else pa.int64()) for n, c in zip(names, columns)], names=names
+            )
+
+        for batch in chain.from_iterable(map(chunks, batches)):
+            for key, numbers in counts(batch):
+                old = held.get(key)
+                held[key] = numbers if old is None else tuple(map(int.__add__, old, numbers))
+            if len(held) > HELD_COUNTS:
+                yield emptied()
+        yield emptied()
+
+    return rows.mapInArrow(run, schema).groupBy(by).agg(*[F.sum(n).alias(n) for n in names if n != by])
+
+
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """(word, n, k): texts with the word, and toxic ones; the null word has all."""
+
+    def counts(batch):
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield None, (1, label)
+            for w in plain_words(text):
+                yield w, (1, label)
+
+    rows = labelled.where("label is not null").select("text", F.col("label").cast("int").alias("label"))
+    return added(rows, counts, "word string, n long, k long", "word")
+
+
+def train(labelled: DataFrame) -> dict:
+    """The models of all rows of ``labelled`` (text, label)."""
+    counts = stored(word_counts(labelled), "word-counts")
+    total = counts.where("word is null").head()
+    if total is None:
+        return {"pairs": {}, "weights": {}, "known": {}}
+    rows, n_toxic = total["n"], total["k"]
+    words = counts.where("word is not null")
+    tried = words.where(F.col("n") >= LEAST_DOCS).count()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if chars + len(text) <= SAMPLE_CHARS:
-                    held.append((text, int(label)))
-                    chars += len(text)
-        yield pa.RecordBatch.from_pydict({"model": pa.array([json.dumps(learn(held))])})
+            each = list(zip(*(c.to_pylist() for c in batch.columns)))
+            weights = [weight_of(n, k, rows, n_toxic, tried) if w else None for w, n, k in each]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(weights, pa.float64()), pa.array([w.isalpha() for w, _, _ in each], pa.bool_())],
+                names=["word", "n", "weight", "alpha"],
+            )
+
+    def pair_counts(batch):
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if word.isalpha():
+                for pair in pairs_of(word):
+                    yield pair, (n,)
+
+    def first(df: DataFrame, key: str, number: str) -> dict:
+        return {r[0]: r[1] for r in df.orderBy(F.col(number).desc(), key).limit(MOST_WORDS).select(key, number).collect()}
 
-    found = rows.coalesce(1).mapInArrow(run, "model string").collect()
-    return json.loads(found[0][0]) if found else {"pairs": {}, "weights": {}, "known": {}}
+    judged = words.select("word", "n", "k").mapInArrow(weigh, "word string, n long, weight double, alpha boolean")
+    telling = judged.where("weight is not null").orderBy(F.col("weight").desc(), "word").limit(MOST_WORDS).collect()
+    return {
+        "pairs": first(added(words.select("word", "n"), pair_counts, "pair string, n long", "pair"), "pair", "n"),
+        "weights": {r["word"]: r["weight"] for r in telling},
+        "known": first(judged.where("alpha"), "word", "n") | {r["word"]: r["n"] for r in telling},
+    }
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,9 +328,9 @@ def toxicity_query(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).dropDuplicates()
     remainder = doc_remainder(F.col("doc_id"), 5)
-    known = labels.where((remainder != 0) & F.col("label").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
-    chosen = likely_least(known, "h", SAMPLE_ROWS, known.count()).orderBy("h").limit(SAMPLE_ROWS)
-    # at most SAMPLE_ROWS narrow rows
-    labelled = documents.join(F.broadcast(chosen), "doc_id").select("h", whole_text().alias("text"), "label")
+    known = labels.where((remainder != 0) & F.col("label").isNotNull())
+    # narrow rows; with more of them the texts are shuffled to them
+    known = F.broadcast(known) if known.count() <= MOST_LABELS else known
+    labelled = documents.join(known, "doc_id").select(whole_text().alias("text"), "label")
     out = score(documents, train(labelled))
     return out.select("doc_id", (remainder == 0).alias("held_out"), "score", "predicted")
