@@ -74,6 +74,17 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
     assert [r["doc_id"] for r in token_files.read(spark, str(tmp_path / "f"), [5, 99]).collect()] == [5]
 
 
+def test_token_files_workers_give_memory_back():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = token_files.load(path)
+    token_files.give_back(encoder=False)
+    assert token_files.load(path) is first
+    token_files.give_back()
+    assert token_files.load.cache_info().currsize == 0
+
+
 def test_lm_counts_and_sums_to_one(docs, empty):
     model = lm.train(docs)
     counts = Counter()

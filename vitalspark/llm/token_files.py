@@ -26,6 +26,7 @@ writes no blocks and reads back empty; other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 import zlib
@@ -171,11 +172,30 @@ class WordIds:
         return out, starts
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; unused memory goes back after each."""
+    for batch in batches:
+        yield batch
+        give_back(encoder=False)
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordIds:
     return WordIds(path)
 
 
+def give_back(encoder: bool = True) -> None:
+    """Return a worker's unused memory, since workers live on beside the executor;
+    with ``encoder`` also the vocabulary and the memo, which stages that encode
+    nothing do not need."""
+    if encoder:
+        load.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def serialized(ids: np.ndarray, starts: np.ndarray) -> list[memoryview]:
     """The little-endian bytes of each text's ids."""
     view, at = memoryview(ids.view(np.uint8)), (4 * starts).tolist()
@@ -259,7 +279,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame:
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _compressor(dictionary)
-        for batch in chain.from_iterable(chunks(b, ENCODE_ROWS) for b in batches):
+        for batch in chain.from_iterable(chunks(b, ENCODE_ROWS) for b in given_back(batches)):
             ids, starts = load(path).encode(batch.column(1), end_id)
             parts = serialized(ids, starts)
             at = np.searchsorted(edges, np.asarray(pc.fill_null(batch.column(0), -(2**63))), side="right")
@@ -273,11 +293,11 @@ def write(df: DataFrame, folder: str, path: str, end_id: int = 2) -> DataFrame:
                 ],
                 names=["file", "doc_id", "tokens", "crc", "frame"],
             )
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One partition holds one file's documents, in order."""
         held, size, block, file, inside = [], 0, 0, None, 0
+        give_back()
 
         def flush():
             known = [r[0] for r in held if r[0] is not None]
@@ -357,7 +377,8 @@ def read(spark: SparkSession, folder: str, doc_ids: list[int] | None = None, dig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = _decompressor(dictionary)
-        for batch in batches:
+        give_back()
+        for batch in given_back(batches):
             for start, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 view = memoryview(payload.as_buffer())
                 index = block_index(view, dict_hash)
