@@ -70,8 +70,10 @@ def draws(terms: DataFrame, keep: list[str]) -> DataFrame:
     ``block``, each as a long: the less, the smaller its a; the low 32 bits are a
     hash of (word, t). One hash of (word, index) gives four 13-bit uniforms for r
     and c and 12 bits for b. Columns are made in steps, so that each logarithm is
-    taken once, and only where a may be below the cap: c * exp(-r) / weight is the
-    least that a can be, and -ln(x) is 1 - x at least."""
+    taken once, and only where a may be below the cap. c * exp(-r) / weight is the
+    least that a can be; for the weight 1 (t is 0) a is c * exp(-r) ** (1 - b), with
+    x ** (1 - b) at least x / (1 - b + b * x). -ln(x) is 2 * (1 - x) / (1 + x) at
+    least."""
     unit = lambda z, at, n: (
         F.shiftrightunsigned(z, at).bitwiseAND(F.lit((1 << n) - 1).cast("long")).cast("double") + F.lit(0.5)
     ) * F.lit(2.0**-n)
@@ -83,7 +85,12 @@ def draws(terms: DataFrame, keep: list[str]) -> DataFrame:
         *[(unit(F.col(f"z{j}"), 25, 13) * unit(F.col(f"z{j}"), 12, 13)).alias(f"c{j}") for j in each],
         *[unit(F.col(f"z{j}"), 0, 12).alias(f"b{j}") for j in each],
     )
-    may = lambda j: (F.lit(1.0) - F.col(f"c{j}")) * F.col(f"r{j}") <= F.col("cap")
+
+    def may(j: int) -> Column:
+        r, c, b = F.col(f"r{j}"), F.col(f"c{j}"), F.col(f"b{j}")
+        once = F.when(F.col("lw") == 0.0, F.lit(1.0) - b + b * r).otherwise(F.lit(1.0))
+        return F.lit(2.0) * (F.lit(1.0) - c) * r <= F.col("cap") * (F.lit(1.0) + c) * once
+
     logs = u.select(
         *keep, "block", "h", "lw", *[f"b{j}" for j in each],
         *[F.when(may(j), -F.log(F.col(f"r{j}"))).alias(f"r{j}") for j in each],
