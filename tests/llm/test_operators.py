@@ -322,6 +322,21 @@ def test_mixing_keeps_all(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_ngram_join_leaves_no_sets_on_disk(spark, tmp_path, monkeypatch, most):
+    from vitalspark.llm import components
+
+    made = []
+    monkeypatch.setattr(ngram_join, "MAX_IDS", most)
+    monkeypatch.setattr(components, "shared_path", lambda spark, name: made.append(f"{tmp_path}/{name}-{len(made)}") or made[-1])
+    same = [(k, " ".join([f"w{i}" for i in range(60)] + ["end"] * (k % 3)), "a") for k in range(12)]
+    docs = spark.createDataFrame([*same, (50, " ".join(f"v{i}" for i in range(60)), "a"), (51, None, "a"), (None, "none of it", "a")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar(docs).collect()}
+    assert got == {**{k: 0 for k in range(12)}, 50: 50, 51: 51, None: None}
+    names = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert len(made) > 10 and not names & {"reps", "ones", "sets", "probes", "paired", "grouped"}
+
+
 @pytest.mark.parametrize("n, percent", [(4, 85)])
 def test_ngram_join_is_brute_force(spark, n, percent):
     words = [f"w{i}" for i in range(60)]

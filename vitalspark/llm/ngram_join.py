@@ -29,6 +29,7 @@ empty result. Very long texts only have more tokens.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from vitalspark.llm.components import components, done, kept, stored
 #: A token in more probes than this goes to the end of the order.
 COMMON = 24
 STAR_ROUNDS = 2
+#: Passes over the groups when their tokens are compared with the asking documents.
+OPEN_PASSES = 2
 #: Ids (one number each) that may be broadcast.
 MAX_IDS = 2_000_000
 
@@ -78,6 +81,18 @@ def only(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "rid", how)
 
 
+def one_each(sets: DataFrame, classes: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """Those of ``sets`` (rid, toks, n), stored at ``path``, whose rid is in
+    ``classes``, and the path they are read from. While the other ids are few enough
+    to be broadcast, the sets stay where they lie."""
+    copies = stored(sets.select("rid").join(classes.select("rid"), "rid", "left_anti").distinct(), "copies")
+    if copies.count() <= MAX_IDS:
+        return sets.join(F.broadcast(copies), "rid", "left_anti"), path
+    ones, own = kept(only(sets, classes.select("rid")), "ones")
+    done(sets.sparkSession, path)
+    return ones, own
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The stored pairs (a, b) whose whole sets link."""
     ids = lambda c, name: stored(pairs.select(F.col(c).alias("rid")).distinct(), name)
@@ -116,8 +131,8 @@ def needed_in(n: Column, low: Column, high: Column, percent: int) -> Column:
 
 
 def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
-    """``sets`` (rid, toks, n), stored at ``path`` and deleted here, one of each
-    distinct set -> (rid, root) of all in a link and not their own root."""
+    """``sets`` (rid, toks, n), read from what is stored at ``path`` and deleted here,
+    one of each distinct set -> (rid, root) of all in a link and not their own root."""
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")
     length = F.col("n") - least_overlap(F.col("n"), percent) + 1
     spark = sets.sparkSession
@@ -141,10 +156,12 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
     twice = stored(probes.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "twice")
     done(spark)
     probes, paired = kept(probes.join(twice, "t", "left_semi"), "paired")
+    done(spark)
     # a link shares ``needed`` probes, so documents with fewer shared ones have none
     least = needed_in(F.col("n"), least_overlap(F.col("n"), percent), F.floor(F.col("n") * 100 / percent).cast("int"), percent)
     able = stored(probes.groupBy("rid", "n").count().where(F.col("count") >= least).select("rid"), "able")
-    probes, sets = stored(only(probes, able), "probes"), stored(only(sets, able), "sets")
+    probes, probed = kept(only(probes, able), "probes")
+    sets, able_sets = kept(only(sets, able), "sets")
     done(spark, path, paired)
 
     # 1. stars: a document meets the pivot of its own band and of the next. Pairs
@@ -170,7 +187,7 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
 
     # 2. matrix of tokens and groups
     at = probes.join(groups, "rid", "left").withColumn("g", F.coalesce("root", "rid")).select("rid", "n", "t", "g")
-    at = stored(at, "grouped")
+    at, grouped = kept(at, "grouped")
     matrix = at.groupBy("t", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     spread = matrix.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     matrix = matrix.join(spread, "t", "left_semi").withColumnRenamed("g", "og")
@@ -187,12 +204,17 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
     done(spark)
     # the asked groups' members, by id
     wanted = stored(at.select("rid", F.col("g").alias("og")).distinct().join(asks.select("og").distinct(), "og", "left_semi"), "wanted")
-    members = only(sets, wanted.select("rid")).join(wanted, "rid")
-    union = members.select("og", F.explode("toks").alias("t")).distinct()
-    asked = only(sets, stored(asks.select("rid").distinct(), "asking")).join(asks, "rid").select("rid", "n", "og", F.explode("toks").alias("t"))
-    overlap = asked.join(union, ["og", "t"]).groupBy("rid", "n", "og").count()
-    opened = stored(overlap.where(F.col("count") >= least_overlap(F.col("n"), percent)).select("rid", "og"), "opened")
-    done(spark)
+    parts = []
+    for k in range(OPEN_PASSES):  # some groups at a time, so that fewer tokens lie on disk
+        part = F.pmod(F.xxhash64("og"), F.lit(OPEN_PASSES)) == k
+        mine, ours = stored(asks.where(part), "asking"), stored(wanted.where(part), "members")
+        members = only(sets, ours.select("rid").distinct()).join(ours, "rid")
+        union = members.select("og", F.explode("toks").alias("t")).distinct()
+        asked = only(sets, mine.select("rid").distinct()).join(mine, "rid").select("rid", "n", "og", F.explode("toks").alias("t"))
+        overlap = asked.join(union, ["og", "t"]).groupBy("rid", "n", "og").count()
+        parts.append(stored(overlap.where(F.col("count") >= least_overlap(F.col("n"), percent)).select("rid", "og"), "opened"))
+        done(spark)
+    opened = reduce(DataFrame.unionByName, parts)
 
     # 3. open the groups that qualify
     inside = at.select(F.col("rid").alias("other"), F.col("n").alias("m"), "t", F.col("g").alias("og"))
@@ -207,24 +229,20 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
         .distinct()
     )
     last = stored(verified(stored(pairs, "pairs"), sets, percent), "found")
-    done(spark)
+    done(spark, able_sets, probed, grouped)
     return components(links.unionByName(last)).select(F.col("node").alias("rid"), "root")
 
 
 def similar(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component): the smallest id reachable by links. Only
-    signatures are kept of all documents, and the sets of one of each class."""
+    """(key, n_shingles, component): the smallest id reachable by links. Sets are
+    made once and stored; one of each class goes on."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), shingles(whole_text(text), n).alias("toks"))
-    signed = stored(
-        rows.select("id", F.size("toks").alias("n"), F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2")),
-        "signed",
-    )
+    rows, path = kept(rows.withColumn("n", F.size("toks")), "reps")
+    signed = stored(rows.select("id", "n", F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2")), "signed")
     named = signed.where("n > 0 and id is not null")
     classes = stored(named.groupBy("n", "s1", "s2").agg(F.min("id").alias("rid")), "classes")
-    ones = docs.select(F.col(f"`{key}`").alias("rid"), whole_text(text).alias("text"))
-    ones = only(ones, classes.select("rid"))
-    reps = ones.select("rid", shingles(F.col("text"), n).alias("toks")).withColumn("n", F.size("toks"))
-    reps, path = kept(reps, "reps")
+    named = rows.where("n > 0 and id is not null").select(F.col("id").alias("rid"), "toks", "n")
+    reps, path = one_each(named, classes, path)
     roots = stored(link_classes(reps, percent, path), "roots")
     classes = classes.join(roots, "rid", "left").select("n", "s1", "s2", F.coalesce("root", "rid").alias("c"))
     out = signed.join(classes, ["n", "s1", "s2"], "left")
@@ -248,19 +266,18 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     n, percent = 5, 80
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), whole_text().alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
+    # the stored numbers only tell rows apart
+    sets = rows.select(F.monotonically_increasing_id().alias("rid"), "id", "h", shingles(F.col("t"), n).alias("toks"))
+    sets, path = kept(sets.withColumn("n", F.size("toks")).where("n > 0"), "reps")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    signs = [F.size("toks").alias("n"), F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2")]
-    signed = rows.select(key.alias("key"), shingles(F.col("t"), n).alias("toks")).select("key", *signs).where("n > 0")
-    classes = signed.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"))
-    # the stored numbers only tell classes apart
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("rid"), "key"), "classes")
-    first = classes.select("rid", F.col("key.id").alias("kid"), F.col("key.h").alias("kh"))
-    of_key = F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh"))
-    reps = rows.select("id", "h", "t").join(first, of_key).select("rid", "t").dropDuplicates(["rid"])
-    reps, path = kept(reps.select("rid", shingles(F.col("t"), n).alias("toks")).withColumn("n", F.size("toks")), "reps")
+    signs = ["n", F.xxhash64("toks").alias("s1"), F.hash("toks", F.lit(7)).alias("s2")]
+    first = sets.select(F.struct(key.alias("key"), "rid").alias("first"), *signs).groupBy("n", "s1", "s2").agg(F.min("first").alias("first"))
+    classes = stored(first.select("first.rid", "first.key"), "classes")
+    reps, path = one_each(sets.select("rid", "toks", "n"), classes, path)
     roots = stored(link_classes(reps, percent, path), "roots")
     stay = classes.join(roots, "rid", "left").groupBy(F.coalesce("root", "rid").alias("c")).agg(F.min("key").alias("key"))
     stay = stay.select(F.col("key.id").alias("kid"), F.col("key.h").alias("kh"))
+    of_key = F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh"))
     worded = F.size(words(F.col("t"))) > 0
     staying = rows.where(worded).join(stay, of_key, "left_semi").groupBy("id", "h").agg(F.min("doc").alias("doc"))
     return staying.select("doc.*").unionByName(rows.where(~worded).select("doc.*"))
