@@ -337,6 +337,44 @@ def test_ngram_join_leaves_no_sets_on_disk(spark, tmp_path, monkeypatch, most):
     assert len(made) > 10 and not names & {"reps", "ones", "sets", "probes", "paired", "grouped"}
 
 
+def test_ngram_join_stores_sets_once_and_opens_only_groups_of_several(spark, monkeypatch):
+    from vitalspark.llm import components
+
+    wide, members, kept = [], [], components.kept
+
+    def noted(df, name):
+        table, path = kept(df, name)
+        wide.extend([name] if "toks" in table.columns else [])
+        members.extend([table.groupBy("og").count().agg({"count": "min"}).head()[0]] if name == "members" else [])
+        return table, path
+
+    monkeypatch.setattr(components, "kept", noted)
+    monkeypatch.setattr(ngram_join, "kept", noted)
+    rows = [(2 * k + s, " ".join([f"w{k}_{i}" for i in range(40)] + ["end"] * s), "a") for k in range(9) for s in range(2)]
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows += [(100 + k, " ".join([shared, *(f"y{k}_{i}" for i in range(4 * k))]), "a") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar(docs).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(9))
+    assert wide == ["reps"] and all(m is None or m > 1 for m in members)
+
+
+def test_ngram_join_sketches_lose_no_link(spark):
+    rng = random.Random(7)
+    draw = lambda k: sorted(rng.getrandbits(64) - 2**63 for _ in range(k))
+    base = draw(200)
+    sets = [(0, base)]
+    for k in range(1, 40):  # shares from all to none, and ids with two sets of one size
+        share = sorted({*rng.sample(base, 200 - 5 * k), *draw(5 * k)})
+        sets += [(k, share), (k, draw(len(share)))]
+    made = spark.createDataFrame([(r, t, len(t)) for r, t in sets], "rid long, toks array<long>, n int")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 40)], "a long, b long")
+    linked = {b for b, t in sets[1:] if 100 * len({*t} & {*base}) >= 85 * len({*t} | {*base})}
+    near = ngram_join.may_link(pairs, made, 85).collect()
+    assert len(linked) > 2 and linked <= {r["b"] for r in near} and len(near) <= len(linked) + 4
+    assert {r["b"] for r in ngram_join.verified(pairs, made, 85).collect()} == linked
+
+
 @pytest.mark.parametrize("n, percent", [(4, 85)])
 def test_ngram_join_is_brute_force(spark, n, percent):
     words = [f"w{i}" for i in range(60)]

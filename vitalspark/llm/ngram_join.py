@@ -15,7 +15,8 @@ that many documents share are rarely probed.
    bounds the overlap of all its members with the document, and groups below the
    bound stay closed.
 3. Open: the members of the remaining groups that share a probed token and
-   fit in size are compared.
+   fit in size are compared; a group of one is its member, so it is no union.
+   Pairs whose sketches (bits of all tokens) rule a link out are left.
 
 Every comparison counts the shared tokens of the whole sets. Components of all
 links follow. Pairs inside a group are never listed.
@@ -42,6 +43,8 @@ COMMON = 24
 STAR_ROUNDS = 2
 #: Passes over the groups when their tokens are compared with the asking documents.
 OPEN_PASSES = 2
+#: Longs of a sketch, 64 bits each.
+SKETCH = 32
 #: Ids (one number each) that may be broadcast.
 MAX_IDS = 2_000_000
 
@@ -103,6 +106,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("n") - F.col("x"))).select("a", "b")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(rid, n, bits) of each set: a bit of ``SKETCH`` longs for every token. An id
+    may have several sets, told apart by a hash."""
+    named = sets.select("rid", "n", F.xxhash64("toks").alias("s"), "toks")
+    tokens = named.select("rid", "n", "s", F.explode("toks").alias("t"))
+    word = F.shiftright("t", 6).bitwiseAND(F.lit(SKETCH - 1)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t").bitwiseAND(F.lit(63)).cast("int"))
+    longs = tokens.groupBy("rid", "n", "s", word.alias("w")).agg(F.bit_or(bit).alias("b"))
+    whole = longs.groupBy("rid", "n", "s").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("of"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda w: F.coalesce(F.element_at("of", w), F.lit(0).cast("long")))
+    return whole.select("rid", "n", bits.alias("bits"))
+
+
+def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stored pairs (a, b) whose sketches allow a link: a bit that only one has
+    is of a token that only that one has, so the overlap is less by one."""
+    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+    made = stored(sketches(only(sets, stored(ids, "sketched"))), "sketches")
+    of = lambda c, n, bits: made.select(F.col("rid").alias(c), F.col("n").alias(n), F.col("bits").alias(bits))
+    both = pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b")
+
+    def lacking(mine: str, other: str) -> Column:
+        counts = F.zip_with(mine, other, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
+        return F.aggregate(counts, F.lit(0), lambda total, c: total + c)
+
+    most = F.least(F.col("n") - lacking("x", "y"), F.col("m") - lacking("y", "x"))
+    return both.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("a", "b").distinct()
+
+
 def linked_groups(links: DataFrame, hops: int = 3) -> DataFrame:
     """(rid, root): the smallest document within ``hops`` links, so a whole star
     gets one root wherever its pivot's id lies. All of a group are in one
@@ -131,13 +163,14 @@ def needed_in(n: Column, low: Column, high: Column, percent: int) -> Column:
 
 
 def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
-    """``sets`` (rid, toks, n), read from what is stored at ``path`` and deleted here,
+    """``sets`` (rid, toks, n), read from what is stored at ``path`` (deleted at the end),
     one of each distinct set -> (rid, root) of all in a link and not their own root."""
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")
     length = F.col("n") - least_overlap(F.col("n"), percent) + 1
     spark = sets.sparkSession
     first = sets.select(F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
     common = stored(first.groupBy("t").count().where(F.col("count") > COMMON).select("t"), "common")
+    done(spark)
     # a document's common tokens go to the end of its order; at most its own size
     late = (
         sets.select("rid", F.explode("toks").alias("t"))
@@ -146,6 +179,7 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
         .agg(F.sort_array(F.collect_set("t")).alias("late"))
     )
     late = stored(late, "late")
+    done(spark)
     ordered = F.concat(F.array_except("toks", "late"), F.array_intersect("late", "toks"))
     others = late.select("rid")
     plain = only(sets, others, "left_anti").select("rid", "n", F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
@@ -160,9 +194,9 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
     # a link shares ``needed`` probes, so documents with fewer shared ones have none
     least = needed_in(F.col("n"), least_overlap(F.col("n"), percent), F.floor(F.col("n") * 100 / percent).cast("int"), percent)
     able = stored(probes.groupBy("rid", "n").count().where(F.col("count") >= least).select("rid"), "able")
+    done(spark)
     probes, probed = kept(only(probes, able), "probes")
-    sets, able_sets = kept(only(sets, able), "sets")
-    done(spark, path, paired)
+    done(spark, paired)
 
     # 1. stars: a document meets the pivot of its own band and of the next. Pairs
     # that share too few of the pivot's tokens are left to the matrix.
@@ -184,6 +218,7 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
         done(spark)
         links = found if links is None else links.unionByName(found)
         groups = stored(linked_groups(links), "groups")
+        done(spark)
 
     # 2. matrix of tokens and groups
     at = probes.join(groups, "rid", "left").withColumn("g", F.coalesce("root", "rid")).select("rid", "n", "t", "g")
@@ -197,11 +232,14 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
         .groupBy("rid", "n", "og")
         .agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
         .where(F.col("c") >= needed_in(F.col("n"), F.col("low"), F.col("high"), percent))
-        .select("rid", "og")
-        .distinct()
+        .join(groups.select(F.col("root").alias("og"), F.lit(True).alias("several")).distinct(), "og", "left")
     )
     asks = stored(asks, "asks")
     done(spark)
+    # a group of one is its member, of one size unless its id has several sets
+    enough = (F.col("low") != F.col("high")) | (F.col("c") >= needed(F.col("n"), F.col("low"), percent))
+    single = asks.where(F.col("several").isNull() & enough).select(F.col("rid").alias("a"), F.col("og").alias("b")).distinct()
+    asks = asks.where("several").select("rid", "og").distinct()
     # the asked groups' members, by id
     wanted = stored(at.select("rid", F.col("g").alias("og")).distinct().join(asks.select("og").distinct(), "og", "left_semi"), "wanted")
     parts = []
@@ -228,8 +266,12 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
-    last = stored(verified(stored(pairs, "pairs"), sets, percent), "found")
-    done(spark, able_sets, probed, grouped)
+    pairs = stored(pairs.unionByName(single).distinct(), "pairs")
+    done(spark)
+    near = stored(may_link(pairs, sets, percent), "near")
+    done(spark)
+    last = stored(verified(near, sets, percent), "found")
+    done(spark, path, probed, grouped)
     return components(links.unionByName(last)).select(F.col("node").alias("rid"), "root")
 
 
