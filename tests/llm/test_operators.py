@@ -516,3 +516,35 @@ def test_token_files_of_several_files_and_blocks(spark, tmp_path, monkeypatch):
         assert r["start"] == at and r["n_tokens"] == len(r["ids"])
         at += r["n_tokens"]
     assert [r["doc_id"] for r in rows] == sorted((i for i, _ in texts), key=lambda i: (i is not None, i or 0))
+
+
+def test_near_copies_ask_few_groups(spark, monkeypatch):
+    """Copies of one text, most of them edited too much to link: what only one of
+    them has is probed first, and the text in their middle is met first."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for d in range(1, 240):
+        edited = list(base)
+        for e in range(1 if d % 4 == 0 else 3):
+            edited[(7 * d + 31 * e) % 96 + 2] = f"x{d}y{e}"
+        texts.append(" ".join(edited))
+    asked, store = [], ngram_join.stored
+
+    def stored(df, name):
+        out = store(df, name)
+        if name == "asks":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar(docs).collect()}
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root)) and 0 < sum(r == 0 for r in root) < len(root)
+    assert sum(asked) < 2 * len(texts)

@@ -4,14 +4,17 @@ A document is the set of its distinct word n-grams, as 64-bit hashes. Equal sets
 are one class, and only class representatives go on. Two sets with Jaccard
 similarity s or more share one of the first n - ceil(s n) + 1 tokens of each
 under any one order of all tokens (the probe), so no link is lost by looking
-at probes only, and linked sets share a number of probe tokens (``needed``). The order puts tokens found in many probes last, so passages
-that many documents share are rarely probed.
+at probes only, and linked sets share a number of probe tokens (``needed``). The order puts tokens found
+in many probes last, and those that documents with such probes share besides, so
+passages that many documents share are rarely probed, and a near copy probes first
+what only it has.
 
 1. Stars: in each probed token and size band, documents are compared with one
-   of their own (the pivot), in several rounds with other pivots. Linked
+   of their own (the pivot), in several rounds with other pivots: first with the
+   one that has the fewest probes of its own. Linked
    documents form groups of similar documents.
 2. Matrix: per probed token the groups that have it. A document looks its
-   tokens up and gets the other groups it may belong to; the group's token union
+   tokens up and gets the larger groups it may belong to; the group's token union
    bounds the overlap of all its members with the document, and groups below the
    bound stay closed.
 3. Open: the members of the remaining groups that share a probed token and
@@ -40,9 +43,13 @@ from vitalspark.llm.components import components, done, kept, stored
 
 #: A token in more probes than this goes to the end of the order.
 COMMON = 24
+#: About as many documents of each such token are drawn by hash, and tokens that
+#: as many of them as AMONG have go to the end too. Any order loses no link.
+DRAWN, AMONG = 32, 8
 STAR_ROUNDS = 2
-#: Passes over the groups when their tokens are compared with the asking documents.
-OPEN_PASSES = 2
+#: Passes over documents whose order changes, and over the groups when their tokens
+#: are compared with the asking documents.
+PASSES = 2
 #: Longs of a sketch, 64 bits each.
 SKETCH = 32
 #: Ids (one number each) that may be broadcast.
@@ -162,40 +169,64 @@ def needed_in(n: Column, low: Column, high: Column, percent: int) -> Column:
     return F.least(needed(n, low, percent), needed(n, high, percent)) - 1  # one for rounding
 
 
+def common_tokens(sets: DataFrame, length: Column) -> DataFrame:
+    """(t), stored: the tokens in many first probes, and those that the documents
+    with them share besides, which would be probed instead of them. The order is
+    then one by frequency as far as it matters: what only one of a group of near
+    copies has comes first."""
+    first = sets.select("rid", F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
+    hot = stored(first.groupBy("t").count().where(F.col("count") > COMMON), "hot")
+    share = F.pmod(F.xxhash64("rid", F.lit(-1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = stored(first.join(hot, "t").where(share * F.col("count") < DRAWN).select("rid").distinct(), "drawn")
+    theirs = only(sets, drawn).select(F.explode("toks").alias("t")).groupBy("t").count().where(F.col("count") >= AMONG)
+    return stored(hot.select("t").union(theirs.select("t")).distinct(), "common")
+
+
 def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
     """``sets`` (rid, toks, n), read from what is stored at ``path`` (deleted at the end),
     one of each distinct set -> (rid, root) of all in a link and not their own root."""
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100)).cast("int")
     length = F.col("n") - least_overlap(F.col("n"), percent) + 1
     spark = sets.sparkSession
-    first = sets.select(F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
-    common = stored(first.groupBy("t").count().where(F.col("count") > COMMON).select("t"), "common")
+    common = common_tokens(sets, length)
     done(spark)
-    # a document's common tokens go to the end of its order; at most its own size
-    late = (
-        sets.select("rid", F.explode("toks").alias("t"))
-        .join(common, "t", "left_semi")
-        .groupBy("rid")
-        .agg(F.sort_array(F.collect_set("t")).alias("late"))
-    )
+    # a document's common tokens go to the end of its order; at most its own size. One
+    # with none of them among its first tokens has the same probes either way
+    last = F.broadcast(common) if common.count() <= MAX_IDS else common
+    met = lambda tokens: tokens.join(last, "t", "left_semi")
+    first = sets.select("rid", F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
+    moving = stored(met(first).select("rid").distinct(), "moving")
+    done(spark)
+    late = met(only(sets, moving).select("rid", F.explode("toks").alias("t"))).groupBy("rid").agg(F.sort_array(F.collect_set("t")).alias("late"))
     late = stored(late, "late")
     done(spark)
     ordered = F.concat(F.array_except("toks", "late"), F.array_intersect("late", "toks"))
     others = late.select("rid")
     plain = only(sets, others, "left_anti").select("rid", "n", F.explode(F.slice("toks", F.lit(1), length)).alias("t"))
-    moved = only(sets, others).join(late, "rid").select("rid", "n", F.explode(F.slice(ordered, F.lit(1), length)).alias("t"))
+    moved, reordered = [], []
+    for k in range(PASSES):  # this join moves whole sets, so only once and some at a time
+        part = F.pmod(F.xxhash64("rid"), F.lit(PASSES)) == k
+        some = only(sets.where(part), others.where(part)).join(late.where(part), "rid")
+        some, at = kept(some.select("rid", "n", F.explode(F.slice(ordered, F.lit(1), length)).alias("t")), "moved")
+        moved.append(some)
+        reordered.append(at)
+        done(spark)
     # only tokens that two documents probe: their hashes are told first, so that
     # the others are never stored
-    probes = plain.unionByName(moved).withColumn("band", band)
+    probes = reduce(DataFrame.unionByName, [plain, *moved])
     twice = stored(probes.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t"), "twice")
     done(spark)
-    probes, paired = kept(probes.join(twice, "t", "left_semi"), "paired")
-    done(spark)
-    # a link shares ``needed`` probes, so documents with fewer shared ones have none
-    least = needed_in(F.col("n"), least_overlap(F.col("n"), percent), F.floor(F.col("n") * 100 / percent).cast("int"), percent)
-    able = stored(probes.groupBy("rid", "n").count().where(F.col("count") >= least).select("rid"), "able")
+    probes, paired = kept(probes.join(twice, "t", "left_semi").withColumn("band", band), "paired")
+    done(spark, *reordered)
+    # a link shares ``needed`` probes, so documents with fewer shared ones have none;
+    # partners are of a size that one of the tokens has
+    sizes = probes.groupBy("t").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    able = probes.join(sizes, "t").groupBy("rid", "n").agg(F.count("*").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
+    able = able.where(F.col("count") >= needed_in(F.col("n"), F.col("low"), F.col("high"), percent))
+    # how few of a document's probes nobody else has: least at the middle of near copies
+    able = stored(able.groupBy("rid").agg(F.max(F.col("count") - length).cast("int").alias("mid")), "able")
     done(spark)
-    probes, probed = kept(only(probes, able), "probes")
+    probes, probed = kept(probes.join(F.broadcast(able) if able.count() <= MAX_IDS else able, "rid"), "probes")
     done(spark, paired)
 
     # 1. stars: a document meets the pivot of its own band and of the next. Pairs
@@ -204,8 +235,9 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
     for k in range(STAR_ROUNDS):
         at = probes if groups is None else probes.join(groups, "rid", "left")
         group = F.col("rid") if groups is None else F.coalesce("root", "rid")
-        at = at.select("rid", "n", "t", "band", group.alias("g"))
-        order = F.xxhash64("rid", F.lit(k))
+        at = at.select("rid", "n", "t", "band", "mid", group.alias("g"))
+        # first the document with the fewest probes of its own, then any
+        order = F.struct(-F.col("mid") if k == 0 else F.lit(0), F.xxhash64("rid", F.lit(k)))
         pivot = at.groupBy("t", "band").agg(F.min(F.struct(order, "rid", "n", "g")).alias("p")).select(
             "t", F.col("band").alias("pband"), F.col("p.rid").alias("prid"), F.col("p.n").alias("pn"), F.col("p.g").alias("pg")
         )
@@ -219,16 +251,20 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         groups = stored(linked_groups(links), "groups")
         done(spark)
+    groups = stored(groups.join(groups.groupBy("root").agg(F.count("*").alias("z")), "root"), "sized")
 
     # 2. matrix of tokens and groups
-    at = probes.join(groups, "rid", "left").withColumn("g", F.coalesce("root", "rid")).select("rid", "n", "t", "g")
+    at = probes.join(groups, "rid", "left").select("rid", "n", "t", F.coalesce("root", "rid").alias("g"), F.coalesce("z", F.lit(1)).alias("z"))
     at, grouped = kept(at, "grouped")
-    matrix = at.groupBy("t", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = at.groupBy("t", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("z").alias("oz"))
     spread = matrix.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
     matrix = matrix.join(spread, "t", "left_semi").withColumnRenamed("g", "og")
+    # of two groups the smaller one's documents ask, so few ask a large group and
+    # none of its many members asks the rest
+    asking = F.struct("z", "g") < F.struct(F.col("oz").alias("z"), F.col("og").alias("g"))
     asks = (
         at.join(matrix, "t")
-        .where((F.col("g") < F.col("og")) & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
+        .where(asking & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
         .groupBy("rid", "n", "og")
         .agg(F.count("*").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
         .where(F.col("c") >= needed_in(F.col("n"), F.col("low"), F.col("high"), percent))
@@ -243,8 +279,8 @@ def link_classes(sets: DataFrame, percent: int, path: str) -> DataFrame:
     # the asked groups' members, by id
     wanted = stored(at.select("rid", F.col("g").alias("og")).distinct().join(asks.select("og").distinct(), "og", "left_semi"), "wanted")
     parts = []
-    for k in range(OPEN_PASSES):  # some groups at a time, so that fewer tokens lie on disk
-        part = F.pmod(F.xxhash64("og"), F.lit(OPEN_PASSES)) == k
+    for k in range(PASSES):  # some groups at a time, so that fewer tokens lie on disk
+        part = F.pmod(F.xxhash64("og"), F.lit(PASSES)) == k
         mine, ours = stored(asks.where(part), "asking"), stored(wanted.where(part), "members")
         members = only(sets, ours.select("rid").distinct()).join(ours, "rid")
         union = members.select("og", F.explode("toks").alias("t")).distinct()
