@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ from fractions import Fraction
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vitalspark.llm import byte_bpe, fingerprint, html_text, lm, mixing, ngram_join, quality, secrets, token_files, toxicity
 
@@ -277,6 +279,34 @@ def test_fingerprints_estimate_the_weighted_jaccard(spark):
     assert abs(off[-2]) < 0.05 and abs(off[-1]) < 0.15
 
 
+def test_fingerprints_are_the_least_of_all_draws_though_few_are_taken(spark):
+    texts = [" ".join(f"t{i}" for i in range(2000)), "one two two three three three four", "x " * 500 + " ".join(f"y{i}" for i in range(200))]
+    counts = [Counter(t.split()) for t in texts]
+    words = spark.createDataFrame([(w,) for w in sorted(set().union(*counts))], "w string")
+    drawn = words.selectExpr("w", "xxhash64(w) h").selectExpr("w", "h", "explode(sequence(0, 63)) j").selectExpr("w", "h", "j", "xxhash64(h, j) z")
+    z = {(r["w"], r["j"]): (r["h"], r["z"] % 2**64) for r in drawn.collect()}
+    unit = lambda x, at, n: ((x >> at) % 2**n + 0.5) / 2**n
+
+    def sample(weights, j):
+        """By the definition, over all words."""
+        offers = []
+        for w, n in weights.items():
+            h, x = z[w, j]
+            r = -math.log(unit(x, 51, 13) * unit(x, 38, 13))
+            t = math.floor(math.log(n) / r + unit(x, 0, 12))
+            log_a = math.log(-math.log(unit(x, 25, 13) * unit(x, 12, 13))) - r * (t - unit(x, 0, 12) + 1)
+            offers.append((math.floor((log_a + 128) * 2**23), (h ^ t * 2654435761) % 2**32))
+        return f"{min(offers)[1]:08x}"
+
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(fingerprint.fingerprints(made))
+    assert [got[i]["fingerprint"].split() for i in range(3)] == [[sample(c, j) for j in range(64)] for c in counts]
+    # the first text has 128,000 draws; about 50 a sample go on
+    terms = fingerprint.pairs(made.where("doc_id = 0").select("doc_id", fingerprint.hashes(F.col("text")).alias("hashes")), ["doc_id"], 64)
+    assert terms.where("j >= 0").count() == 2000 * 64
+    assert 64 <= fingerprint.draws(terms, ["doc_id", "j"]).where("m is not null").count() < 64 * 80
+
+
 def within_a_block(weights):
     """The schedule against the targets themselves, at every slot of two cycles."""
     counts = mixing.cycle(weights)

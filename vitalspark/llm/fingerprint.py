@@ -8,12 +8,14 @@ r) is the sample (word, t). Two documents draw the same sample at an index with
 probability equal to the generalised Jaccard similarity of their weights, so the
 share of equal positions estimates the similarity of the documents.
 
-Draws are plain columns over one row a (text, distinct word, block of four
-samples). ln a, in steps of 2**-23, and 32 bits of a hash of (word, t) are one
-long, so the least of each sample is a ``min`` of longs; the rows of a document lie
-together already, so this aggregation shuffles nothing. A word whose a is certainly
-above 40 / (the text's number of words) takes no logarithm and offers nothing: the
-least a is above that less than once in 10**17 samples (the sample is then none).
+Draws are plain columns over one row a (text, distinct word, sample). Of the words of
+a text, only those whose a may be below 40 / (the text's number of words) take a
+logarithm and go on to the aggregation: the least a is above that less than once in
+10**17 samples (the sample is then left out). They are told by bounds from below that cost
+a square root, so of n words about 50 go on for a sample. ln a, in steps of 2**-23,
+and 32 bits of a hash of (word, t) are one long, so the least of each sample is a
+``min`` of longs; the rows of a document lie together already, so this aggregation
+shuffles nothing.
 
 The next document (in descending order of id, the first after the last) comes from
 a window over ranges of (id, hash of the text); only one row a range crosses to its
@@ -33,80 +35,92 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspark.llm.common import shared_path, table, whole_text, words
-from vitalspark.llm.quality import let
 
 SAMPLES = 64
 #: The least a of a text of total weight W is exponential with mean 1 / W, so it is
 #: above SURE / W less than once in 10**17 samples.
 SURE = 40.0
-#: Samples that one row draws: the code of more is too long for the JVM's compiler.
-BLOCK = 4
 #: Documents of a range, and most ranges: with more documents ranges get longer.
 RANGE_ROWS, MOST_RANGES = 500, 20_000
 
 
-def weighted(text: Column) -> Column:
-    """Array of (h, lw, cap): hash and log of the weight of each distinct word, and
-    SURE times its share of the text."""
+def hashes(text: Column) -> Column:
+    """Array of the hashes of a text's words, ascending."""
+    return F.sort_array(F.transform(words(text), lambda w: F.xxhash64(w)))
 
-    def of(ordered: Column) -> Column:
-        n = F.size(ordered)
-        at = F.filter(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.coalesce(F.get(ordered, i) != F.get(ordered, i - 1), F.lit(True)),
-        )
-        def term(h: Column, weight: Column) -> Column:
-            return F.struct(h.alias("h"), F.log(weight).alias("lw"), (weight * SURE / n).alias("cap"))
 
-        return F.when(n > 0, let(at, lambda s: F.transform(s, lambda i, k: term(
-            F.get(ordered, i), (F.coalesce(F.get(s, k + 1), n) - i).cast("double")
-        ))))
+def starts(ordered: Column) -> Column:
+    """-1 and the places at which a run of equal values of a sorted array begins."""
+    return F.filter(
+        F.sequence(F.lit(-1), F.size(ordered) - 1),
+        lambda i: F.coalesce(F.get(ordered, i) != F.get(ordered, i - 1), F.lit(True)),
+    )
 
-    return let(F.sort_array(F.transform(words(text), lambda w: F.xxhash64(w))), of)
 
+def pairs(texts: DataFrame, keep: list[str], samples: int) -> DataFrame:
+    """``keep``, h, weight, share and j: a row for each distinct word of ``texts``
+    (``keep``, hashes) and sample j < ``samples``, with the word's hash and number, and
+    SURE by the text's number of words. First a row a text with j -1 and no word.
+    Arrays are columns before they are exploded, so that rows of words do not copy
+    them; ``posexplode_outer``, as Spark would filter by the size of the array, and so
+    make it twice, otherwise."""
+    ordered, at = F.col("hashes"), F.col("at")
+    runs = texts.select(*keep, "hashes", starts(ordered).alias("at"), (F.lit(SURE) / F.greatest(F.size(ordered), F.lit(1))).alias("share"))
+    each = runs.select(*keep, "hashes", "at", "share", F.posexplode_outer("at").alias("k", "i"))
+    weight = F.when(F.col("i") >= 0, F.coalesce(F.get(at, F.col("k") + 1), F.size(ordered)) - F.col("i"))
+    terms = each.select(*keep, F.get(ordered, F.col("i")).alias("h"), weight.alias("weight"), "share")
+    # both columns are asked for, so that they are made once a word and not once a sample
+    first = F.col("h").isNull() | F.col("weight").isNull()
+    return terms.select("*", F.explode(F.when(first, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(samples - 1)))).alias("j"))
 
-def draws(terms: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and m0..m3, what a word (h, lw, cap) offers for the samples of its
-    ``block``, each as a long: the less, the smaller its a; the low 32 bits are a
-    hash of (word, t). One hash of (word, index) gives four 13-bit uniforms for r
-    and c and 12 bits for b. Columns are made in steps, so that each logarithm is
-    taken once, and only where a may be below the cap. c * exp(-r) / weight is the
-    least that a can be; for the weight 1 (t is 0) a is c * exp(-r) ** (1 - b), with
-    x ** (1 - b) at least x / (1 - b + b * x). -ln(x) is 2 * (1 - x) / (1 + x) at
-    least."""
-    unit = lambda z, at, n: (
-        F.shiftrightunsigned(z, at).bitwiseAND(F.lit((1 << n) - 1).cast("long")).cast("double") + F.lit(0.5)
-    ) * F.lit(2.0**-n)
-    each = range(BLOCK)
-    z = terms.select("*", *[F.xxhash64("h", F.col("block") * BLOCK + j).alias(f"z{j}") for j in each])
-    u = z.select(
-        *keep, "block", "h", "lw", "cap",
-        *[(unit(F.col(f"z{j}"), 51, 13) * unit(F.col(f"z{j}"), 38, 13)).alias(f"r{j}") for j in each],
-        *[(unit(F.col(f"z{j}"), 25, 13) * unit(F.col(f"z{j}"), 12, 13)).alias(f"c{j}") for j in each],
-        *[unit(F.col(f"z{j}"), 0, 12).alias(f"b{j}") for j in each],
-    )
 
-    def may(j: int) -> Column:
-        r, c, b = F.col(f"r{j}"), F.col(f"c{j}"), F.col(f"b{j}")
-        once = F.when(F.col("lw") == 0.0, F.lit(1.0) - b + b * r).otherwise(F.lit(1.0))
-        return F.lit(2.0) * (F.lit(1.0) - c) * r <= F.col("cap") * (F.lit(1.0) + c) * once
+def low(x: Column) -> Column:
+    """The low 32 bits of a long."""
+    return x.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
 
-    logs = u.select(
-        *keep, "block", "h", "lw", *[f"b{j}" for j in each],
-        *[F.when(may(j), -F.log(F.col(f"r{j}"))).alias(f"r{j}") for j in each],
-        *[F.when(may(j), F.log(-F.log(F.col(f"c{j}")))).alias(f"c{j}") for j in each],
-    )
-    whole = logs.select("*", *[F.floor(F.col("lw") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}") for j in each])
 
-    def offer(j: int) -> Column:
-        r, t = F.col(f"r{j}"), F.col(f"t{j}")
-        log_a = F.col(f"c{j}") - r * (t - F.col(f"b{j}") + F.lit(1.0))
-        # ln a lies within +-128 for any weight below e**16
-        steps = F.greatest(F.least((log_a + F.lit(128.0)) * F.lit(2.0**23), F.lit(2.0**31 - 1)), F.lit(0.0)).cast("long")
-        code = F.col("h").bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
-        return F.shiftleft(steps, 32).bitwiseOR(code).alias(f"m{j}")
+def only(rows: DataFrame, condition: Column) -> DataFrame:
+    """``rows`` with the condition. Not a filter: Spark would move that below the
+    columns it needs and make them twice."""
+    once, never = F.array(F.lit(True)), F.array().cast("array<boolean>")
+    return rows.select("*", F.explode(F.when(condition, once).otherwise(never)).alias("_kept")).drop("_kept")
 
-    return whole.select(*keep, "block", *[offer(j) for j in each])
+
+def draws(terms: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and m, what a word (h, weight, share) offers for the sample j as a long:
+    the less, the smaller its a; the low 32 bits are a hash of (word, t). Words whose a
+    is surely above share are left out; a row without a word stays, with m null. One
+    hash of (word, index) gives four 13-bit uniforms for r and c and 12 bits for b.
+    Columns are made in steps, so that each logarithm is taken once.
+
+    c * exp(-r) / weight is the least that a can be; for the weight 1 (t is 0) a is c *
+    x ** s with x = exp(-r) and s = 1 - b. From below, x ** s is x / (s + (1 - s) * x),
+    and nearer sqrt(x) ** (2 * s) by the same, with a whole sqrt(x) put aside if s is
+    above a half; -ln(y) is 2 * (1 - y) / (1 + y), and nearer twice that of sqrt(y)."""
+    unit = lambda at, n: (
+        F.shiftrightunsigned("z", at).bitwiseAND(F.lit((1 << n) - 1).cast("long")).cast("double") + F.lit(0.5)
+    ) * F.lit(2.0**-n)
+    x, y, b, weight = (F.col(name) for name in ("x", "y", "b", "weight"))
+    one, two = F.lit(1.0), F.lit(2.0)
+    drawn = terms.select("*", F.xxhash64("h", "j").alias("z")).select(
+        *keep, "h", "weight", "share", (unit(51, 13) * unit(38, 13)).alias("x"), (unit(25, 13) * unit(12, 13)).alias("y"), unit(0, 12).alias("b")
+    )
+    cap = weight * F.col("share")
+    single = weight == 1
+    near = two * (one - y) * x <= cap * (one + y) * F.when(single, one - b + b * x).otherwise(one)
+    root, twice = F.sqrt(x), two * (one - b)
+    power = F.when(~single, x).when(twice < one, root / (twice + (one - twice) * root)).otherwise(x / (twice - one + (two - twice) * root))
+    nearer = F.lit(4.0) * (one - F.sqrt(y)) * power <= cap * (one + F.sqrt(y))
+    logs = only(drawn, F.col("h").isNull() | (near & nearer)).select(
+        *keep, "h", "b", F.when(single, F.lit(0.0)).otherwise(F.log(weight.cast("double"))).alias("lw"), (-F.log(x)).alias("r"), F.log(-F.log(y)).alias("c")
+    )
+    r, t = F.col("r"), F.col("t")
+    whole = logs.select("*", F.floor(F.col("lw") / r + b).alias("t"))
+    log_a = F.col("c") - r * (t - b + one)
+    # ln a lies within +-128 for any weight below e**16
+    steps = F.greatest(F.least((log_a + F.lit(128.0)) * F.lit(2.0**23), F.lit(2.0**31 - 1)), F.lit(0.0)).cast("long")
+    code = low(F.col("h").bitwiseXOR(t * F.lit(2654435761)))
+    return whole.select(*keep, F.shiftleft(steps, 32).bitwiseOR(code).alias("m"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -169,10 +183,8 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next); ``samples`` is a multiple of four."""
+    near_next)."""
     spark = docs.sparkSession
-    if samples % BLOCK:
-        raise ValueError(f"samples come in blocks of {BLOCK}")
     rows = with_next(docs.select(F.col(f"`{key}`").alias("id"), whole_text(f"`{text}`").alias("text")))
     made = rows.select("part", "idx", "id", "text", edited(F.col("text"), F.col("after")).alias("made"))
     sides = F.array(
@@ -182,21 +194,22 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
                  F.length("text").cast("long").alias("n_chars"), F.sha2("made", 256).alias("sha")),
     )
     both = made.select("part", "idx", F.explode(sides).alias("s")).select("part", "idx", "s.*")
-    terms = both.select("part", "idx", "side", "id", "n_chars", "sha", F.explode_outer(weighted(F.col("t"))).alias("w"))
-    first_block = F.explode(F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))).alias("block")
-    # what a document has once goes with one of its groups
-    once = lambda c: F.when(F.col("block") == 0, F.col(c)).alias(c)
-    spread = terms.select("part", "idx", "side", "id", "n_chars", "sha", "w.*", first_block)
-    spread = spread.select("part", "idx", "side", "block", "h", "lw", "cap", once("id"), once("n_chars"), once("sha"))
-    drawn = draws(spread, ["part", "idx", "side", "id", "n_chars", "sha"])
-    least = drawn.groupBy("part", "idx", "side", "block", "id", "n_chars", "sha").agg(*[F.min(f"m{j}").alias(f"m{j}") for j in range(BLOCK)])
-    code = lambda c: F.lower(F.substring(F.lpad(F.hex(F.col(c)), 16, "0"), 9, 8))
-    own = F.struct("side", "block", F.array(*[code(f"m{j}") for j in range(BLOCK)]).alias("s"))
-    side = lambda n: F.flatten(F.transform(F.filter(F.sort_array(F.col("found")), lambda x: x["side"] == n), lambda x: x["s"]))
+    of = ["part", "idx", "side", "id", "n_chars", "sha"]
+    spread = pairs(both.select(*of, hashes(F.col("t")).alias("hashes")), of, samples)
+    # a sample's place; what a document has once goes with the row without a word
+    first = F.col("j") < 0
+    place = F.when(first, F.lit(-1)).otherwise(F.col("side") * F.lit(samples) + F.col("j")).alias("place")
+    once = lambda c: F.when(first, F.col(c)).alias(c)
+    keys = ["part", "idx", "place", "id", "n_chars", "sha"]
+    spread = spread.select("part", "idx", place, once("id"), once("n_chars"), once("sha"), "j", "h", "weight", "share")
+    least = draws(spread, keys).groupBy(*keys).agg(F.min("m").alias("m"))
+    sample = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(low(F.col("m")))  # null without a word
     whole = least.groupBy("part", "idx").agg(
-        F.max("id").alias("id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("sha"),
-        F.collect_list(F.when(F.coalesce(*[F.col(f"m{j}") for j in range(BLOCK)]).isNotNull(), own)).alias("found"),  # no words: nothing
-    )
+        F.max("id").alias("id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("sha"), F.collect_list(sample).alias("found")
+    ).withColumn("found", F.sort_array("found"))
+    code = lambda x: F.lower(F.substring(F.lpad(F.hex(x), 16, "0"), 9, 8))
+    later = lambda x: x >= F.lit(samples << 32)
+    side = lambda n: F.transform(F.filter("found", later if n else lambda x: ~later(x)), code)
     path = shared_path(spark, "fingerprints")
     whole.select("part", "idx", "id", "n_chars", "sha", side(0).alias("fp"), side(1).alias("ef")).write.parquet(path)
     stored = spark.read.parquet(path)
