@@ -193,3 +193,20 @@ def test_user_segments_join_makes_no_pairs_of_a_day(spark):
 
 def type_of(node) -> str:
     return node.getClass().getSimpleName()
+
+
+@pytest.mark.parametrize("key", ["sleep_on_activity_days", "sleep_on_activity_days_join"])
+def test_fanout_queries_round_sleep_rows_and_not_their_copies(spark, tmp_path, key):
+    from vitalspark.functions.columns import round_doubles
+    from vitalspark.plans.registry import queries, run_analysis
+
+    events = [
+        (i, dt.datetime(2024, 1, 1 + i % 2, i % 24), i % 7, ["view", "purchase", "signup", "click", "error"][i % 5], i + 0.123456789, "{}")
+        for i in range(200)
+    ]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).write.parquet(str(tmp_path / "events.parquet"))
+    out = queries()[key](spark, str(tmp_path))
+    plain = run_analysis(spark, str(tmp_path), key)
+    assert rows(out) == rows(round_doubles(plain, 6)) != rows(plain) and out.schema == round_doubles(plain, 6).schema
+    assert "round(" not in out._jdf.queryExecution().executedPlan().toString()
