@@ -195,6 +195,33 @@ def type_of(node) -> str:
     return node.getClass().getSimpleName()
 
 
+def test_fanout_join_makes_its_copies_after_the_join(spark, frames):
+    a, s = frames
+    out = sleep_on_activity_days_join(a, s)
+    assert rows(out) == rows(s.select("Date", "TotalMinutesAsleep").join(a.select("Date"), "Date"))
+    day = "date'2016-04-12' AS Date"
+    out = sleep_on_activity_days_join(spark.range(300).selectExpr(day), spark.range(200).selectExpr("id AS Id", day, "60D AS TotalMinutesAsleep"))
+    assert {tuple(r) for r in out.distinct().collect()} == {(dt.date(2016, 4, 12), 60.0)}
+    assert out.groupBy().count().head()[0] == 60_000
+    out.collect()
+    made, nodes = [], [out._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if "Join" in type_of(node):
+            made.append(node.metrics().apply("numOutputRows").value())
+        kids = [node.executedPlan()] if type_of(node).startswith("AdaptiveSparkPlan") else [node.plan()] if type_of(node).endswith("QueryStageExec") else []
+        nodes += kids + [node.children().apply(i) for i in range(node.children().size())]
+    assert made and max(made) <= 200
+
+
+def test_equal_rows_of_a_fanout_go_to_several_tasks(spark, nothing_broadcast):
+    from vitalspark.operators.joins import _copied
+
+    parts = spark.range(2000).selectExpr("date'2016-04-12' AS Date", "60D AS TotalMinutesAsleep", "100L AS _copies")
+    sizes = _rows_per_task(_copied(parts, task_rows=20_000))
+    assert sum(sizes) == 200_000 and len(sizes) == 10 and sizes[-1] <= 30_000
+
+
 @pytest.mark.parametrize("key", ["sleep_on_activity_days", "sleep_on_activity_days_join"])
 def test_fanout_queries_round_sleep_rows_and_not_their_copies(spark, tmp_path, key):
     from vitalspark.functions.columns import round_doubles
